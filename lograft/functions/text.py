@@ -108,8 +108,13 @@ def disconnected_text(reason: Column, lines: Column) -> Column:
     return F.format_string("%s (%d lines this session)", reason, lines)
 
 
+def one_decimal(value: Column) -> Column:
+    """One decimal of the exact binary value, ties to even (``%.1f`` in Java rounds ties up)."""
+    return F.translate(F.format_number(value, 1), ",", "")
+
+
 def retry_text(delay: Column, attempt: Column, at: Column) -> Column:
-    return F.format_string("retry in %.1fs (attempt %d) at %s", delay, attempt, at)
+    return F.format_string("retry in %ss (attempt %d) at %s", one_decimal(delay), attempt, at)
 
 
 def retry_fields(message: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lograft.functions.text import one_decimal
+
 STORED = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -103,9 +105,8 @@ def log_span(first: Column, last: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    text = F.format_string("%.1f TiB", size / F.lit(float(1024**4)))
+    scaled = lambda power, unit: F.concat(one_decimal(size / F.lit(float(1024**power))), F.lit(f" {unit}"))
+    text = scaled(4, "TiB")
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
-        text = F.when(
-            size < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", size / F.lit(float(1024**power)))
-        ).otherwise(text)
+        text = F.when(size < 1024 ** (power + 1), scaled(power, unit)).otherwise(text)
     return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(text)

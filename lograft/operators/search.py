@@ -44,10 +44,10 @@ def page(events: DataFrame, page: int = 1, size: int | None = None, cursor=None,
     offset = (page - 1) * size
     if cursor is not None:
         matching, offset = matching.filter(before(events, *cursor)), 0
-    elif offset + size > DIRECT_ROWS:
+    elif offset and offset + size > DIRECT_ROWS:
         keys = matching.select("ts", "id")
         last = ordered.locate(keys, max(0, keys.count() - offset) + 1, ordered.time_levels(), ["ts", "id"])
-        if last is None:  # the page starts past the oldest row
+        if last is None:  # nothing matches
             return view(matching.limit(0)).withColumn("has_next", F.lit(False))
         matching, offset = matching.filter(before(events, last["ts"], last["id"])), 0
     taken = newest_first(matching.select(*SEARCH_COLUMNS)).offset(offset).limit(size + 1)

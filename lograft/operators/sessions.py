@@ -165,11 +165,12 @@ def failure_excerpt(events: DataFrame, failed: DataFrame | None = None) -> DataF
 
 def backoff_audit(
     sessions: DataFrame, initial: float = 2.0, maximum: float = 300.0, multiplier: float = 2.0,
-    jitter: float = 0.2, reset_after: float = 60.0,
+    jitter: float = 0.2, reset_after: float = 60.0, previous: DataFrame | None = None,
 ) -> DataFrame:
     """Expected reconnect delay after each ended session, with its jitter bounds.
 
     A session of at least ``reset_after`` seconds resets the attempt counter (0 = never).
+    ``previous`` (device, attempt) is where the counters stand before these sessions.
     """
     ended = sessions.filter(F.col("ended_at").isNotNull())
     healthy = times.exact_seconds(F.col("started_at"), F.col("ended_at")) >= F.lit(float(reset_after))
@@ -179,11 +180,15 @@ def backoff_audit(
         ended.select("device", "session_id", "first_id", healthy.alias("_healthy")), ["device"], "first_id", "_k"
     )
     since = ordered.scan(counted, ["device"], "first_id", [ordered.last_seen("_reset", F.when(F.col("_healthy"), F.col("_k")))])
-    power = F.col("_k") - F.coalesce("_reset", F.lit(1))
+    started = F.lit(1)
+    if previous is not None:
+        since = since.join(previous.select("device", F.col("attempt").alias("_before")), "device", "left")
+        started = 1 - F.coalesce("_before", F.lit(0))
+    power = F.col("_k") - F.coalesce("_reset", started)
     base = F.least(F.lit(float(maximum)), F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), F.least(power, F.lit(1000))))
     floor = F.lit(0.05)
     return since.select(
-        "device", "session_id", (power + 1).alias("attempt"), base.alias("base_delay"),
+        "device", "session_id", "first_id", (power + 1).alias("attempt"), base.alias("base_delay"),
         F.greatest(floor, base * (1 - jitter)).alias("min_delay"), F.greatest(floor, base * (1 + jitter)).alias("max_delay"),
     )
 

@@ -108,6 +108,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 2, F.concat(F.lit("  - password: "), F.col("_text")))
         .when(n == 3, F.concat(F.lit("note legacy-token-"), F.col("line_no"), F.lit(" "), F.col("_text")))
         .when(n == 4, F.concat(F.lit("id s3cr3t-value "), F.col("_text")))
+        .when((n == 0) & (F.col("line_no") % 11 == 4), F.concat(F.lit("ERROR Failed to read "), F.col("_text")))
         .when((n == 5) & (F.col("line_no") % 4 == 0), F.lit("  api_key: |"))
         .when(n == 5, F.concat(F.repeat(F.lit(" "), (F.col("line_no") % 4 * 2).cast("int")), F.col("_text")))
         .when((n == 6) & (F.col("line_no") % 9 == 1), F.lit("x -----BEGIN RSA PRIVATE KEY-----"))

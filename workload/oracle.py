@@ -80,6 +80,7 @@ dl AS (
          WHEN doc_id % 7 = 2 THEN '  - password: ' || t
          WHEN doc_id % 7 = 3 THEN 'note legacy-token-' || line_no || ' ' || t
          WHEN doc_id % 7 = 4 THEN 'id s3cr3t-value ' || t
+         WHEN doc_id % 7 = 0 AND line_no % 11 = 4 THEN 'ERROR Failed to read ' || t
          WHEN doc_id % 7 = 5 AND line_no % 4 = 0 THEN '  api_key: |'
          WHEN doc_id % 7 = 5 THEN repeat(' ', line_no % 4 * 2) || t
          WHEN doc_id % 7 = 6 AND line_no % 9 = 1 THEN 'x -----BEGIN RSA PRIVATE KEY-----'
@@ -315,7 +316,7 @@ define("backoff_audit", """
 , e AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY first_id) AS k, epoch_us(ended_at) - epoch_us(started_at) >= 345600000000 AS healthy
   FROM sess WHERE ended_at IS NOT NULL),
 r AS (SELECT *, coalesce(max(CASE WHEN healthy THEN k END) OVER (PARTITION BY device ORDER BY first_id ROWS UNBOUNDED PRECEDING), 1) AS z FROM e),
-b AS (SELECT device, session_id, k - z + 1 AS attempt, least(300.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, k - z)) AS base_delay FROM r)
+b AS (SELECT device, session_id, first_id, k - z + 1 AS attempt, least(300.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, k - z)) AS base_delay FROM r)
 SELECT *, greatest(0.05::DOUBLE, base_delay * 0.8::DOUBLE) AS min_delay, greatest(0.05::DOUBLE, base_delay * 1.2::DOUBLE) AS max_delay FROM b""", EVENTS, SESSIONS)
 
 # --- retention ---
