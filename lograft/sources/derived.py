@@ -6,12 +6,16 @@ errors are collector errors and the rest are log lines in the formats devices pr
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.functions import text
 from lograft.operators.sessions import assign_sessions
 from lograft.plans import ordered
+from lograft.session import shared_dir
+from lograft.sources import store
 
 NOW = "2024-01-31 00:00:00"
 
@@ -34,23 +38,44 @@ def raw_line(kind: Column, k: Column, v: Column, ts: Column) -> Column:
     )
 
 
-def device_events(spark: SparkSession, sf_dir: str, sessions: bool = True, parsed: bool = True) -> DataFrame:
-    """The event log: id, ts, device, address, event_type, raw, then session_id and parsed fields."""
-    source = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    k = F.col("k")
-    log = source.select(
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+DOCUMENTS_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def log_rows(source: DataFrame) -> DataFrame:
+    """id, ts, device, address, event_type and raw from the given events, as a table or a stream."""
+    source = source.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return source.select(
         F.col("event_id").alias("id"), "ts",
         F.concat(F.lit("dev-"), F.col("user_id")).alias("device"),
         F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 256), F.lit("."), F.col("user_id") % 256).alias("address"),
         F.when(F.col("event_type") == "signup", "session_start").when(F.col("event_type") == "error", "collector_error")
         .otherwise("log").alias("event_type"),
-        raw_line(F.col("event_type"), k, F.round(F.col("value") * 100).cast("long"), F.col("ts")).alias("raw"),
+        raw_line(F.col("event_type"), F.col("k"), F.round(F.col("value") * 100).cast("long"), F.col("ts")).alias("raw"),
     )
+
+
+def device_events(spark: SparkSession, sf_dir: str, sessions: bool = True, parsed: bool = True) -> DataFrame:
+    """The event log of the fleet, with session ids and parsed fields unless they are not wanted."""
+    log = log_rows(table(spark, sf_dir, "events"))
     if sessions:
         log = assign_sessions(log)
     return text.parse(log, only=F.col("event_type") == "log") if parsed else log
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log written once as a stored event log in the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+        store.append(device_events(spark, sf_dir), path)
+        _STORED[key] = path
+    return store.read(spark, _STORED[key])
+
+
 def device_sessions(events: DataFrame) -> DataFrame:
     """One row per session; the last session of each device is still open."""
     per_session = events.groupBy("session_id", "device").agg(
@@ -88,7 +113,10 @@ def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configuration snapshots: every document is one, its source the device."""
-    docs = table(spark, sf_dir, "documents")
+    return snapshot_rows(table(spark, sf_dir, "documents"))
+
+
+def snapshot_rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("id"), F.col("source").alias("device"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))

@@ -39,6 +39,12 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below ``path``."""
+    files, target = _folder(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
 def apply_retention(plan: retention.Plan, path: str, staging: str) -> None:
     """Rewrite the days that lose rows; all other days stay as they are.
 

@@ -82,10 +82,9 @@ def start(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> S
 
 def current(spark: SparkSession, out: str) -> DataFrame:
     """Ended and open sessions as of the last finished batch."""
-    ended = spark.read.parquet(f"{out}/ended")
-    last = ended.agg(F.max("batch")).first()[0]
-    opened = spark.read.schema(SESSION_STATE).parquet(f"{out}/open/batch={last}")
-    return ended.drop("batch").unionByName(opened)
+    last = state.last_batch(spark, f"{out}/open")  # written last, so a batch counts once it is here
+    ended = spark.read.parquet(f"{out}/ended").filter(F.col("batch") <= last).drop("batch")
+    return ended.unionByName(state.read(spark, f"{out}/open", last + 1, SESSION_STATE))
 
 
 def audit_retries(ended: DataFrame, out: str, checkpoint: str, once: bool = False, **retry) -> StreamingQuery:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.sources.store import remove
+from lograft.sources.store import folders, remove
 
 
 def read(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
@@ -24,6 +24,11 @@ def write(state: DataFrame, folder: str, batch: int) -> None:
         remove(state.sparkSession, f"{folder}/batch={batch - 2}")
 
 
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """Number of the last batch that wrote ``folder``; -1 before the first."""
+    return max((int(n.split("=")[1]) for n in folders(spark, folder) if n.startswith("batch=")), default=-1)
+
+
 def output(rows: DataFrame, folder: str, batch: int, *by: str) -> None:
     """Results of one batch; replaced, not repeated, when the batch runs again."""
     rows.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/batch={batch}")

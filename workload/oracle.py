@@ -500,3 +500,24 @@ define("export_status", "SELECT * FROM st WHERE device IN ('dev-2', 'dev-4', 'de
 define("export_snapshots", """SELECT id, device, 'configs/' || device || '/' || strftime(captured_at, '%Y%m%dT%H%M%SZ') || '-' || id || '.yaml' AS path, content
 FROM eff_snap""", SNAPS, IN_EFFECT)
 define("export_manifest_counts", "SELECT device, count(*) AS events FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' GROUP BY 1", EVENTS)
+
+# --- stored log and streams ---
+define("stored_log_rows", f"""SELECT id, level, bytes AS row_bytes, CAST(ts AS DATE) AS event_date FROM sized
+WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' AND {minimum('INFO')}""", EVENTS, SIZES)
+define("stream_tail", f"SELECT id, ts, device, level, clean FROM ev WHERE id > 400 AND {minimum('WARNING')}", EVENTS)
+define("stream_lifecycle", f"""
+, n AS (SELECT device || '-all' AS session_id, device, id, ts, event_type,
+  CASE WHEN event_type = 'log' THEN row_number() OVER (PARTITION BY device, event_type = 'log' ORDER BY id) END AS n,
+  min(CASE WHEN device_time IS NOT NULL THEN id END) OVER (PARTITION BY device) AS c FROM ev)
+SELECT session_id, device, strftime(coalesce(min(ts) FILTER (WHERE event_type = 'session_start'), min(ts)), '{STORED}') AS started_at,
+  count(n) AS lines, min(c) AS connected_id, strftime(min(ts) FILTER (WHERE id = c), '{STORED}') AS connected_at,
+  strftime(max_by(ts, id) FILTER (WHERE id = c OR (id > c AND n % 50 = 0)), '{STORED}') AS last_line_at,
+  strftime(max_by(ts, id) FILTER (WHERE event_type = 'log'), '{STORED}') AS exact_last_line_at
+FROM n GROUP BY ALL""", EVENTS)
+define("stream_snapshot_changes", SQL["snapshots_dedupe"].split("\n", 1)[1].split("FROM documents)", 1)[1], SNAPS)
+define("stream_idle", f"""
+, g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts)) >= 36000000000 AS fresh FROM base),
+h AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY device ORDER BY ts ROWS UNBOUNDED PRECEDING) AS stretch FROM g),
+i AS (SELECT device || '-all' AS session_id, device, min(ts) AS a, max(ts) AS b, count(*) AS rows FROM h GROUP BY device, stretch)
+SELECT session_id, device, strftime(a, '{STORED}') AS active_from, strftime(b, '{STORED}') AS silent_since, rows
+FROM i WHERE epoch_us(b) + 36000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM base) - 60000000""", EVENTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from lograft import fixed
 from lograft.functions import redaction, text, times
 from lograft.operators import export, filters, inventory, redact, retention, search, sessions, snapshots, status
+from lograft.session import shared_dir
 from lograft.sources import derived, messages
+from lograft.streaming import changes, lifecycle, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -363,7 +366,7 @@ def backoff_audit(spark, sf):
 # --- retention ---
 
 def plan(spark, sf, policy: retention.Policy) -> retention.Plan:
-    return retention.Plan(_events(spark, sf), policy, derived.NOW)
+    return retention.Plan(derived.stored_log(spark, sf), policy, derived.NOW)
 
 
 def batch_size(spark, sf) -> int:
@@ -372,7 +375,7 @@ def batch_size(spark, sf) -> int:
 
 
 def size_cap(spark, sf, share: float) -> int:
-    return int(retention.stored_bytes(_events(spark, sf)).first()[0] * share)
+    return int(retention.stored_bytes(derived.stored_log(spark, sf)).first()[0] * share)
 
 
 @query
@@ -380,6 +383,13 @@ def stored_bytes(spark, sf):
     return retention.stored_bytes(_events(spark, sf))
 
 
+@query
+def stored_log_rows(spark, sf):
+    """One day and a bit read back from the stored log; only the days concerned are opened."""
+    log = derived.stored_log(spark, sf)
+    return log.filter(filters.log_filter(log, start=RANGE[0], end=RANGE[1], level="INFO")).select("id", "level", "row_bytes", "event_date")
+
+
 @query
 def retention_age(spark, sf):
     return plan(spark, sf, retention.Policy(max_age_days=20)).survivors().select("id")
@@ -430,7 +440,7 @@ def retention_run_stats(spark, sf):
     run = full_plan(spark, sf)
     snaps = derived.snapshots(spark, sf)
     return retention.run_statistics(
-        run, derived.device_sessions(_events(spark, sf)), snaps, snapshots.prune(snaps, derived.NOW, 29.5, 4),
+        run, derived.device_sessions(run.events), snaps, snapshots.prune(snaps, derived.NOW, 29.5, 4),
         retention.archive_plan(derived.archive_listing(spark, sf), derived.NOW, PREFIX, 14, 300_000),
     )
 
@@ -657,3 +667,55 @@ def export_snapshots(spark, sf):
 @query
 def export_manifest_counts(spark, sf):
     return export.event_counts(derived.device_events(spark, sf, parsed=False), start=RANGE[0], end=RANGE[1])
+
+
+# --- streams, run until the given tables are read ---
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf, name: str, schema: str) -> DataFrame:
+    # a pattern, because a plain path would have to be a folder and the table may be a single file
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    return derived.log_rows(_stream(spark, sf, "events", derived.EVENTS_SCHEMA))
+
+
+@query
+def stream_tail(spark, sf):
+    log = text.parse(_event_stream(spark, sf), only=sessions.is_log()).withColumn("session_id", F.concat("device", F.lit("-all")))
+    out = _folder(spark)
+    rows = search.view(log.filter(filters.log_filter(log, level="WARNING", after=400)))
+    tail.start(rows, f"{out}/rows", f"{out}/at", once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("id", "ts", "device", "level", "clean")
+
+
+@query
+def stream_lifecycle(spark, sf):
+    log = text.parse(_event_stream(spark, sf), only=sessions.is_log()).withColumn("session_id", F.concat("device", F.lit("-all")))
+    out = _folder(spark)
+    lifecycle.start(log.withColumn("ts", F.col("ts").cast("timestamp")), out, f"{out}/at", once=True).awaitTermination()
+    stored = lifecycle.current(spark, out)
+    return _stamp(stored, "started_at", "connected_at", "last_line_at", "exact_last_line_at").select(
+        "session_id", "device", "started_at", "lines", "connected_id", "connected_at", "last_line_at", "exact_last_line_at")
+
+
+@query
+def stream_snapshot_changes(spark, sf):
+    docs = _stream(spark, sf, "documents", derived.DOCUMENTS_SCHEMA)
+    out = _folder(spark)
+    changes.snapshot_changes(derived.snapshot_rows(docs), out, f"{out}/at", once=True).awaitTermination()
+    return spark.read.parquet(f"{out}/changes").select("id", "device", "content_hash")
+
+
+@query
+def stream_idle(spark, sf):
+    log = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("session_id", F.concat("device", F.lit("-all")))
+    out = _folder(spark)
+    writer = changes.idle_sessions(log, 36_000).writeStream.format("parquet").option("path", f"{out}/rows")
+    writer.option("checkpointLocation", f"{out}/at").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return _stamp(rows, "active_from", "silent_since").select("session_id", "device", "active_from", "silent_since", "rows")
