@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograft.functions import redaction
+from lograft.plans import folds
 
-# rows of one chunk in one Python call; only four integers a row travel there
-FOLD_BITS = 18
+# rows of one chunk; only four integers a row travel to Python
+FOLD_BITS = 20
 
 
 def line_codes(lines: DataFrame, keys: Sequence[str], order: str, line: str, extra_keys: Sequence[str]) -> DataFrame:
@@ -33,53 +33,65 @@ def block_states(
     per key, then every chunk is walked from its true starting state.
     """
     keys = list(keys)
-    chunked = codes.withColumn("_chunk", F.shiftright(F.col(order), bits))
     group = [*keys, "_chunk"]
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in codes.select(*keys).schema)
-
-    def columns(pdf: pd.DataFrame) -> list[list[int]]:
-        return [pdf[c].tolist() for c in ("pem", "indent", "opens")]
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = {c: [pdf[c].iloc[0]] for c in group}
-        for i in (0, 1):
-            ends = redaction.walk(*columns(pdf), bool(i), redaction.NO_BLOCK)
-            out[f"pem_{i}"], out[f"block_{i}"], out[f"least_{i}"] = ([e] for e in ends)
-        return pd.DataFrame(out)
+    rows = folds.arranged(codes.withColumn("_chunk", F.shiftright(F.col(order), bits)), group, [order])
+    fields = ("pem", "indent", "opens")
+
+    def summarise(frames):
+        current, state = None, None
+        for key, columns in folds.runs(frames, group):
+            if key != current:
+                if current is not None:
+                    yield (*current, *state[0], *state[1])
+                current, state = key, [(bool(i), redaction.NO_BLOCK, redaction.NO_BLOCK) for i in (0, 1)]
+            for i, (in_pem, block, least) in enumerate(state):
+                in_pem, block, lower = redaction.walk(*(columns[f] for f in fields), in_pem, block)
+                state[i] = in_pem, block, min(least, lower)
+        if current is not None:
+            yield (*current, *state[0], *state[1])
 
     summary_fields = ", ".join(f"pem_{i} boolean, block_{i} int, least_{i} int" for i in (0, 1))
-    summaries = chunked.groupBy(*group).applyInPandas(summarise, f"{key_fields}, _chunk long, {summary_fields}")
-
-    def chain(pdf: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        in_pem, block = (bool(first["pem"].iloc[0]), int(first["block"].iloc[0])) if len(first) else (False, redaction.NO_BLOCK)
-        source, states = (pdf if len(pdf) else first), []
-        for row in pdf.itertuples(index=False):
-            states.append((row[len(keys)], in_pem, block))
-            i = int(in_pem)
-            kept = block < getattr(row, f"least_{i}")
-            in_pem, block = getattr(row, f"pem_{i}"), block if kept else getattr(row, f"block_{i}")
-        states.append((-1, in_pem, block))
-        out = pd.DataFrame(states, columns=["_chunk", "pem", "block"])
-        for i, k in enumerate(keys):
-            out.insert(i, k, source[k].iloc[0])
-        return out
-
-    state_fields = f"{key_fields}, _chunk long, pem boolean, block int"
-    if initial is None:
-        initial = codes.sparkSession.createDataFrame([], f"{key_fields}, pem boolean, block int")
-    starts = summaries.groupBy(*keys).cogroup(initial.select(*keys, "pem", "block").groupBy(*keys)).applyInPandas(chain, state_fields)
-
-    def mark(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({order: pd.Series(dtype="int64")})
-        rows, gone = rows.sort_values(order), []
-        redaction.walk(*columns(rows), bool(start["pem"].iloc[0]), int(start["block"].iloc[0]), gone)
-        return rows.loc[gone, [order]]
-
-    swallowed = chunked.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(mark, f"`{order}` long")
-    closing = starts.filter(F.col("_chunk") == -1).select(*keys, "pem", "block")
+    summaries = folds.walk(rows, summarise, f"{key_fields}, _chunk long, {summary_fields}")
+    # the state a key starts with goes before its first chunk
+    known = [F.col("pem").alias("pem_0"), F.col("block").alias("block_0")]
+    if initial is not None:
+        begin = initial.select(*keys, F.lit(-1).cast("long").alias("_chunk"), *known)
+        summaries = summaries.unionByName(begin, allowMissingColumns=True)
+
+    def chain(frames):
+        current, state = None, None
+        for key, columns in folds.runs(frames, keys):
+            if key != current:
+                if current is not None:
+                    yield (*current, -1, *state)
+                current, state = key, (False, redaction.NO_BLOCK)
+            for at, chunk in enumerate(columns["_chunk"]):
+                if chunk < 0:
+                    state = bool(columns["pem_0"][at]), int(columns["block_0"][at])
+                    continue
+                yield (*key, chunk, *state)
+                i, (_, block) = int(state[0]), state
+                kept = block < columns[f"least_{i}"][at]
+                state = bool(columns[f"pem_{i}"][at]), block if kept else int(columns[f"block_{i}"][at])
+        if current is not None:
+            yield (*current, -1, *state)
+
+    starts = folds.walk(
+        folds.arranged(summaries, keys, ["_chunk"]), chain, f"{key_fields}, _chunk long, in_pem boolean, in_block int")
+
+    def mark(frames):
+        current, state = None, None
+        for key, columns in folds.runs(frames, group):
+            if key != current:
+                current, state = key, (columns["in_pem"][0], columns["in_block"][0])
+            gone: list[bool] = []
+            *state, _ = redaction.walk(*(columns[f] for f in fields), *state, gone)
+            yield from ((row,) for row, hidden in zip(columns[order], gone) if hidden)
+
+    begun = folds.arranged(rows.join(starts, group), group, [order])
+    swallowed = folds.walk(begun, mark, f"`{order}` long")
+    closing = starts.filter(F.col("_chunk") == -1).select(*keys, F.col("in_pem").alias("pem"), F.col("in_block").alias("block"))
     return swallowed, closing
 
 
@@ -99,7 +111,8 @@ def redact_lines(
     stateful = codes.filter(opening).select(*keys).distinct()
     if initial is not None:
         stateful = stateful.unionByName(initial.select(*keys)).distinct()
-    swallowed, closing = block_states(codes.join(stateful, keys, "left_semi"), keys, order, initial, bits)
+    risky = line_codes(lines.join(stateful, keys, "left_semi"), keys, order, line, extra_keys)
+    swallowed, closing = block_states(risky, keys, order, initial, bits)
     marked = lines.join(swallowed.withColumn("_gone", F.lit(True)), order, "left")
     shown = F.when(F.col("_gone"), F.lit("")).otherwise(redaction.redact_line(F.col(line), extra_keys, patterns, secrets))
     return marked.select(*[shown.alias(c) if c == line else F.col(c) for c in lines.columns]), closing

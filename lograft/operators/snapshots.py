@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograft.operators import filters
-from lograft.plans import ordered
+from lograft.plans import folds, ordered
 
 
 def content_hash(content: Column) -> Column:
@@ -117,48 +117,45 @@ def _due(polls: DataFrame, interval: int, bits: int) -> DataFrame:
     interval of the chunk's first poll. Those summaries are chained per device.
     """
     group = ["device", "_chunk"]
-    rows = polls.withColumn("_chunk", F.shiftright("seq", bits))
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        t, fresh = pdf["_t"].to_numpy(), pdf["_fresh"].to_numpy(dtype=bool)
-        firsts, lasts, closing = [], [], None
-        if fresh.any():
-            closing = int(t[_picks(t, fresh, None, interval)[-1]])
-        else:
+    rows = folds.arranged(polls.withColumn("_chunk", F.shiftright("seq", bits)), group, ["seq"])
+    arrays = lambda columns: (np.array(columns["_t"]), np.array(columns["_fresh"], dtype=bool))
+
+    def summarise(frames):
+        for key, columns in folds.groups(frames, group):
+            t, fresh = arrays(columns)
+            if fresh.any():
+                yield (*key, [], [], int(t[_picks(t, fresh, None, interval)[-1]]))
+                continue
             after, ends = np.searchsorted(t, t + interval), t.copy()
             for i in range(len(t) - 1, -1, -1):
                 if after[i] < len(t):
                     ends[i] = ends[after[i]]
             reach = min(len(t), int(np.searchsorted(t, t[0] + interval)) + 1)
-            firsts, lasts = t[:reach].tolist(), ends[:reach].tolist()
-        return pd.DataFrame({
-            "device": [pdf["device"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
-            "firsts": [firsts], "lasts": [lasts], "closing": pd.array([closing], dtype="Int64"),
-        })
-
-    ends = rows.groupBy(*group).applyInPandas(
-        summarise, "device string, _chunk long, firsts array<long>, lasts array<long>, closing long"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, states = pdf.sort_values("_chunk"), None, []
-        for firsts, lasts, closing in zip(pdf["firsts"], pdf["lasts"], pdf["closing"]):
-            states.append(last)
-            if not pd.isna(closing):
-                last = int(closing)
-            elif last is not None:
-                at = int(np.searchsorted(firsts, last + interval))
-                last = int(lasts[at]) if at < len(firsts) else last
-        return pd.DataFrame({"device": pdf["device"], "_chunk": pdf["_chunk"], "last": pd.array(states, dtype="Int64")})
-
-    starts = ends.groupBy("device").applyInPandas(chain, "device string, _chunk long, last long")
-
-    def mark(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf, last = pdf.sort_values("seq"), start["last"].iloc[0]
-        picked = _picks(
-            pdf["_t"].to_numpy(), pdf["_fresh"].to_numpy(dtype=bool), None if pd.isna(last) else int(last), interval
-        )
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[picked], "_due": True})
-
-    return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(mark, "seq long, _due boolean")
+            yield (*key, t[:reach].tolist(), ends[:reach].tolist(), None)
+
+    ends = folds.walk(
+        rows, summarise, "device string, _chunk long, firsts array<long>, lasts array<long>, closing long")
+
+    def chain(frames):
+        current, last = None, None
+        for key, columns in folds.runs(frames, ["device"]):
+            if key != current:
+                current, last = key, None
+            for chunk, firsts, lasts, closing in zip(*(columns[c] for c in ("_chunk", "firsts", "lasts", "closing"))):
+                yield (*key, chunk, last)
+                if not pd.isna(closing):
+                    last = int(closing)
+                elif last is not None:
+                    at = int(np.searchsorted(firsts, last + interval))
+                    last = int(lasts[at]) if at < len(firsts) else last
+
+    starts = folds.walk(folds.arranged(ends, ["device"], ["_chunk"]), chain, "device string, _chunk long, last long")
+
+    def mark(frames):
+        for _, columns in folds.groups(frames, group):
+            last = columns["last"][0]
+            picked = _picks(*arrays(columns), None if pd.isna(last) else int(last), interval)
+            yield from ((columns["seq"][i], True) for i in picked)
+
+    begun = folds.arranged(rows.join(starts, group), group, ["seq"])
+    return folds.walk(begun, mark, "seq long, _due boolean")

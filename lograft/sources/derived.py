@@ -7,6 +7,7 @@ errors are collector errors and the rest are log lines in the formats devices pr
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,17 +64,28 @@ def device_events(spark: SparkSession, sf_dir: str, sessions: bool = True, parse
     return text.parse(log, only=F.col("event_type") == "log") if parsed else log
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log written once as a stored event log in the shared folder and read from there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table that is written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-        store.append(device_events(spark, sf_dir), path)
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
         _STORED[key] = path
-    return store.read(spark, _STORED[key])
+    return _STORED[key]
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stored event log, which is what queries over a real fleet read."""
+    return store.read(spark, _stored(spark, sf_dir, "log", lambda path: store.append(device_events(spark, sf_dir), path)))
+
+
+def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table of the stored log."""
+    rows = device_sessions(stored_log(spark, sf_dir))
+    return spark.read.parquet(_stored(spark, sf_dir, "sessions", lambda path: rows.write.parquet(path)))
 
 
 def device_sessions(events: DataFrame) -> DataFrame:

@@ -35,13 +35,13 @@ def query(fn: Query) -> Query:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.device_events(spark, sf)
+    return derived.stored_log(spark, sf)
 
 
 def _status(spark: SparkSession, sf: str) -> DataFrame:
     """Status of every second device, so that joins with the log have misses on both sides."""
     even = F.substring_index("device", "-", -1).cast("long") % 2 == 0
-    return status.from_events(derived.device_events(spark, sf, parsed=False).withColumn("message", F.col("raw"))).filter(even)
+    return status.from_events(_events(spark, sf)).filter(even)
 
 
 def _stamp(df: DataFrame, *columns: str) -> DataFrame:
@@ -200,19 +200,19 @@ def tail_initial_view(spark, sf):
 
 @query
 def high_water_id(spark, sf):
-    return search.high_water(derived.device_events(spark, sf, sessions=False, parsed=False))
+    return search.high_water(_events(spark, sf))
 
 
 # --- status ---
 
 @query
 def log_summary(spark, sf):
-    return status.log_summary(derived.device_events(spark, sf, sessions=False, parsed=False))
+    return status.log_summary(_events(spark, sf))
 
 
 @query
 def last_event(spark, sf):
-    return status.last_event(derived.device_events(spark, sf, sessions=False, parsed=False))
+    return status.last_event(_events(spark, sf))
 
 
 @query
@@ -222,7 +222,7 @@ def status_from_events(spark, sf):
 
 @query
 def status_rollup(spark, sf):
-    return status.rollup(_status(spark, sf), derived.device_events(spark, sf, sessions=False, parsed=False)).orderBy("device")
+    return status.rollup(_status(spark, sf), _events(spark, sf)).orderBy("device")
 
 
 @query
@@ -248,13 +248,13 @@ def status_stopped(spark, sf):
 
 @query
 def device_attempts(spark, sf):
-    return sessions.attempts(derived.device_events(spark, sf, sessions=False, parsed=False))
+    return sessions.attempts(_events(spark, sf))
 
 
 @query
 def known_devices(spark, sf):
     extra = _status(spark, sf).select(F.concat(F.lit("x-"), "device").alias("device")).unionByName(_status(spark, sf).select("device"))
-    return status.known_devices(derived.device_events(spark, sf, sessions=False, parsed=False), extra)
+    return status.known_devices(_events(spark, sf), extra)
 
 
 @query
@@ -265,7 +265,7 @@ def selected_devices(spark, sf):
 
 @query
 def log_span_text(spark, sf):
-    e = derived.device_events(spark, sf, parsed=False)
+    e = _events(spark, sf)
     per = e.groupBy("session_id").agg(
         F.min(F.when(sessions.is_log(), F.col("ts"))).alias("first"), F.max(F.when(sessions.is_log(), F.col("ts"))).alias("last"))
     return per.select("session_id", times.log_span(F.col("first"), F.col("last")).alias("span"))
@@ -282,7 +282,7 @@ def time_ago_text(spark, sf):
 
 @query
 def sessions_derived(spark, sf):
-    e = derived.device_events(spark, sf, parsed=False).withColumn("message", F.col("raw"))
+    e = _events(spark, sf)
     bye = F.concat(F.lit("device gone ("), F.col("id") % 7, F.lit(" lines this session)"))
     ends = F.col("event_type") == "collector_error"
     e = e.withColumn("message", F.when(ends, bye).otherwise(F.col("message"))).withColumn(
@@ -292,7 +292,7 @@ def sessions_derived(spark, sf):
 
 @query
 def disconnect_audit(spark, sf):
-    e = derived.device_events(spark, sf, parsed=False)
+    e = _events(spark, sf)
     bye = F.concat(F.lit("device gone ("), F.col("id") % 7, F.lit(" lines this session)"))
     ends = F.col("event_type") == "collector_error"
     e = e.withColumn("message", F.when(ends, bye)).withColumn(
@@ -302,17 +302,17 @@ def disconnect_audit(spark, sf):
 
 @query
 def session_line_counts(spark, sf):
-    return sessions.line_counts(derived.device_events(spark, sf, parsed=False))
+    return sessions.line_counts(_events(spark, sf))
 
 
 @query
 def line_numbers(spark, sf):
-    return sessions.line_numbers(derived.device_events(spark, sf, parsed=False)).select("session_id", "id", "line_no")
+    return sessions.line_numbers(_events(spark, sf)).select("session_id", "id", "line_no")
 
 
 @query
 def session_gaps(spark, sf):
-    return sessions.gaps(derived.device_events(spark, sf, parsed=False))
+    return sessions.gaps(_events(spark, sf))
 
 
 @query
@@ -329,7 +329,7 @@ def throttled_last_line(spark, sf):
 
 @query
 def crash_closed_sessions(spark, sf):
-    s = derived.device_sessions(derived.device_events(spark, sf, parsed=False))
+    s = derived.stored_sessions(spark, sf)
     crashed = F.col("line_count") % 3 == 1
     s = s.withColumn("ended_at", F.when(~crashed, F.col("ended_at"))).withColumn(
         "end_reason", F.when(F.col("line_count") % 2 == 0, F.col("end_reason")))
@@ -338,12 +338,12 @@ def crash_closed_sessions(spark, sf):
 
 @query
 def idle_breaks(spark, sf):
-    return sessions.idle_breaks(derived.device_events(spark, sf, parsed=False), 36_000)
+    return sessions.idle_breaks(_events(spark, sf), 36_000)
 
 
 @query
 def sessions_overlapping(spark, sf):
-    s = derived.device_sessions(derived.device_events(spark, sf, parsed=False))
+    s = derived.stored_sessions(spark, sf)
     start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-10 00:00:00", "2024-01-12 12:00:00"))
     return s.filter(filters.session_overlap(start, end))
 
@@ -359,7 +359,7 @@ def failure_excerpt(spark, sf):
 
 @query
 def backoff_audit(spark, sf):
-    s = derived.device_sessions(derived.device_events(spark, sf, parsed=False))
+    s = derived.stored_sessions(spark, sf)
     return sessions.backoff_audit(s, reset_after=4 * 86400.0)
 
 
@@ -440,22 +440,22 @@ def retention_run_stats(spark, sf):
     run = full_plan(spark, sf)
     snaps = derived.snapshots(spark, sf)
     return retention.run_statistics(
-        run, derived.device_sessions(run.events), snaps, snapshots.prune(snaps, derived.NOW, 29.5, 4),
+        run, derived.stored_sessions(spark, sf), snaps, snapshots.prune(snaps, derived.NOW, 29.5, 4),
         retention.archive_plan(derived.archive_listing(spark, sf), derived.NOW, PREFIX, 14, 300_000),
     )
 
 
 @query
 def orphan_sessions(spark, sf):
-    e = derived.device_events(spark, sf, parsed=False)
+    e = _events(spark, sf)
     left = e.filter(~filters.older_than("ts", 20, derived.NOW, e))
-    return retention.orphan_sessions(derived.device_sessions(e), left)
+    return retention.orphan_sessions(derived.stored_sessions(spark, sf), left)
 
 
 @query
 def deleted_line_total(spark, sf):
     """The counter over one run per event day, each deleting that day's rows."""
-    e = derived.device_events(spark, sf, sessions=False, parsed=False)
+    e = _events(spark, sf)
     runs = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(sessions.is_log()).alias("deleted_log_lines"))
     return retention.cumulative_deleted(runs)
 
@@ -498,7 +498,7 @@ def snapshot_in_effect(spark, sf):
 
 
 def _polls(spark, sf) -> DataFrame:
-    return derived.device_events(spark, sf, sessions=False, parsed=False).select(
+    return _events(spark, sf).select(
         "device", F.col("id").alias("seq"), "ts", F.sha2("event_type", 256).alias("source_hash"))
 
 
@@ -637,7 +637,7 @@ def discovery_known_anti(spark, sf):
 
 @query
 def discovery_admit(spark, sf):
-    return inventory.admit(derived.discovered(spark, sf), _existing(spark, sf), tail_rows=200, **RULES)
+    return inventory.admit(derived.discovered(spark, sf), _existing(spark, sf), tail_rows=1000, **RULES)
 
 
 # --- export ---
@@ -649,7 +649,7 @@ def export_rows(spark, sf):
 
 @query
 def export_sessions(spark, sf):
-    s = derived.device_sessions(derived.device_events(spark, sf, parsed=False))
+    s = derived.stored_sessions(spark, sf)
     return export.session_rows(s, ["dev-1", "dev-2", "dev-7"], RANGE[0], RANGE[1])
 
 
@@ -666,7 +666,7 @@ def export_snapshots(spark, sf):
 
 @query
 def export_manifest_counts(spark, sf):
-    return export.event_counts(derived.device_events(spark, sf, parsed=False), start=RANGE[0], end=RANGE[1])
+    return export.event_counts(_events(spark, sf), start=RANGE[0], end=RANGE[1])
 
 
 # --- streams, run until the given tables are read ---
