@@ -14,7 +14,7 @@ from lograft import fixed
 # --- fixed patterns; %s is the whitespace class, spelled out because the dialects differ on it ---
 _KEY_LINE = r"""^([%s]*)((?:-[%s]+)*)("[^"]*"|'[^']*'|[^%s:#'"][^:#]*?)[%s]*:(?:[%s]+|$)(.*)$"""
 _URL_USER = r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/%s:@]+:[^/%s@]*@"
-_BLOCK_VALUE = r"^[|>][+-]?\d*$"
+_BLOCK_VALUE = r"^(?:[|>][+-]?\d*)?$"
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 KEY_LINE = "(?d)" + _KEY_LINE.replace("%s", SPACE)
@@ -114,8 +114,9 @@ def opens_block(line: Column, extra_keys: Sequence[str] = ()) -> Column:
     """Column of a sensitive key whose value is on the following lines, else NO_BLOCK."""
     group = lambda i: F.regexp_extract(line, KEY_LINE, i)
     value = F.regexp_replace(group(4), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    opens = is_sensitive(line_key(line), extra_keys) & ((value == "") | F.rlike(value, F.lit(_BLOCK_VALUE)))
-    return F.when(opens, F.length(group(1)) + F.length(group(2))).otherwise(NO_BLOCK).cast("int")
+    opens = F.when(F.rlike(value, F.lit(_BLOCK_VALUE)), F.length(group(1)) + F.length(group(2))).otherwise(NO_BLOCK)
+    # nested, so that the further groups are only taken from the few sensitive lines
+    return F.when(is_sensitive(line_key(line), extra_keys), opens).otherwise(NO_BLOCK).cast("int")
 
 
 def walk(
@@ -170,7 +171,7 @@ def document_redactor(
         found = key_line.match(line) if ":" in line else None
         if found and sensitive.search(found[3].strip("'\"")):
             rest = found[4].strip()
-            opens = len(found[1]) + len(found[2]) if not rest or block_value.match(rest) else NO_BLOCK
+            opens = len(found[1]) + len(found[2]) if block_value.match(rest) else NO_BLOCK
             return code, depth, opens, f"{found[1]}{found[2]}{found[3]}: {fixed.REDACTED}"
         line = url_user.sub(r"\g<1>" + fixed.REDACTED + "@", line)
         for pattern in values:

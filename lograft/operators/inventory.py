@@ -134,32 +134,32 @@ def drop_known(found: DataFrame, existing: DataFrame) -> DataFrame:
 def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
     """Accept devices in (lower name, pos) order while neither name nor address is taken.
 
-    Every round accepts the rows that come first both in their name and in their address, and
-    drops all rows sharing either. Rows without an address or with a bad name never claim
-    anything, so they leave first. Equal (name, address) pairs collapse to their first row before
-    anything is joined. Long chains would need many rounds: once no more than ``tail_rows`` rows
-    are left, one task finishes them in order, with the same result.
+    Said differently, names choose in order, each its first address that no smaller name has. So in
+    a round every name points at its first address left, and a row goes if a smaller name points at
+    its address: whichever of the smaller names gets it, this row never will. When nothing goes any
+    more, all first choices differ and are the answer. A round handles all names at once, the rows
+    are reduced to one per (name, address) before anything is joined, and a pool of at most
+    ``tail_rows`` rows is finished in order by one task, with the same result.
+
+    Rows without an address or with a bad name never claim anything, so they leave first.
     """
     shared_dir(found.sparkSession)
     usable = found.filter(F.coalesce(F.col("address"), F.lit("")) != "").filter(text.valid_device_name(F.col("name")))
-    rank = F.struct("_name", "pos")
-    pairs = usable.select(
+    pool = usable.select(
         F.lower("name").alias("_name"), F.lower("address").alias("_address"), "pos", "name", "address"
     ).groupBy("_name", "_address").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r")).select(
         "_name", "_address", "_r.*"
-    )
-    left, accepted = pairs.checkpoint(), None
-    while left.count() > tail_rows:
-        head = F.min_by(F.struct(*left.columns), rank).alias("_r")
-        by_name = left.groupBy("_name").agg(head).select("_r.*")
-        by_address = left.groupBy("_address").agg(head).select("_r._name", "_address")
-        # one row per name meets one row per address, so this join has no hot key
-        heads = by_name.join(by_address, ["_name", "_address"]).select(*left.columns).checkpoint()
-        accepted = heads if accepted is None else accepted.unionByName(heads)
-        left = (
-            left.join(heads.select("_name"), "_name", "left_anti")
-            .join(heads.select("_address"), "_address", "left_anti").checkpoint()
-        )
+    ).checkpoint()
+    size, before = pool.count(), -1
+    while size > tail_rows and size != before:
+        first = pool.groupBy("_name").agg(F.min_by("_address", "pos").alias("_address"))
+        smallest = first.groupBy("_address").agg(F.min("_name").alias("_holder"))
+        kept = pool.join(smallest, "_address", "left").filter(F.col("_holder").isNull() | (F.col("_name") <= F.col("_holder")))
+        pool = kept.select(*pool.columns).checkpoint()
+        size, before = pool.count(), size
+    if size > tail_rows:
+        best = pool.groupBy("_name").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r"))
+        return best.select("_r.*")
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_name", "pos"])
@@ -171,9 +171,7 @@ def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
                 kept.append(i)
         return pdf.iloc[kept]
 
-    rest = left.groupBy().applyInPandas(finish, left.schema)
-    done = rest if accepted is None else accepted.unionByName(rest)
-    return done.select("pos", "name", "address")
+    return pool.groupBy().applyInPandas(finish, pool.schema).select("pos", "name", "address")
 
 
 def admit(found: DataFrame, existing: DataFrame, tail_rows: int = 50_000, **rules) -> DataFrame:

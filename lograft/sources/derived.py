@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lograft.functions import text
 from lograft.operators.sessions import assign_sessions
 from lograft.plans import ordered
+from lograft.plans.spread import spread
 from lograft.session import shared_dir
 from lograft.sources import store
 
@@ -58,7 +59,7 @@ def log_rows(source: DataFrame) -> DataFrame:
 
 def device_events(spark: SparkSession, sf_dir: str, sessions: bool = True, parsed: bool = True) -> DataFrame:
     """The event log of the fleet, with session ids and parsed fields unless they are not wanted."""
-    log = log_rows(table(spark, sf_dir, "events"))
+    log = log_rows(table(spark, sf_dir, "events") if sessions else spread(table(spark, sf_dir, "events")))
     if sessions:
         log = assign_sessions(log)
     return text.parse(log, only=F.col("event_type") == "log") if parsed else log
@@ -140,7 +141,7 @@ def snapshot_rows(docs: DataFrame) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, with credential-bearing lines mixed in by document number."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_text"))
     n = F.col("doc_id") % 7
     line = (
@@ -162,7 +163,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a credential section in front of every third one."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     head = F.concat(
         F.lit("wifi:\n  ssid: net\n  password: pw-"), F.col("doc_id"), F.lit("\nkey: |\n  line\nurl: http://u:p@h/\n")
     )
