@@ -521,3 +521,53 @@ h AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY device ORDER BY
 i AS (SELECT device || '-all' AS session_id, device, min(ts) AS a, max(ts) AS b, count(*) AS rows FROM h GROUP BY device, stretch)
 SELECT session_id, device, strftime(a, '{STORED}') AS active_from, strftime(b, '{STORED}') AS silent_since, rows
 FROM i WHERE epoch_us(b) + 36000000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM base) - 60000000""", EVENTS)
+
+# --- line-by-line results, as recursive queries ---
+BLOCKS = """
+coded AS (
+  SELECT *, CASE WHEN regexp_matches(line, '{begin}') THEN CASE WHEN regexp_matches(line, '(?s){begin}.*{end}') THEN 1 ELSE 3 END ELSE 0 END AS pem,
+    regexp_matches(line, '{end}') AS ends, CASE WHEN regexp_matches(line, '^[{space}]*$') THEN -1 ELSE length(line) - length(ltrim(line, ' ')) END AS indent,
+    CASE WHEN {sensitive} AND regexp_matches(regexp_extract(line, {key}, 4), '^[{space}]*(?:[|>][+-]?[0-9]*)?[{space}]*$')
+      THEN length(regexp_extract(line, {key}, 1)) + length(regexp_extract(line, {key}, 2)) ELSE 2147483647 END AS opens,
+    row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n
+  FROM {lines}),
+walk(doc_id, n, in_pem, block, hidden) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), FALSE, CAST(2147483647 AS BIGINT), FALSE FROM coded
+  UNION ALL
+  SELECT c.doc_id, c.n,
+    CASE WHEN w.in_pem THEN NOT c.ends WHEN c.pem > 0 THEN c.pem = 3 ELSE FALSE END,
+    CASE WHEN w.in_pem OR c.pem > 0 OR c.indent < 0 OR c.indent > w.block THEN w.block ELSE c.opens END,
+    CASE WHEN w.in_pem THEN TRUE WHEN c.pem > 0 THEN FALSE WHEN c.indent < 0 THEN w.block <> 2147483647 ELSE c.indent > w.block END
+  FROM walk w JOIN coded c ON c.doc_id = w.doc_id AND c.n = w.n + 1),
+shown AS (SELECT c.doc_id, c.line_no, CASE WHEN w.hidden THEN '' ELSE {single} END AS line FROM coded c JOIN walk w ON c.doc_id = w.doc_id AND c.n = w.n)"""
+
+
+def blocks(lines: str, extra: str) -> str:
+    return BLOCKS.format(begin=fixed.PEM_BEGIN, end=fixed.PEM_END, space=SPACE, key=lit(KEY_LINE), sensitive=sensitive(extra),
+                         single=single(extra), lines=lines)
+
+
+define("redact_sessions", "SELECT doc_id, line_no, line FROM shown", LINES, blocks("dl", "|^note$"))
+SECRET_DOCS = r"""
+secret_docs AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'wifi:' || chr(10) || '  ssid: net' || chr(10) || '  password: pw-' || doc_id || chr(10) || 'key: |' || chr(10)
+    || '  line' || chr(10) || 'url: http://u:p@h/' || chr(10) ELSE '' END || text AS text FROM documents),
+cut AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS parts, text LIKE '%' || chr(10) AS ended FROM secret_docs),
+split_lines AS (
+  SELECT doc_id, CAST(unnest(range(len(p))) AS BIGINT) AS line_no, unnest(p) AS line
+  FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS p FROM cut))"""
+define("redact_documents", """
+SELECT doc_id, coalesce(t, '') || CASE WHEN ended THEN chr(10) ELSE '' END AS text
+FROM cut LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM shown GROUP BY 1) USING (doc_id)""",
+       SECRET_DOCS, blocks("split_lines", ""))
+define("discovery_admit", f"""
+, pool AS (SELECT *, lower(name) AS low, row_number() OVER (ORDER BY lower(name), pos) AS n FROM found
+  WHERE {WANTED} AND {UNKNOWN} AND address IS NOT NULL),
+pick(n, names, addresses, pos) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT p.n, CASE WHEN ok THEN list_append(names, low) ELSE names END, CASE WHEN ok THEN list_append(addresses, address) ELSE addresses END, CASE WHEN ok THEN p.pos END
+  FROM pick k JOIN pool p ON p.n = k.n + 1, LATERAL (SELECT NOT list_contains(names, low) AND NOT list_contains(addresses, address) AS ok))
+SELECT pos, name, address FROM found WHERE pos IN (SELECT pos FROM pick WHERE pos IS NOT NULL)""", FOUND)
+for _name in ("redact_sessions", "redact_documents", "discovery_admit"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
