@@ -242,29 +242,27 @@ class Plan:
         rows = self.survivors().select("id", logical_bytes(self.events).alias("_bytes"))
         chunked = rows.withColumn("_chunk", F.shiftright("id", self.bits))
         chunks = chunked.groupBy("_chunk").agg(F.count("*").alias("_rows"), F.sum("_bytes").alias("_bytes"))
-        total, count = chunks.agg(
-            F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0))
-        ).first()
-        excess = total - limit
-        if excess <= 0:
-            return
         running = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+        everything = Window.partitionBy()
         hit = chunks.select(
-            "_chunk", "_rows", "_bytes", F.sum("_rows").over(running).alias("_n"), F.sum("_bytes").over(running).alias("_b")
-        ).filter(F.col("_b") >= excess).orderBy("_chunk").first()
-        rows_before, bytes_before = hit["_n"] - hit["_rows"], hit["_b"] - hit["_bytes"]
+            "_chunk", "_rows", "_bytes", F.sum("_rows").over(running).alias("_n"), F.sum("_bytes").over(running).alias("_b"),
+            F.sum("_rows").over(everything).alias("count"), (F.sum("_bytes").over(everything) - limit).alias("excess"),
+        ).filter((F.col("excess") > 0) & (F.col("_b") >= F.col("excess"))).orderBy("_chunk").first()
+        if hit is None:
+            return
+        size, rows_before, bytes_before = self.policy.batch_size, hit["_n"] - hit["_rows"], hit["_b"] - hit["_bytes"]
         by_id = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
         inside = chunked.filter(F.col("_chunk") == hit["_chunk"]).select(
-            "id", F.row_number().over(Window.orderBy("id")).alias("_place"), F.sum("_bytes").over(by_id).alias("_b")
-        )
-        place = inside.filter(F.col("_b") >= excess - bytes_before).agg(F.min("_place")).first()[0]
-        batches = -(-(rows_before + place) // self.policy.batch_size)
-        matching = min(count, batches * self.policy.batch_size)
+            "id", F.row_number().over(Window.orderBy("id")).alias("_place"), F.sum("_bytes").over(by_id).alias("_b"))
+        place = inside.filter(F.col("_b") >= hit["excess"] - bytes_before).agg(F.min("_place")).first()[0]
+        batches = -(-(rows_before + place) // size)
+        matching = min(hit["count"], batches * size)
         cut = self._spend(POLICIES[2], "size", None, matching, batches)
         wanted = matching if cut is None else cut
-        if wanted:
-            end = ordered.locate(rows.select("id"), wanted, ordered.id_levels(bits=self.bits), ["id"], self.bits)
-            self._size_end = end["id"]
+        if rows_before < wanted <= hit["_n"]:  # the last batch ends in the same chunk
+            self._size_end = inside.filter(F.col("_place") == wanted - rows_before).first()["id"]
+        elif wanted:
+            self._size_end = ordered.locate(rows.select("id"), wanted, ordered.id_levels(bits=self.bits), ["id"], self.bits)["id"]
 
     # --- results ---
 

@@ -26,21 +26,25 @@ def assign_sessions(events: DataFrame, order: str = "id") -> DataFrame:
 
 
 def derive(events: DataFrame) -> DataFrame:
-    """The session table: start, end, reason and number of log lines."""
-    ended = F.col("event_type") == "disconnected"
-    return (
-        events.filter(F.col("session_id") != fixed.CAPTURE_SESSION)
-        .groupBy("session_id", "device")
-        .agg(
-            F.max_by("address", "id").alias("address"), F.min("id").alias("first_id"),
-            F.coalesce(F.min(F.when(is_start(), F.col("ts"))), F.min("ts")).alias("started_at"),
-            F.max(F.when(ended, F.col("ts"))).alias("ended_at"),
-            F.max_by("message", F.when(ended, F.col("id"))).alias("_bye"),
-            F.count_if(is_log()).alias("line_count"),
-        )
-        .withColumn("end_reason", text.disconnect_fields(F.col("_bye"))["reason"])
-        .drop("_bye")
+    """The session table: start, end, reason and number of log lines.
+
+    All rows go through a hash aggregate over numbers only; texts, which would force a sort, are
+    taken from what is left of them: one row per (session, address), and the disconnect rows.
+    """
+    kept = events.filter(F.col("session_id") != fixed.CAPTURE_SESSION)
+    parts = kept.groupBy("session_id", "device", "address").agg(
+        F.min("id").alias("_first"), F.max("id").alias("_last"), F.min("ts").alias("_ts"),
+        F.min(F.when(is_start(), F.col("ts"))).alias("_start"),
+        F.max(F.when(F.col("event_type") == "disconnected", F.col("ts"))).alias("_end"), F.count_if(is_log()).alias("_lines"),
     )
+    table = parts.groupBy("session_id", "device").agg(
+        F.max_by("address", "_last").alias("address"), F.min("_first").alias("first_id"),
+        F.coalesce(F.min("_start"), F.min("_ts")).alias("started_at"), F.max("_end").alias("ended_at"),
+        F.sum("_lines").alias("line_count"),
+    )
+    byes = kept.filter(F.col("event_type") == "disconnected").groupBy("session_id").agg(F.max_by("message", "id").alias("_bye"))
+    return table.join(byes, "session_id", "left").withColumn(
+        "end_reason", text.disconnect_fields(F.col("_bye"))["reason"]).drop("_bye")
 
 
 def line_counts(events: DataFrame) -> DataFrame:
@@ -81,10 +85,8 @@ def gaps(events: DataFrame) -> DataFrame:
 def first_connected(events: DataFrame) -> DataFrame:
     """The first log line of a session that proves a connection; at most one per session."""
     proof = is_log() & text.looks_connected(F.col("device_time"), F.col("message"))
-    first = F.min_by(F.struct("id", "ts"), "id").alias("_first")
-    return events.filter(proof).groupBy("session_id", "device").agg(first).select(
-        "session_id", "device", F.col("_first.id").alias("id"), F.col("_first.ts").alias("connected_at")
-    )
+    return events.filter(proof).groupBy("session_id", "device").agg(
+        F.min("id").alias("id"), F.min_by("ts", "id").alias("connected_at"))
 
 
 def last_lines(events: DataFrame, stride: int = fixed.LAST_LINE_STRIDE) -> DataFrame:

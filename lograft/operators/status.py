@@ -94,16 +94,23 @@ def stop_all(status: DataFrame, now: Column) -> DataFrame:
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """Status of every device as its events tell it; one partially aggregated pass."""
+    """Status of every device as its events tell it.
+
+    Only collector events carry texts that matter, and they are few; log lines just prove that the
+    device exists and where, for which a hash aggregate per (device, address) is enough.
+    """
     kind = F.col("event_type")
+    places = events.groupBy("device", "address").agg(F.max("id").alias("_last")).groupBy("device").agg(
+        F.max_by("address", "_last").alias("address"))
     steps = kind.isin("session_start", "connected", "disconnected", "retry_scheduled")
     seen = F.struct("id", "event_type", "session_id", "ts", "message")
     latest = lambda cond: F.max_by(seen, F.when(cond, F.col("id")))
     own_error = (kind == "collector_error") & (F.col("session_id") != fixed.CAPTURE_SESSION)
-    per_device = events.groupBy("device").agg(
-        F.max_by("address", "id").alias("address"), latest(steps).alias("_step"), latest(own_error).alias("_error"),
-        latest(kind == "disconnected").alias("_bye"), F.count_if(is_start()).alias("attempts"),
+    told = events.filter(~is_log()).groupBy("device").agg(
+        latest(steps).alias("_step"), latest(own_error).alias("_error"), latest(kind == "disconnected").alias("_bye"),
+        F.count_if(is_start()).alias("_starts"),
     )
+    per_device = places.join(told, "device", "left").withColumn("attempts", F.coalesce("_starts", F.lit(0)))
     step = F.col("_step.event_type")
     reason = text.disconnect_fields(F.col("_bye.message"))["reason"]
     by_reason = F.col("_bye.id").isNotNull() & (
