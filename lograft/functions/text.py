@@ -131,11 +131,11 @@ def retry_fields(message: Column) -> Column:
     pattern = r"^retry in ([0-9.]+)s \(attempt ([0-9]+)\) at (\S+)$"
     field = lambda i: F.nullif(F.regexp_extract(message, pattern, i), F.lit(""))
     return F.struct(
-        field(1).cast("double").alias("delay"), field(2).cast("long").alias("attempt"), field(3).alias("retry_at")
+        field(1).try_cast("double").alias("delay"), field(2).try_cast("long").alias("attempt"), field(3).alias("retry_at")
     )
 
 
 def disconnect_fields(message: Column) -> Column:
     pattern = r"(?s)^(.*) \(([0-9]+) lines this session\)$"
     field = lambda i: F.nullif(F.regexp_extract(message, pattern, i), F.lit(""))
-    return F.struct(field(1).alias("reason"), field(2).cast("long").alias("lines"))
+    return F.struct(field(1).alias("reason"), field(2).try_cast("long").alias("lines"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lograft import fixed
 from lograft.functions import text
 from lograft.operators.filters import discovery_match
+from lograft.plans.salted import salted_join
 from lograft.session import shared_dir
 
 SETTINGS = tuple(fixed.BUILTIN_SETTINGS)
@@ -64,10 +65,10 @@ def first_of_name(registry: DataFrame) -> DataFrame:
 def duplicate_names(registry: DataFrame) -> DataFrame:
     """Rows whose name an earlier row already has; the first one wins.
 
-    One pre-aggregated row per name is joined back; AQE splits a name that very many rows share.
+    One pre-aggregated row per name is joined back, salted because very many rows may share a name.
     """
     named = registry.filter(text.valid_device_name(F.col("name"))).withColumn("_low", F.lower("name"))
-    return named.join(first_of_name(registry), "_low").filter(F.col("pos") > F.col("_first")).select(
+    return salted_join(named, first_of_name(registry), ["_low"]).filter(F.col("pos") > F.col("_first")).select(
         "pos", "name", F.col("_first").alias("first_pos")
     )
 
@@ -92,7 +93,7 @@ def violations(registry: DataFrame) -> DataFrame:
     blank = lambda n: F.trim(c(n)) == ""
     name_ok = F.coalesce(text.valid_device_name(c("name")), F.lit(False))
     firsts = first_of_name(registry)
-    rows = registry.withColumn("_low", F.when(name_ok, F.lower("name"))).join(firsts, "_low", "left")
+    rows = salted_join(registry.withColumn("_low", F.when(name_ok, F.lower("name"))), firsts, ["_low"], "left")
     known = c("backend").isin(*BACKENDS)
     is_cli = c("backend") == "cli"
     rules = [
@@ -128,7 +129,8 @@ def drop_known(found: DataFrame, existing: DataFrame) -> DataFrame:
     names = existing.select(F.explode(F.array(low("name"), low("alias"))).alias("_name")).filter("_name is not null").distinct()
     addresses = existing.select(low("address").alias("_address")).filter("_address is not null").distinct()
     rows = found.withColumn("_name", low("name")).withColumn("_address", low("address"))
-    return rows.join(names, "_name", "left_anti").join(addresses, "_address", "left_anti").select(*found.columns)
+    unnamed = salted_join(rows, names, ["_name"], "left_anti")
+    return salted_join(unnamed, addresses, ["_address"], "left_anti").select(*found.columns)
 
 
 def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
@@ -154,7 +156,7 @@ def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
     while size > tail_rows and size != before:
         first = pool.groupBy("_name").agg(F.min_by("_address", "pos").alias("_address"))
         smallest = first.groupBy("_address").agg(F.min("_name").alias("_holder"))
-        kept = pool.join(smallest, "_address", "left").filter(F.col("_holder").isNull() | (F.col("_name") <= F.col("_holder")))
+        kept = salted_join(pool, smallest, ["_address"], "left").filter(F.col("_holder").isNull() | (F.col("_name") <= F.col("_holder")))
         pool = kept.select(*pool.columns).checkpoint()
         size, before = pool.count(), size
     if size > tail_rows:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lograft.functions import redaction
 from lograft.plans import folds
+from lograft.plans.salted import salted_join
 
 # rows of one chunk; only four integers a row travel to Python
 FOLD_BITS = 20
@@ -111,7 +112,7 @@ def redact_lines(
     stateful = codes.filter(opening).select(*keys).distinct()
     if initial is not None:
         stateful = stateful.unionByName(initial.select(*keys)).distinct()
-    risky = line_codes(lines.join(stateful, keys, "left_semi"), keys, order, line, extra_keys)
+    risky = line_codes(salted_join(lines, stateful, keys, "left_semi"), keys, order, line, extra_keys)
     swallowed, closing = block_states(risky, keys, order, initial, bits)
     marked = lines.join(swallowed.withColumn("_gone", F.lit(True)), order, "left")
     shown = F.when(F.col("_gone"), F.lit("")).otherwise(redaction.redact_line(F.col(line), extra_keys, patterns, secrets))

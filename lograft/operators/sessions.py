@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lograft import fixed
 from lograft.functions import text, times
 from lograft.plans import ordered
+from lograft.plans.salted import salted_join
 
 
 def is_log() -> Column:
@@ -141,8 +142,10 @@ def failure_excerpt(events: DataFrame, failed: DataFrame | None = None) -> DataF
     Every session keeps at most 8 + 16 + 8 lines before anything is grouped by session.
     """
     if failed is None:
-        failed = events.filter(F.col("event_type") == "collector_error").select("session_id").distinct()
-    lines = events.filter(is_log()).join(failed.select("session_id"), "session_id", "left_semi").select(
+        failed = events.filter(F.col("event_type") == "collector_error")
+    lines = salted_join(
+        events.filter(is_log()).select("session_id", "id", "raw"), failed.select("session_id").distinct(), ["session_id"], "left_semi"
+    ).select(
         "session_id", "id", text.first_chars(F.col("raw")).alias("line"), text.is_diagnostic(F.col("raw")).alias("_diag"),
     )
     placed = ordered.scan(lines, ["session_id"], "id", [

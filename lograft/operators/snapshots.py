@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lograft.operators import filters
 from lograft.plans import folds, ordered
+from lograft.plans.salted import salted_join
 
 
 def content_hash(content: Column) -> Column:
@@ -73,7 +74,7 @@ def capture_triggers(
     base = F.col("_before.source_hash")
     if stored is not None and not on_startup:
         known = stored.select("device", F.col("source_hash").alias("_stored"))
-        seen = seen.join(known, "device", "left")
+        seen = salted_join(seen, known, ["device"], "left")
         base = F.when(F.col("_n") == 2, F.coalesce("_stored", base)).otherwise(base)
     first = F.col("_n") == 1
     change = ~first & F.lit(on_change) & (base != F.col("source_hash"))

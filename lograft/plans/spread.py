@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SMALLEST = 128 * 1024  # bytes of columnar input worth a task
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out to all cores if the scan alone would leave cores idle.
 
     A file with one row group is read by one task, which then also does all parsing. Above one
     full scan partition per core, by the optimizer's own size estimate, this does nothing: at
-    scale the scan is already parallel and a shuffle would only cost.
+    scale the scan is already parallel and a shuffle would only cost. Very small inputs go to a
+    few tasks only.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * per_task else df
+    return df.repartition(min(cores, size // SMALLEST + 1)) if size < cores * per_task else df

@@ -33,6 +33,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     pattern = rf"(?s)^(\S+) (?:{fixed.RAW_COPY_MARK}({'|'.join(fixed.EVENT_TYPES[1:])}): )?(.*)$"
     field = lambda i: F.regexp_extract("value", pattern, i)
     return lines.select(
-        F.col("device").cast("string").alias("device"), field(1).cast("timestamp").alias("ts"),
+        F.col("device").cast("string").alias("device"), field(1).try_cast("timestamp").alias("ts"),
         F.coalesce(F.nullif(field(2), F.lit("")), F.lit("log")).alias("event_type"), field(3).alias("raw"),
     )

@@ -24,7 +24,7 @@ def snapshot_changes(stored: DataFrame, out: str, checkpoint: str, once: bool =
         state.output(snapshots.changed(joined).filter("_new").drop("_new"), f"{out}/changes", number)
         state.write(snapshots.latest(joined.select("device", "id", "content_hash")), f"{out}/latest", number)
 
-    writer = stored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
+    writer = stored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(state.each_batch(fold))
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": "1 second"})).start()
 
 

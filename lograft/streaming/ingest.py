@@ -37,19 +37,14 @@ def ingest_batch(
     spark = batch.sparkSession
     marks = state.read(spark, f"{state_dir}/marks", number, "high_water long").first()
     high_water = marks[0] if marks else 0
-    batch = batch.persist()
-    try:
-        rows = with_ids(line_source.clean_lines(batch), high_water).withColumnRenamed("value", "raw")
-        before = state.read(spark, f"{state_dir}/blocks", number, BLOCKS)
-        shown, closing = redact.redact_lines(
-            rows, ["session_id"], "id", "raw", extra_keys, patterns, secrets, initial=before)
-        events = text.parse(shown.withColumn("address", F.lit(None).cast("string")).withColumn("event_type", F.lit("log")))
-        state.output(store.stored_form(events), target, number, "event_date")
-        open_blocks = closing.filter(F.col("pem") | (F.col("block") != redaction.NO_BLOCK))
-        state.write(open_blocks.select("session_id", "pem", "block"), f"{state_dir}/blocks", number)
-        state.write(rows.agg((F.count("*") + high_water).alias("high_water")), f"{state_dir}/marks", number)
-    finally:
-        batch.unpersist()
+    rows = with_ids(line_source.clean_lines(batch), high_water).withColumnRenamed("value", "raw")
+    before = state.read(spark, f"{state_dir}/blocks", number, BLOCKS)
+    shown, closing = redact.redact_lines(rows, ["session_id"], "id", "raw", extra_keys, patterns, secrets, initial=before)
+    events = text.parse(shown.withColumn("address", F.lit(None).cast("string")).withColumn("event_type", F.lit("log")))
+    state.output(store.stored_form(events), target, number, "event_date")
+    open_blocks = closing.filter(F.col("pem") | (F.col("block") != redaction.NO_BLOCK))
+    state.write(open_blocks.select("session_id", "pem", "block"), f"{state_dir}/blocks", number)
+    state.write(rows.agg((F.count("*") + high_water).alias("high_water")), f"{state_dir}/marks", number)
 
 
 def start(lines: DataFrame, target: str, state_dir: str, checkpoint: str, once: bool = False, **rules) -> StreamingQuery:
@@ -60,5 +55,5 @@ def start(lines: DataFrame, target: str, state_dir: str, checkpoint: str, once:
     """
     stamped = lines.withColumn("ts", F.current_timestamp())
     writer = stamped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, number: ingest_batch(batch, number, target, state_dir, **rules))
+        state.each_batch(lambda batch, number: ingest_batch(batch, number, target, state_dir, **rules)))
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": "1 second"})).start()

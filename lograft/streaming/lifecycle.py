@@ -23,22 +23,26 @@ def fold_sessions(events: DataFrame, before: DataFrame, stride: int = fixed.LAST
     """Session state after a batch of events, given the state before it.
 
     Rows are reduced per session inside the batch first; one row per session meets the old state.
+    The retry notice comes after a session has ended and changes nothing about it.
     """
-    was = before.select(
-        "session_id", F.col("lines").alias("_lines"), F.col("connected_id").alias("_connected"))
+    events = events.filter(F.col("event_type") != "retry_scheduled")
     logs = events.filter(sessions.is_log()).select(
         "session_id", "id", "ts", text.looks_connected(F.col("device_time"), F.col("message")).alias("_proof"))
     numbered = ordered.scan(logs, ["session_id"], "id", [
         ordered.running_count("_n"), ordered.running_count("_proofs", F.col("_proof")),
-    ]).join(was, "session_id", "left")
-    fresh = F.col("_connected").isNull()
-    connect = fresh & F.col("_proof") & (F.col("_proofs") == 1)
-    number = F.col("_n") + F.coalesce("_lines", F.lit(0))
-    stored = connect | ((~fresh | (F.col("_proofs") > 0)) & (number % stride == 0))
+    ])
     lines = numbered.groupBy("session_id").agg(
-        F.count("*").alias("_new"), F.min(F.when(connect, F.col("id"))).alias("_cid"), F.min(F.when(connect, F.col("ts"))).alias("_cat"),
-        F.max_by("ts", F.when(stored, F.col("id"))).alias("_stored"), F.max_by("ts", "id").alias("_exact"),
+        F.count("*").alias("_new"), F.max_by("ts", "id").alias("_exact"),
+        F.min(F.when(F.col("_proof"), F.col("id"))).alias("_cid"), F.min_by("ts", F.when(F.col("_proof"), F.col("id"))).alias("_cat"),
     )
+    # Which lines are a multiple of the stride depends on the lines before the batch. Keeping the last
+    # line per remainder, at most ``stride`` rows a session, lets that be decided per session.
+    last = lambda condition: F.max_by("ts", F.when(condition, F.col("id")))
+    remainders = numbered.groupBy("session_id", (F.col("_n") % stride).alias("_rest")).agg(
+        last(F.lit(True)).alias("_any"), last(F.col("_proofs") > 0).alias("_after"))
+    rest = F.pmod(-F.coalesce("lines", F.lit(0)), F.lit(stride)).alias("_rest")
+    marked = before.select("session_id", "lines").join(lines, "session_id", "right").select(lines["*"], rest)
+    lines = marked.join(remainders, ["session_id", "_rest"], "left")
     ended = F.col("event_type") == "disconnected"
     marks = events.groupBy("session_id", "device").agg(
         F.coalesce(F.min(F.when(sessions.is_start(), F.col("ts"))), F.min("ts")).alias("_start"),
@@ -51,7 +55,8 @@ def fold_sessions(events: DataFrame, before: DataFrame, stride: int = fixed.LAST
         F.coalesce(text.disconnect_fields(F.col("_bye"))["reason"], F.col("end_reason")).alias("end_reason"),
         (F.coalesce("lines", F.lit(0)) + F.coalesce("_new", F.lit(0))).cast("long").alias("lines"),
         F.coalesce("connected_id", "_cid").alias("connected_id"), F.coalesce("connected_at", "_cat").alias("connected_at"),
-        F.coalesce("_stored", "last_line_at").alias("last_line_at"),
+        F.when(F.col("connected_id").isNotNull(), F.coalesce("_any", "last_line_at"))
+        .otherwise(F.coalesce("_after", "_cat", "last_line_at")).alias("last_line_at"),
         F.coalesce("_exact", "exact_last_line_at").alias("exact_last_line_at"),
     )
 
@@ -76,7 +81,7 @@ def start(events: DataFrame, out: str, checkpoint: str, once: bool = False) -> S
         state.output(after.filter(F.col("ended_at").isNotNull()), f"{out}/ended", number)
         state.write(after.filter(F.col("ended_at").isNull()), f"{out}/open", number)
 
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(state.each_batch(fold))
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": "1 second"})).start()
 
 
@@ -98,5 +103,5 @@ def audit_retries(ended: DataFrame, out: str, checkpoint: str, once: bool = Fals
         kept = before.join(latest.select("device"), "device", "left_anti")
         state.write(latest.unionByName(kept), f"{out}/attempts", number)
 
-    writer = ended.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
+    writer = ended.writeStream.option("checkpointLocation", checkpoint).foreachBatch(state.each_batch(fold))
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": "1 second"})).start()

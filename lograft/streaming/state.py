@@ -6,11 +6,25 @@ twice after a failure leaves the same state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lograft.sources.store import folders, remove
 
 
+def each_batch(fold: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Run ``fold`` on batches that are read from their source once, though used several times."""
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            fold(batch, number)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def read(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
     """State before ``batch``."""
     if batch == 0:

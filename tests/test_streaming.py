@@ -69,11 +69,12 @@ def test_ingest_keeps_ids_dense_and_secrets_hidden_across_batches(spark, tmp_pat
 def test_lifecycle_equals_batch(spark, tmp_path):
     more = [event(100 + i, "a", raw=f"[00:00:00][I][x:1]: {i}", session="a2") for i in range(120)]
     log = story(spark).unionByName(text.parse(frame(spark, more))).withColumn("ts", F.col("ts").cast("timestamp")).cache()
-    schema = files_of(log, str(tmp_path / "log"), [3, 9, 150])
+    schema = files_of(log, str(tmp_path / "log"), [3, 7, 9, 150])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     out = str(tmp_path / "out")
     finish(lifecycle.start(stream.filter("session_id <> 'config-capture'"), out, str(tmp_path / "at"), once=True))
     got = {r.session_id: r for r in lifecycle.current(spark, out).collect()}
+    assert lifecycle.current(spark, out).count() == len(got)
     for r in sessions.derive(log).collect():
         assert (got[r.session_id].started_at, got[r.session_id].ended_at, got[r.session_id].lines, got[r.session_id].end_reason) == (
             r.started_at, r.ended_at, r.line_count, r.end_reason)
