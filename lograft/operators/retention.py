@@ -136,7 +136,7 @@ class Plan:
 
     def step_table(self) -> DataFrame:
         rows = [tuple(s.__dict__.values()) for s in self.steps]
-        schema = "step int, policy string, rule string, device string, matching long, demand long, batches long, deleted long"
+        schema = "step long, policy string, rule string, device string, matching long, demand long, batches long, deleted long"
         return self.events.sparkSession.createDataFrame(rows, schema)
 
     # --- planning ---

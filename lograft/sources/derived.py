@@ -142,7 +142,8 @@ def snapshot_rows(docs: DataFrame) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, with credential-bearing lines mixed in by document number."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_text")).withColumn(
+        "line_no", F.col("line_no").cast("long"))
     n = F.col("doc_id") % 7
     line = (
         F.when(n == 1, F.concat(F.lit("see mqtt://user:pw"), F.col("line_no"), F.lit("@host/x "), F.col("_text")))

@@ -360,8 +360,8 @@ steps0 AS (
 steps1 AS (SELECT step, policy, rule, device, matching, matching // {BATCH} + 1 AS demand FROM steps0 WHERE runs
   UNION ALL SELECT 7, 'events_size', 'size', NULL, least((SELECT count(*) FROM r5), demand * {BATCH}), demand FROM k6 WHERE demand > 0),
 steps2 AS (SELECT *, 14 - coalesce(sum(demand) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM steps1),
-steps AS (SELECT row_number() OVER (ORDER BY step) AS step, policy, rule, device, matching, demand, least(demand, rest) AS batches,
-  least(matching, least(demand, rest) * {BATCH}) AS deleted FROM steps2 WHERE rest > 0),
+steps AS (SELECT row_number() OVER (ORDER BY step) AS step, policy, rule, device, CAST(matching AS BIGINT) AS matching, CAST(demand AS BIGINT) AS demand,
+  CAST(least(demand, rest) AS BIGINT) AS batches, CAST(least(matching, least(demand, rest) * {BATCH}) AS BIGINT) AS deleted FROM steps2 WHERE rest > 0),
 full_run AS (
   SELECT id, 'events_age' AS policy FROM d1 WHERE n <= (SELECT deleted FROM steps WHERE rule = 'age')
   UNION ALL SELECT id, 'events_device' FROM dd
