@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lograft import fixed
 from lograft.functions import redaction, text, times
 from lograft.operators import filters, snapshots
-from lograft.operators.status import check_device_name
+from lograft.operators.status import check_device_name, known_devices, selected_devices
 from lograft.plans.salted import salted_join
 
 EVENT_COLUMNS = (
@@ -130,13 +130,20 @@ def export(
     """Write a whole export below ``root`` and its manifest; returns the per-file digests."""
     spark = events.sparkSession
     check_range(start, end)
+    if not isinstance(devices, DataFrame):
+        devices = devices or None  # an empty request means all
+        chosen = selected_devices(known_devices(events, status), devices)
+    else:
+        chosen = devices.select("device").distinct()
     write_events(event_rows(events, devices, start, end), f"{root}/logs")
-    write_rows(session_rows(sessions, devices, start, end), f"{root}/metadata/sessions")
-    write_rows(status_rows(status, devices), f"{root}/metadata/device_status")
+    write_rows(session_rows(sessions, chosen, start, end), f"{root}/metadata/sessions")
+    write_rows(status_rows(status, chosen), f"{root}/metadata/device_status")
     if stored is not None:
-        write_snapshots(snapshot_rows(stored, start, end, devices, **redaction_rules), f"{root}/configs")
+        write_snapshots(snapshot_rows(stored, start, end, chosen, **redaction_rules), f"{root}/configs")
     digests = digest_tree(spark, root)
-    counts = spark.read.json(f"{root}/logs").groupBy("device").agg(F.count("*").alias("events"))
+    written = spark.read.schema("device string").json(f"{root}/logs").groupBy("device").agg(F.count("*").alias("events"))
+    # chosen devices without any event are listed with 0
+    counts = chosen.join(written, "device", "left").select("device", F.coalesce("events", F.lit(0)).alias("events"))
     manifest(digests, counts, devices, start, end, stored is not None, created_at).write.mode("overwrite").text(
         f"{root}/manifest")
     return digests

@@ -20,7 +20,9 @@ def test_whole_export(spark, tmp_path):
     log = story(spark)
     stored = table(spark, [(1, "a", "wifi:\n  password: leaked-secret\n  ssid: é\n")])
     root = str(tmp_path / "export")
-    digests = export.export(root, log, sessions.derive(log), status.from_events(log), stored)
+    states = status.from_events(log)
+    states = states.unionByName(spark.createDataFrame([("quiet", "starting"), ("bad name", "x")], "device string, state string"), allowMissingColumns=True)
+    digests = export.export(root, log, sessions.derive(log), states, stored)
     folder = tmp_path / "export"
     for row in digests.collect():
         data = (folder / row.path).read_bytes()
@@ -29,10 +31,11 @@ def test_whole_export(spark, tmp_path):
     assert len(rows) == 9 and rows == sorted(rows, key=lambda r: (r["timestamp"], r["id"]))
     assert set(rows[0]) == {*export.EVENT_COLUMNS, "clean"} and rows[0]["level"] is None
     assert rows[0]["timestamp"] == "2024-06-01T00:00:00.000000Z"
+    assert {r["device"] for r in read_lines(folder / "metadata" / "device_status")} == {"a", "b", "quiet"}
     config = next(p for p in (folder / "configs").rglob("part-*")).read_text(encoding="utf-8")
     assert "leaked-secret" not in config and "ssid: é" in config
     manifest = read_lines(folder / "manifest")
-    assert manifest[0]["format_version"] == 1 and {m["device"]: m["events"] for m in manifest if "device" in m} == {"a": 9, "b": 3}
+    assert manifest[0]["format_version"] == 1 and {m["device"]: m["events"] for m in manifest if "device" in m} == {"a": 9, "b": 3, "quiet": 0}
     assert {m["path"] for m in manifest if "path" in m} == {r.path for r in digests.collect()}
 
 
