@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lograft import fixed
+from lograft.session import ship
 
 # --- fixed patterns; %s is the whitespace class, spelled out because the dialects differ on it ---
 _KEY_LINE = r"""^([%s]*)((?:-[%s]+)*)("[^"]*"|'[^']*'|[^%s:#'"][^:#]*?)[%s]*:(?:[%s]+|$)(.*)$"""
@@ -197,6 +198,7 @@ def redact_document(
     for pattern in (*extra_keys, *patterns):
         re.compile(pattern)
     extra_keys, patterns, secrets = tuple(extra_keys), tuple(patterns), tuple(secrets)
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:

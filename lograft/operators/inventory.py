@@ -12,7 +12,7 @@ from lograft import fixed
 from lograft.functions import text
 from lograft.operators.filters import discovery_match
 from lograft.plans.salted import salted_join
-from lograft.session import shared_dir
+from lograft.session import shared_dir, ship
 
 SETTINGS = tuple(fixed.BUILTIN_SETTINGS)
 BACKENDS = ("auto", "cli", "api")
@@ -146,6 +146,7 @@ def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
     Rows without an address or with a bad name never claim anything, so they leave first.
     """
     shared_dir(found.sparkSession)
+    ship(found.sparkSession)
     usable = found.filter(F.coalesce(F.col("address"), F.lit("")) != "").filter(text.valid_device_name(F.col("name")))
     pool = usable.select(
         F.lower("name").alias("_name"), F.lower("address").alias("_address"), "pos", "name", "address"

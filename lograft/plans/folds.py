@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lograft.session import ship
+
 Columns = dict[str, list]
 
 
@@ -54,6 +56,7 @@ def arranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 def walk(rows: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[tuple]], schema: str, batch: int = 10_000) -> DataFrame:
     """Run ``fn`` over the batches of each partition; it yields result tuples."""
+    ship(rows.sparkSession)
     names = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,23 @@ def local(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
     return configure(builder).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lograft-package-")) / "lograft.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(package.rglob("*.py")):
+            packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a cluster has to name one in ``spark.checkpoint.dir``."""
     context = spark.sparkContext

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lograft import fixed
 from lograft.functions import text
+from lograft.session import ship
 
 UNREADABLE = "<unreadable>"
 
@@ -67,6 +68,8 @@ def scalar_leaves(document: str | None) -> list[str]:
 def secret_values(documents: DataFrame, device: str = "device", content: str = "content") -> DataFrame:
     """(device, value) for every scalar of the devices' secret documents."""
 
+    ship(documents.sparkSession)
+
     @F.pandas_udf("array<string>")
     def leaves(texts: pd.Series) -> pd.Series:
         return texts.map(scalar_leaves)
