@@ -27,3 +27,25 @@ def words(text: Column) -> Column:
 def crc_mod(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo; null stays null."""
     return F.crc32(column.cast("string").cast("binary")) % divisor
+
+
+#: Characters of text that a Python task handles at once.
+BLOCK_CHARS = 4_000_000
+
+
+def blocks(batches, column: str = "text", size: int = BLOCK_CHARS):
+    """Arrow batches cut so that a block has one row, or no more than ``size`` bytes of text: memory does not depend on text lengths."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        ends = np.cumsum(lengths)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import chat, quality
+from lograft.llm import bpe, chat, quality, token_counts
 from lograft.llm.common import documents, table
 
 
@@ -13,6 +15,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir))
 
 
+def tokenizer(name: str) -> str:
+    """The content of a public vocabulary file."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op2_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -7, whose texts are control strings."""
     own = spark.range(2).select(
@@ -25,5 +45,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
+    "op6_token_counts": op6_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
 }
