@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import bpe, chat, quality, token_counts
-from lograft.llm.common import documents, table
+from lograft.llm import bpe, chat, langid, quality, token_counts
+from lograft.llm.common import crc_mod, documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op2_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, crc_mod(F.col("doc_id"), 5) != 0)
+    held = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")
+    return langid.predict(docs, model).select("doc_id", held, "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -46,6 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
+    "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
     "op10_chat_formatting": op10_chat_formatting,
 }
