@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import bpe, chat, langid, quality, token_counts
+from lograft.llm import bpe, chat, crf, langid, quality, token_counts
 from lograft.llm.common import crc_mod, documents, table
 
 
@@ -40,6 +40,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    field = crf.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return crf.score(docs, field).select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -7, whose texts are control strings."""
     own = spark.range(2).select(
@@ -55,5 +63,6 @@ QUERIES = {
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
