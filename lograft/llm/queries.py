@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import bpe, chat, crf, langid, quality, token_counts
+from lograft.llm import bpe, chat, crf, decontaminate, langid, passages, quality, token_counts
 from lograft.llm.common import crc_mod, documents, table
 
 
@@ -28,6 +28,10 @@ def op2_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.train(docs, crc_mod(F.col("doc_id"), 5) != 0)
@@ -40,6 +44,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, and the places that were cut."""
+    return passages.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -61,8 +70,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
