@@ -140,16 +140,6 @@ def estimate(counted: DataFrame, of: Callable[[str], Column], rules: tuple[Rule,
     return Trust(tuple(one.select(last.alias("s")).first()["s"]))
 
 
-def judged(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
-    """The table with columns ``n_words`` ... ``base_failed``, ``quality`` (posterior) and ``kept``, all named with ``prefix``."""
-    of = lambda name: F.col(prefix + name)
-    counted = with_counts(docs, prefix)
-    trust = estimate(counted, of)
-    votes = [r.vote(of) for r in RULES]
-    return counted.withColumns({prefix + "base_failed": base_failed(of), prefix + "quality": trust.posterior(votes)}).withColumn(
-        prefix + "kept", ~of("base_failed") & (of("quality") >= THRESHOLD))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, kept) of every row. The counts are kept in the shared folder, so texts are read once."""
     session.shared_dir(docs.sparkSession)
@@ -163,4 +153,9 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows whose document passes the base check and is good with a posterior of THRESHOLD or more."""
-    return judged(docs).where(F.col("_q_kept")).select(*docs.columns)
+    of = lambda name: F.col("_q_" + name)
+    counted = with_counts(docs)
+    trust = estimate(with_counts(docs.select("text")).drop("text"), of)
+    kept = ~base_failed(of) & (trust.posterior([r.vote(of) for r in RULES]) >= THRESHOLD)
+    # a generated column keeps the filter above the steps that count; below them it would repeat all of them
+    return counted.select(*docs.columns, F.explode(F.array(kept)).alias("_q_kept")).where(F.col("_q_kept")).drop("_q_kept")

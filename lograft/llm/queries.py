@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import bpe, chat, crf, decontaminate, langid, ngram_join, passages, quality, token_counts
+from lograft.llm import bpe, chat, crf, decontaminate, langid, ngram_join, pages, passages, quality, token_counts
 from lograft.llm.common import crc_mod, documents, table
 
 
@@ -39,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held, "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -76,6 +80,7 @@ QUERIES = {
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
