@@ -276,9 +276,12 @@ def _sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of one document of each group, that with the smallest doc_id; of rows alike in all columns one."""
-    found = groups(docs, n, percent)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    """The rows of one document of each group, that with the smallest doc_id; of rows alike in all columns one.
+
+    Rows with one doc_id are one document: they stay together if any of them has the smallest doc_id of its group.
+    """
+    found = groups(docs, n, percent).checkpoint()
+    gone = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("least")).where(~F.col("least")).select("doc_id")
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
     stay = docs.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty():
