@@ -10,8 +10,9 @@ Two sets with the wanted similarity share a shingle within the first ``x - need
 
 Classes come from a sketch of fixed size over all documents. Any function of the hash gives a valid order, so its errors cost time, never a link.
 
-A key held by many sets is never expanded into pairs: first its smallest and its largest set meet all others, links are verified on the whole sets
-and give groups, and only pairs of different groups under one key are verified after that. Equal sets are one node from the start.
+A key held by many sets is never expanded into pairs: first its smallest and its largest node meet all others, links are verified on the whole sets
+and give groups, and only pairs of different groups under one key are verified after that. Equal sets are one node from the start. Before whole sets
+are fetched, a pair must pass a bound that never errs: shingles counted by 256 ranges of their hash cannot agree more than range by range.
 
 Defined results: null text and text without words have the empty set, linked with nothing; with fewer than ``n`` words the whole
 sequence is the only shingle; rows with equal text are one node, also under one doc_id; the group of a row is the smallest doc_id in reach, nulls
@@ -20,8 +21,10 @@ left out; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
@@ -32,6 +35,9 @@ SLICES = 16
 #: Sketches that one task adds up.
 ADDED = 256
 FREQUENT = 4
+#: Ranges of the hash by which the shingles of a set are counted, and nodes whose documents are looked up by broadcast.
+RANGES = 256
+LOOKED_UP = 500_000
 COMBINED = 12
 CACHE = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +92,13 @@ def _nodes(sets: list[np.ndarray]):
     return pa.array(ids, mask=np.array([not len(s) for s in sets], bool))
 
 
+def _profile(own: np.ndarray) -> bytes:
+    counts = np.bincount(((own >> np.uint64(24)) % np.uint64(RANGES)).astype("int64"), minlength=RANGES)
+    return np.minimum(counts, 255).astype("uint8").tobytes()
+
+
 def _surveyed(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, node, size) of all documents, and of each task the slices of its sketch."""
+    """Rows (doc_id, node, size, profile in ``counts``) of all documents, and of each task the slices of its sketch."""
 
     def run(batches):
         import pyarrow as pa
@@ -101,7 +112,7 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), _nodes(sets), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
-                 pa.nulls(k, pa.binary())], names=["doc_id", "node", "size", "slice", "task", "counts"])
+                 pa.array([_profile(s) for s in sets], pa.binary())], names=["doc_id", "node", "size", "slice", "task", "counts"])
         parts = [x.astype("<u4").tobytes() for x in np.split(counts, SLICES)]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
@@ -135,7 +146,7 @@ def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, kind, node, size, dense): index keys of all sets. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle."""
+    """(key, kind, node): index keys of all sets. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -167,12 +178,41 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
             at = np.repeat(np.arange(len(out)), per)
             key = np.concatenate([x for a, b, c, _ in out for x in (a, b, c)]) if out else np.zeros(0, "uint64")
             kind = np.repeat(np.tile(np.arange(3, dtype="int8"), len(out)), sizes.ravel())
+            kind[np.array([d for *_, d in out], bool)[at] & (kind == 2)] = 3
             nodes = _nodes(sets).take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype("int64")), pa.array(kind), nodes, pa.array(np.array([len(s) for s in sets], "int32")[at]),
-                 pa.array(np.array([d for *_, d in out], bool)[at])], names=["key", "kind", "node", "size", "dense"])
+                [pa.array(key.astype("int64")), pa.array(kind), nodes], names=["key", "kind", "node"])
+
+    return docs.select("text").mapInArrow(run, "key long, kind tinyint, node long")
 
-    return docs.select("text").mapInArrow(run, "key long, kind tinyint, node long, size int, dense boolean")
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and profiles allow the similarity, with the document that stands for each."""
+    side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "smallest", "size", "profile")])
+    fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "a_smallest", "b_smallest", "a_size", "b_size", "a_profile", "b_profile")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "uint8").reshape(-1, RANGES) for i in (6, 7))
+            low = np.minimum(a, b)
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            may = ((100 + percent) * low.sum(axis=1, dtype="int64") >= percent * total) | (low == 255).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "a_smallest", "b_smallest"]).filter(pa.array(may))
+
+    return sized.mapInArrow(run, "a long, b long, a_smallest long, b_smallest long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    possible = _possible(pairs, nodes, percent).checkpoint()
+    chosen = possible.select(F.explode(F.array(
+        *[F.struct(F.col(f"{x}_smallest").alias("smallest"), F.col(x).alias("node")) for x in "ab"])).alias("x")).select("x.*").distinct().checkpoint()
+    if chosen.count() <= LOOKED_UP:
+        chosen = F.broadcast(chosen)
+    return _verified(possible.select("a", "b"), _sets(docs, chosen, n), percent).distinct().checkpoint()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,48 +245,39 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     session.ship(spark)
     session.shared_dir(spark)
     surveyed = _surveyed(docs, n)
-    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size")
+    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size", F.col("counts").alias("profile"))
     classes = _classes(surveyed, max(docs.rdd.getNumPartitions(), 1))
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("smallest"))
-
-    # keys that two sets or more have, with their smallest and largest set; of single frequent shingles a dense one
-    keys = _keys(docs, n, percent, classes).where(F.col("node").isNotNull())
-    able = F.when((F.col("kind") < 2) | F.col("dense"), F.struct("size", "node"))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("profile").alias("profile")).checkpoint()
+
+    # keys that two sets or more have, with their smallest and largest node; of single frequent shingles a dense one
+    path = f"{session.shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+    _keys(docs, n, percent, classes).where(F.col("node").isNotNull()).write.parquet(path)
+    keys = spark.read.parquet(path).select("key", F.least("kind", F.lit(2)).alias("kind"), "node", (F.col("kind") == 3).alias("dense"))
+    able = F.when((F.col("kind") < 2) | F.col("dense"), F.col("node"))
     ends = keys.groupBy("key", "kind").agg(
         F.min(able).alias("low"), F.max(able).alias("high"), F.min("node").alias("first"), F.max("node").alias("last")
     ).where((F.col("first") != F.col("last")) & F.col("low").isNotNull()).drop("first", "last")
-    buckets = keys.join(ends, ["key", "kind"]).select(
-        "key", "kind", "node", "size", "dense", F.col("low.node").alias("low"), F.col("low.size").alias("low_size"),
-        F.col("high.node").alias("high"), F.col("high.size").alias("high_size")).distinct().checkpoint()
-
-    wanted = buckets.select("node").distinct()
-    chosen = wanted.join(nodes, "node")
-    sets = _sets(docs, chosen, n)
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    buckets = keys.join(ends, ["key", "kind"]).distinct().checkpoint()
 
-    stars = None
-    for end in ("low", "high"):
-        own = buckets.where((F.col("node") != F.col(end)) & fits(F.col("size"), F.col(f"{end}_size"))).select(*pair(F.col("node"), F.col(end)))
-        stars = own if stars is None else stars.unionByName(own)
-    stars = stars.distinct().checkpoint()
-    links = _verified(stars, sets, percent).checkpoint()
-    if not stars.isEmpty():
-        roots = components(links)
-        labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("key", "kind").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "kind")
-        open_rows = labelled.join(mixed, ["key", "kind"]).join(
-            roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low")).checkpoint()
-        # of every pair of two groups one is not in the group of the key's smallest set
-        some = open_rows.where(F.col("root") != F.col("low_root")).select("key", "kind", "node", "size", "dense", "root")
-        all_ = open_rows.select("key", "kind", *[F.col(c).alias(f"o_{c}") for c in ("node", "size", "dense", "root")])
-        rest = some.join(all_, ["key", "kind"]).where(
-            (F.col("root") != F.col("o_root")) & fits(F.col("size"), F.col("o_size")) & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
-        ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
-        if not rest.isEmpty():
-            links = links.unionByName(_verified(rest, sets, percent)).checkpoint()
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair(F.col("node"), F.col("end"))).distinct().checkpoint()
+    links = _links(stars, docs, nodes, n, percent)
+    roots = components(links)
+    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("key", "kind").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "kind")
+    open_rows = labelled.join(mixed, ["key", "kind"]).join(
+        roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low")).checkpoint()
+    # of every pair of two groups one is not in the group of the key's smallest node
+    some = open_rows.where(F.col("root") != F.col("low_root")).select("key", "kind", "node", "dense", "root")
+    all_ = open_rows.select("key", "kind", *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root")])
+    rest = some.join(all_, ["key", "kind"]).where(
+        (F.col("root") != F.col("o_root")) & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
+    ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
+    if not rest.isEmpty():
+        links = links.unionByName(_links(rest, docs, nodes, n, percent)).checkpoint()
     final = components(links)
-    reach = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
+    reach = nodes.select("node", "smallest").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
     least = reach.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_node = reach.join(least, "root").select("node", "component_id")
     return rows.join(by_node, "node", "left").select(
@@ -271,8 +302,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id")
     found = picked.select("text", "node").mapInArrow(run, "own long, node long, shingles array<long>")
-    # a doc_id may stand for several texts
-    return found.where(F.col("own") == F.col("node")).drop("own").dropDuplicates(["node"]).checkpoint()
+    # a doc_id may stand for several texts, and for one several times
+    return found.where(F.col("own") == F.col("node")).drop("own")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
