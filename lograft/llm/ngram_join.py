@@ -10,9 +10,10 @@ Two sets with the wanted similarity share a shingle within the first ``x - need
 
 Classes come from a sketch of fixed size over all documents. Any function of the hash gives a valid order, so its errors cost time, never a link.
 
-A key held by many sets is never expanded into pairs: first its smallest and its largest node meet all others, links are verified on the whole sets
-and give groups, and only pairs of different groups under one key are verified after that. Equal sets are one node from the start. Before whole sets
-are fetched, a pair must pass a bound that never errs: shingles counted by 256 ranges of their hash cannot agree more than range by range.
+A key held by many sets is not expanded into pairs: first its two most common nodes, those with the fewest rare shingles, meet all others; among copies with
+edits that is the one nearest to the original. Links are verified on the whole sets and give groups, and only pairs of different groups under one
+key are looked at after that, as far as a bound that never errs lets them: shingles counted by ranges of their hash cannot agree more than range by
+range. The same bound, with more ranges, comes before whole sets are fetched. Equal sets are one node from the start.
 
 Defined results: null text and text without words have the empty set, linked with nothing; with fewer than ``n`` words the whole
 sequence is the only shingle; rows with equal text are one node, also under one doc_id; the group of a row is the smallest doc_id in reach, nulls
@@ -36,7 +37,7 @@ SLICES = 16
 ADDED = 256
 FREQUENT = 4
 #: Ranges of the hash by which the shingles of a set are counted, and nodes whose documents are looked up by broadcast.
-RANGES = 256
+RANGES, COARSE = 256, 32
 LOOKED_UP = 500_000
 COMBINED = 12
 CACHE = 400_000
@@ -93,8 +94,10 @@ def _nodes(sets: list[np.ndarray]):
 
 
 def _profile(own: np.ndarray) -> bytes:
+    """Counts by RANGES in a byte each, then by COARSE ranges in two bytes each; a full count means that or more."""
     counts = np.bincount(((own >> np.uint64(24)) % np.uint64(RANGES)).astype("int64"), minlength=RANGES)
-    return np.minimum(counts, 255).astype("uint8").tobytes()
+    wide = counts.reshape(COARSE, -1).sum(axis=1)
+    return np.minimum(counts, 255).astype("uint8").tobytes() + np.minimum(wide, 65535).astype(">u2").tobytes()
 
 
 def _surveyed(docs: DataFrame, n: int) -> DataFrame:
@@ -146,7 +149,7 @@ def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, kind, node): index keys of all sets. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set."""
+    """(key, kind, node, rare): index keys of all sets, with the number of shingles of the lowest class. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -155,12 +158,13 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
         shingler = Shingler(n)
         for block in blocks(batches):
             sets = shingler.sets(block.column("text").to_pylist())
-            out = []
+            out, low = [], []
             for own in sets:
                 x = len(own)
                 need = -(-percent * x // 100)
                 prefix = x - need + 1
                 level = shared.value[(own & np.uint64(WIDTH - 1)).astype("int64")]
+                low.append(int((level == 0).sum()))
                 order = np.argsort((level.astype("uint64") << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")[: prefix + 1]
                 tokens, often = own[order], level[order] >= FREQUENT
                 first = tokens[:prefix]
@@ -181,9 +185,9 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
             kind[np.array([d for *_, d in out], bool)[at] & (kind == 2)] = 3
             nodes = _nodes(sets).take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype("int64")), pa.array(kind), nodes], names=["key", "kind", "node"])
+                [pa.array(key.astype("int64")), pa.array(kind), nodes, pa.array(np.array(low, "int32")[at])], names=["key", "kind", "node", "rare"])
 
-    return docs.select("text").mapInArrow(run, "key long, kind tinyint, node long")
+    return docs.select("text").mapInArrow(run, "key long, kind tinyint, node long, rare int")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -245,20 +249,20 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     session.ship(spark)
     session.shared_dir(spark)
     surveyed = _surveyed(docs, n)
-    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size", F.col("counts").alias("profile"))
+    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size", F.substring("counts", 1, RANGES).alias("profile"), F.substring("counts", RANGES + 1, 2 * COARSE).alias("coarse"))
     classes = _classes(surveyed, max(docs.rdd.getNumPartitions(), 1))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("profile").alias("profile")).checkpoint()
+        F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("profile").alias("profile"), F.first("coarse").alias("coarse")).checkpoint()
 
-    # keys that two sets or more have, with their smallest and largest node; of single frequent shingles a dense one
+    # keys that two sets or more have, with their two most common nodes; of single frequent shingles dense ones
     path = f"{session.shared_dir(spark)}/keys-{uuid.uuid4().hex}"
     _keys(docs, n, percent, classes).where(F.col("node").isNotNull()).write.parquet(path)
-    keys = spark.read.parquet(path).select("key", F.least("kind", F.lit(2)).alias("kind"), "node", (F.col("kind") == 3).alias("dense"))
+    keys = spark.read.parquet(path).select("key", F.least("kind", F.lit(2)).alias("kind"), "node", "rare", (F.col("kind") == 3).alias("dense"))
     able = F.when((F.col("kind") < 2) | F.col("dense"), F.col("node"))
     ends = keys.groupBy("key", "kind").agg(
-        F.min(able).alias("low"), F.max(able).alias("high"), F.min("node").alias("first"), F.max("node").alias("last")
+        F.min_by(able, F.when(able.isNotNull(), F.col("rare"))).alias("low"), F.min(able).alias("high"), F.min("node").alias("first"), F.max("node").alias("last")
     ).where((F.col("first") != F.col("last")) & F.col("low").isNotNull()).drop("first", "last")
-    buckets = keys.join(ends, ["key", "kind"]).distinct().checkpoint()
+    buckets = keys.drop("rare").join(ends, ["key", "kind"]).distinct().checkpoint()
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair(F.col("node"), F.col("end"))).distinct().checkpoint()
@@ -267,12 +271,19 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("key", "kind").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "kind")
     open_rows = labelled.join(mixed, ["key", "kind"]).join(
-        roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low")).checkpoint()
-    # of every pair of two groups one is not in the group of the key's smallest node
-    some = open_rows.where(F.col("root") != F.col("low_root")).select("key", "kind", "node", "dense", "root")
-    all_ = open_rows.select("key", "kind", *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root")])
+        roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low"))
+    coarse = [f"c{i}" for i in range(COARSE)]
+    counted = nodes.select("node", "size", *[F.conv(F.hex(F.substring("coarse", i * 2 + 1, 2)), 16, 10).cast("int").alias(c) for i, c in enumerate(coarse)])
+    open_rows = open_rows.join(counted, "node").checkpoint()
+    # of every pair of two groups one is not in the group of the key's most common node
+    some = open_rows.where(F.col("root") != F.col("low_root")).drop("low", "high", "low_root")
+    all_ = open_rows.select("key", "kind", *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root", "size", *coarse)])
+    agree = F.least(F.col("c0"), F.col("o_c0"))
+    for c in coarse[1:]:
+        agree = agree + F.least(F.col(c), F.col(f"o_{c}"))
     rest = some.join(all_, ["key", "kind"]).where(
         (F.col("root") != F.col("o_root")) & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
+        & (F.greatest(*[F.least(F.col(c), F.col(f"o_{c}")) for c in coarse]).eqNullSafe(65535) | ((100 + percent) * agree >= percent * (F.col("size") + F.col("o_size"))))
     ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
     if not rest.isEmpty():
         links = links.unionByName(_links(rest, docs, nodes, n, percent)).checkpoint()
