@@ -41,8 +41,7 @@ DIAGNOSTIC_PHRASES = (
 
 # --- numeric limits and defaults ---
 MAX_LINE_BYTES = 1024 * 1024
-MAX_DOCUMENT_BYTES = 4 * 1024 * 1024
-PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX = 100, 500
+PAGE_SIZE_DEFAULT = 100
 TAIL_LIMIT = 200
 LAST_LINE_STRIDE = 50
 EXCERPT_FIRST, EXCERPT_LAST, EXCERPT_DIAGNOSTIC, EXCERPT_CHARS = 8, 16, 8, 400

@@ -85,8 +85,7 @@ def write_events(rows: DataFrame, path: str) -> None:
     """
     ordered = rows.repartitionByRange("device", "timestamp", "id").sortWithinPartitions("device", "timestamp", "id")
     out = ordered.select(
-        *[times.format_ts(F.col(c)).alias(c) if c == "timestamp" else F.col(c) for c in rows.columns if c != "device"],
-        F.col("device"), F.col("device").alias("of_device"),
+        *[times.format_ts(F.col(c)).alias(c) if c == "timestamp" else F.col(c) for c in rows.columns], F.col("device").alias("of_device"),
     )
     (
         out.write.mode("overwrite").partitionBy("of_device").option("ignoreNullFields", "false")
@@ -103,10 +102,11 @@ def write_rows(rows: DataFrame, path: str) -> None:
 
 
 def write_snapshots(rows: DataFrame, path: str) -> None:
-    """One text file per snapshot, below a folder per device."""
+    """One text file per snapshot, below a folder per device. A file ends with a line end, also where its content has none."""
     file = F.substring_index("path", "/", -1)
-    rows.select("content", "device", file.alias("file")).write.mode("overwrite").partitionBy("device", "file").option(
-        "lineSep", "\x00").text(path)
+    content = F.regexp_replace("content", r"\n\z", "").alias("content")
+    rows.select(content, "device", file.alias("file")).write.mode("overwrite").partitionBy("device", "file").option(
+        "lineSep", "\n").text(path)
 
 
 def file_digests(rows: DataFrame, root: str) -> DataFrame:

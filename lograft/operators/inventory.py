@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from lograft import fixed
 from lograft.functions import text
 from lograft.operators.filters import discovery_match
 from lograft.plans.salted import salted_join
-from lograft.session import shared_dir, ship
+from lograft.session import shared_dir
 
 SETTINGS = tuple(fixed.BUILTIN_SETTINGS)
 BACKENDS = ("auto", "cli", "api")
@@ -133,20 +132,18 @@ def drop_known(found: DataFrame, existing: DataFrame) -> DataFrame:
     return salted_join(unnamed, addresses, ["_address"], "left_anti").select(*found.columns)
 
 
-def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
+def greedy_targets(found: DataFrame) -> DataFrame:
     """Accept devices in (lower name, pos) order while neither name nor address is taken.
 
     Said differently, names choose in order, each its first address that no smaller name has. So in
     a round every name points at its first address left, and a row goes if a smaller name points at
     its address: whichever of the smaller names gets it, this row never will. When nothing goes any
     more, all first choices differ and are the answer. A round handles all names at once, the rows
-    are reduced to one per (name, address) before anything is joined, and a pool of at most
-    ``tail_rows`` rows is finished in order by one task, with the same result.
+    are reduced to one per (name, address) before anything is joined.
 
     Rows without an address or with a bad name never claim anything, so they leave first.
     """
     shared_dir(found.sparkSession)
-    ship(found.sparkSession)
     usable = found.filter(F.coalesce(F.col("address"), F.lit("")) != "").filter(text.valid_device_name(F.col("name")))
     pool = usable.select(
         F.lower("name").alias("_name"), F.lower("address").alias("_address"), "pos", "name", "address"
@@ -154,32 +151,19 @@ def greedy_targets(found: DataFrame, tail_rows: int = 50_000) -> DataFrame:
         "_name", "_address", "_r.*"
     ).checkpoint()
     size, before = pool.count(), -1
-    while size > tail_rows and size != before:
+    while size != before:
         first = pool.groupBy("_name").agg(F.min_by("_address", "pos").alias("_address"))
         smallest = first.groupBy("_address").agg(F.min("_name").alias("_holder"))
         kept = salted_join(pool, smallest, ["_address"], "left").filter(F.col("_holder").isNull() | (F.col("_name") <= F.col("_holder")))
         pool = kept.select(*pool.columns).checkpoint()
         size, before = pool.count(), size
-    if size > tail_rows:
-        best = pool.groupBy("_name").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r"))
-        return best.select("_r.*")
+    best = pool.groupBy("_name").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r"))
+    return best.select("_r.*")
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_name", "pos"])
-        names, addresses, kept = set(), set(), []
-        for i, (name, address) in enumerate(zip(pdf["_name"], pdf["_address"])):
-            if name not in names and address not in addresses:
-                names.add(name)
-                addresses.add(address)
-                kept.append(i)
-        return pdf.iloc[kept]
 
-    return pool.groupBy().applyInPandas(finish, pool.schema).select("pos", "name", "address")
-
-
-def admit(found: DataFrame, existing: DataFrame, tail_rows: int = 50_000, **rules) -> DataFrame:
+def admit(found: DataFrame, existing: DataFrame, **rules) -> DataFrame:
     wanted = found.filter(discovery_match(F.col("name"), **rules))
-    return greedy_targets(drop_known(wanted, existing), tail_rows)
+    return greedy_targets(drop_known(wanted, existing))
 
 
 def secret_list(secrets: DataFrame) -> DataFrame:

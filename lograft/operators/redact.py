@@ -97,7 +97,7 @@ def block_states(
 
 
 def redact_lines(
-    lines: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "id", line: str = "raw",
+    lines: DataFrame, keys: Sequence[str] = ("device", "session_id"), order: str = "id", line: str = "raw",
     extra_keys: Sequence[str] = (), patterns: Sequence[str] = (), secrets: Iterable[str] = (),
     initial: DataFrame | None = None, bits: int = FOLD_BITS,
 ) -> tuple[DataFrame, DataFrame]:

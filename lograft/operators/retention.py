@@ -21,6 +21,7 @@ from lograft.plans import ordered
 EVENT_FIELDS = (
     "ts", "device", "address", "session_id", "event_type", "level", "component", "device_time", "message", "raw",
 )
+NO_BUDGET = 1 << 62
 POLICIES = ("events_age", "events_device", "events_size")
 
 
@@ -36,7 +37,14 @@ class Policy:
     max_total_bytes: int | None = None
     per_device: Mapping[str, Limit] = field(default_factory=dict)
     batch_size: int = 5000
-    max_batches: int = 200
+    max_batches: int | None = None
+
+    def __post_init__(self) -> None:
+        """``max_batches``: a budget for one run, given by the caller; by default a run deletes all that the rules reach."""
+        ages = [self.max_age_days, *(x.max_age_days for x in self.per_device.values())]
+        counts = [self.max_total_bytes, self.batch_size, *(x.max_events for x in self.per_device.values())]
+        if any(x is not None and x <= 0 for x in [*ages, *counts]) or (self.max_batches or 0) < 0:
+            raise ValueError("ages, sizes, counts and the batch size must be above 0")
 
 
 @dataclass(frozen=True)
@@ -74,7 +82,7 @@ class Plan:
     def __init__(self, events: DataFrame, policy: Policy, now: str | datetime, bits: int = ordered.CHUNK_BITS) -> None:
         self.events, self.policy, self.now, self.bits = events, policy, now, bits
         self.steps: list[Step] = []
-        self.budget = policy.max_batches
+        self.budget = NO_BUDGET if policy.max_batches is None else policy.max_batches
         self._ts = events.schema["ts"].dataType
         self._age_end: tuple | None = None  # last (ts, id) the age rule reaches when cut short
         self._limits: dict[str, dict] = {}

@@ -11,12 +11,10 @@ from lograft.operators.filters import log_filter
 from lograft.plans import ordered
 
 SEARCH_COLUMNS = ("id", "ts", "device", "session_id", "event_type", "level", "component", "message", "raw")
-# rows the driver may hold for TakeOrderedAndProject; deeper pages are located first
-DIRECT_ROWS = 10_000
 
 
 def clamp_page(page: int, size: int | None) -> tuple[int, int]:
-    return max(1, page), min(fixed.PAGE_SIZE_MAX, max(1, size)) if size else fixed.PAGE_SIZE_DEFAULT
+    return max(1, page), max(1, size) if size else fixed.PAGE_SIZE_DEFAULT
 
 
 def view(events: DataFrame) -> DataFrame:
@@ -36,21 +34,21 @@ def before(events: DataFrame, ts, row_id: int) -> Column:
 def page(events: DataFrame, page: int = 1, size: int | None = None, cursor=None, **filters) -> DataFrame:
     """One page, newest first, with ``has_next`` on every row (one row more is looked at, not all).
 
-    ``cursor`` = (ts, id) of the last row of the previous page continues from there. A page number
-    beyond ``DIRECT_ROWS`` is turned into such a cursor by counting, so the offset is never held.
+    ``cursor`` = (ts, id) of the last row of the previous page continues from there. Every later page
+    number is turned into such a cursor by counting, so the rows before it are never held.
     """
     page, size = clamp_page(page, size)
     matching = events.filter(log_filter(events, **filters))
     offset = (page - 1) * size
     if cursor is not None:
-        matching, offset = matching.filter(before(events, *cursor)), 0
-    elif offset and offset + size > DIRECT_ROWS:
+        matching = matching.filter(before(events, *cursor))
+    elif offset:
         keys = matching.select("ts", "id")
         last = ordered.locate(keys, max(0, keys.count() - offset) + 1, ordered.time_levels(), ["ts", "id"])
         if last is None:  # nothing matches
             return view(matching.limit(0)).withColumn("has_next", F.lit(False))
-        matching, offset = matching.filter(before(events, last["ts"], last["id"])), 0
-    taken = newest_first(matching.select(*SEARCH_COLUMNS)).offset(offset).limit(size + 1)
+        matching = matching.filter(before(events, last["ts"], last["id"]))
+    taken = newest_first(matching.select(*SEARCH_COLUMNS)).limit(size + 1)
     # at most size + 1 rows from here on
     place = F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("id")))
     marked = taken.select("*", place.alias("_place"), (F.count("*").over(Window.partitionBy()) > size).alias("has_next"))
@@ -71,7 +69,7 @@ def high_water(events: DataFrame) -> DataFrame:
 
 def tail_view(events: DataFrame, size: int = fixed.PAGE_SIZE_DEFAULT, **filters) -> DataFrame:
     """Newest rows shown oldest first, each with the cursor a live tail continues from."""
-    size = min(fixed.PAGE_SIZE_MAX, max(1, size))
+    size = max(1, size)
     newest = newest_first(events.filter(log_filter(events, **filters)).select(*SEARCH_COLUMNS)).limit(size)
     return view(newest).withColumn("cursor", high_water(events).scalar()).orderBy("ts", "id")
 

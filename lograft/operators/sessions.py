@@ -190,7 +190,7 @@ def backoff_audit(
         since = since.join(previous.select("device", F.col("attempt").alias("_before")), "device", "left")
         started = 1 - F.coalesce("_before", F.lit(0))
     power = F.col("_k") - F.coalesce("_reset", started)
-    base = F.least(F.lit(float(maximum)), F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), F.least(power, F.lit(1000))))
+    base = F.least(F.lit(float(maximum)), F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), power))
     floor = F.lit(0.05)
     return since.select(
         "device", "session_id", "first_id", (power + 1).alias("attempt"), base.alias("base_delay"),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from lograft.functions import text
 from lograft.operators.sessions import assign_sessions
 from lograft.plans import ordered
-from lograft.plans.spread import spread
 from lograft.session import shared_dir
 from lograft.sources import store
 
@@ -59,7 +58,7 @@ def log_rows(source: DataFrame) -> DataFrame:
 
 def device_events(spark: SparkSession, sf_dir: str, sessions: bool = True, parsed: bool = True) -> DataFrame:
     """The event log of the fleet, with session ids and parsed fields unless they are not wanted."""
-    log = log_rows(table(spark, sf_dir, "events") if sessions else spread(table(spark, sf_dir, "events")))
+    log = log_rows(table(spark, sf_dir, "events"))
     if sessions:
         log = assign_sessions(log)
     return text.parse(log, only=F.col("event_type") == "log") if parsed else log
@@ -141,7 +140,7 @@ def snapshot_rows(docs: DataFrame) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, with credential-bearing lines mixed in by document number."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "_text")).withColumn(
         "line_no", F.col("line_no").cast("long"))
     n = F.col("doc_id") % 7
@@ -157,14 +156,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((n == 6) & (F.col("line_no") % 9 == 3), F.lit("-----END RSA PRIVATE KEY-----"))
         .otherwise(F.col("_text"))
     )
-    # a unique long in document order; no document has 2**20 lines
-    position = F.shiftleft("doc_id", 20) + F.col("line_no")
+    # a unique long in document order; a document with more lines must not run into the next one
+    fits = F.col("line_no") < 1 << 20
+    position = F.when(fits, F.shiftleft("doc_id", 20) + F.col("line_no")).otherwise(
+        F.raise_error(F.lit("a document has more than 2**20 lines")).cast("long"))
     return lines.select(position.alias("id"), "doc_id", "line_no", line.alias("line"))
 
 
 def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a credential section in front of every third one."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     head = F.concat(
         F.lit("wifi:\n  ssid: net\n  password: pw-"), F.col("doc_id"), F.lit("\nkey: |\n  line\nurl: http://u:p@h/\n")
     )

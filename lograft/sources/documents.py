@@ -8,16 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft import fixed
 from lograft.functions import text
 from lograft.session import ship
 
 UNREADABLE = "<unreadable>"
 
 
-def document_text(content: Column, limit: int = fixed.MAX_DOCUMENT_BYTES) -> Column:
-    """The first ``limit`` bytes as text without escapes; a character cut in half becomes U+FFFD."""
-    return text.strip_ansi(F.make_valid_utf8(F.substring(content, 1, limit).cast("string")))
+def document_text(content: Column, limit: int | None = None) -> Column:
+    """The bytes as text without escapes. With ``limit`` the first so many; a character cut in half becomes U+FFFD."""
+    kept = content if limit is None else F.substring(content, 1, limit)
+    return text.strip_ansi(F.make_valid_utf8(kept.cast("string")))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -24,11 +24,18 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False, files_pe
 
 
 def clean_lines(lines: DataFrame, value: str = "value", limit: int = fixed.MAX_LINE_BYTES) -> DataFrame:
-    """Cut over-long lines into pieces of ``limit`` bytes, replace bad UTF-8, drop trailing ``\\r``."""
+    """Cut over-long lines into pieces of at most ``limit`` bytes, replace bad UTF-8, drop trailing ``\\r``.
+
+    A cut that falls into a character moves in front of it.
+    """
     data = F.col(value).cast("binary")
     last = F.greatest(F.lit(0), F.ceil(F.octet_length(value) / limit).cast("int") - 1)
     pieces = lines.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    text = F.make_valid_utf8(F.substr(data, F.col("piece") * limit + 1, F.lit(limit)).cast("string"))
+    follows = lambda at: F.hex(F.substr(data, at + 1, F.lit(1))).rlike("^[89AB]")
+    back = lambda at: F.when(follows(at), F.when(follows(at - 1), F.when(follows(at - 2), 3).otherwise(2)).otherwise(1)).otherwise(0)
+    place = lambda at: at - F.when((at > 0) & (at < F.octet_length(value)), back(at)).otherwise(0)
+    start, end = place(F.col("piece") * limit), place((F.col("piece") + 1) * limit)
+    text = F.make_valid_utf8(F.substr(data, start + 1, end - start).cast("string"))
     return pieces.withColumn(value, F.regexp_replace(text, r"\r+\z", ""))
 
 

@@ -12,12 +12,12 @@ ROWS_PER_FILE = 1_000_000
 
 
 def copy_lines(events: DataFrame) -> DataFrame:
-    """``<ts> <raw>``; collector events are marked, and a retry notice is shortened."""
+    """``<ts> <raw>``; collector events are marked, their line ends and backslashes escaped, and a retry notice is shortened."""
     shown = F.when(
         F.col("event_type") == "retry_scheduled", F.regexp_extract("raw", r"^retry in [0-9.]+s", 0)
     ).otherwise(F.col("raw"))
     marked = F.when(F.col("event_type") == "log", F.col("raw")).otherwise(
-        F.concat(F.lit(fixed.RAW_COPY_MARK), F.col("event_type"), F.lit(": "), shown))
+        F.concat(F.lit(fixed.RAW_COPY_MARK), F.col("event_type"), F.lit(": "), F.replace(F.replace(shown, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))))
     return events.select("device", "id", F.concat_ws(" ", times.format_ts(F.col("ts")), marked).alias("value"))
 
 
@@ -29,10 +29,11 @@ def write(events: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> N
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = spark.read.schema("value string, device string").option("lineSep", "\n").text(path)
     pattern = rf"(?s)^(\S+) (?:{fixed.RAW_COPY_MARK}({'|'.join(fixed.EVENT_TYPES[1:])}): )?(.*)$"
     field = lambda i: F.regexp_extract("value", pattern, i)
+    plain = F.replace(F.replace(F.replace(field(3), F.lit("\\\\"), F.lit("\0")), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
     return lines.select(
-        F.col("device").cast("string").alias("device"), field(1).try_cast("timestamp").alias("ts"),
-        F.coalesce(F.nullif(field(2), F.lit("")), F.lit("log")).alias("event_type"), field(3).alias("raw"),
+        "device", field(1).try_cast("timestamp").alias("ts"), F.coalesce(F.nullif(field(2), F.lit("")), F.lit("log")).alias("event_type"),
+        F.when(field(2) == "", field(3)).otherwise(plain).alias("raw"),
     )

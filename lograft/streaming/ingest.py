@@ -14,7 +14,7 @@ from lograft.sources import lines as line_source
 from lograft.sources import store
 from lograft.streaming import state
 
-BLOCKS = "session_id string, pem boolean, block int"
+BLOCKS = "device string, session_id string, pem boolean, block int"
 
 
 def with_ids(rows: DataFrame, high_water: int) -> DataFrame:
@@ -39,11 +39,11 @@ def ingest_batch(
     high_water = marks[0] if marks else 0
     rows = with_ids(line_source.clean_lines(batch), high_water).withColumnRenamed("value", "raw")
     before = state.read(spark, f"{state_dir}/blocks", number, BLOCKS)
-    shown, closing = redact.redact_lines(rows, ["session_id"], "id", "raw", extra_keys, patterns, secrets, initial=before)
+    shown, closing = redact.redact_lines(rows, ["device", "session_id"], "id", "raw", extra_keys, patterns, secrets, initial=before)
     events = text.parse(shown.withColumn("address", F.lit(None).cast("string")).withColumn("event_type", F.lit("log")))
     state.output(store.stored_form(events), target, number, "event_date")
     open_blocks = closing.filter(F.col("pem") | (F.col("block") != redaction.NO_BLOCK))
-    state.write(open_blocks.select("session_id", "pem", "block"), f"{state_dir}/blocks", number)
+    state.write(open_blocks.select("device", "session_id", "pem", "block"), f"{state_dir}/blocks", number)
     state.write(rows.agg((F.count("*") + high_water).alias("high_water")), f"{state_dir}/marks", number)
 
 

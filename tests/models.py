@@ -25,7 +25,7 @@ def ids(df, column="id"):
 
 def run_retention(rows, policy, now, size):
     """rows: dicts with id, ts, device. Returns ({id: policy}, batches left)."""
-    left, gone, budget = sorted(rows, key=lambda r: r["id"]), {}, policy.max_batches
+    left, gone, budget = sorted(rows, key=lambda r: r["id"]), {}, 1 << 62 if policy.max_batches is None else policy.max_batches
 
     def drop(chosen, label):
         nonlocal left

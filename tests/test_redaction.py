@@ -54,7 +54,7 @@ def test_documents(spark):
 def test_block_over_streamed_lines(spark):
     lines = ["api:", "  encryption:", "    key: |", "      private-material", "  password: clear", "[00:00:01][I][a:1]: password: shown"]
     df = spark.createDataFrame([(i, "s", l) for i, l in enumerate(lines)], "id long, session_id string, raw string")
-    shown = [r.raw for r in redact.redact_lines(df)[0].orderBy("id").collect()]
+    shown = [r.raw for r in redact.redact_lines(df, ["session_id"])[0].orderBy("id").collect()]
     assert shown == ["api:", "  encryption:", "    key: [REDACTED]", "", "  password: [REDACTED]", lines[-1]]
 
 
@@ -98,7 +98,7 @@ def test_chunks_equal_a_walk(spark):
         initial[s] = (*initial[s], expected_state)
     df = spark.createDataFrame(rows, "id long, session_id string, raw string")
     start = spark.createDataFrame([(s, v[0], v[1]) for s, v in initial.items()], "session_id string, pem boolean, block int")
-    shown, closing = redact.redact_lines(df, initial=start, bits=5)
+    shown, closing = redact.redact_lines(df, ["session_id"], initial=start, bits=5)
     got = {r.id: r.raw for r in shown.collect()}
     assert got == expected
     assert {r.session_id: (r.pem, r.block) for r in closing.collect()} == {s: v[2] for s, v in initial.items()}

@@ -68,8 +68,7 @@ st AS (
   SELECT d.device, d.address, CASE WHEN s.device IS NULL THEN 'starting' ELSE 'connecting' END AS state, s.session_id,
          s.updated_at, f.last_error, f.last_error_at, coalesce(s.attempts, 0) AS attempts, CAST(NULL AS VARCHAR) AS next_retry_at
   FROM (SELECT device, max_by(address, id) AS address FROM ev GROUP BY 1) d
-  LEFT JOIN starts s USING (device) LEFT JOIN faults f USING (device)
-  WHERE CAST(split_part(d.device, '-', 2) AS BIGINT) % 2 = 0)"""
+  LEFT JOIN starts s USING (device) LEFT JOIN faults f USING (device))"""
 
 LINES = """
 split_docs AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
@@ -312,12 +311,18 @@ q AS (SELECT *, n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS gap FROM
 SELECT CAST(doc_id AS VARCHAR) AS session_id, count(*) AS shown_lines,
   string_agg(CASE WHEN gap > 0 THEN '... ' || gap || ' lines omitted ...' || chr(10) ELSE '' END || t, chr(10) ORDER BY n) AS excerpt
 FROM q GROUP BY doc_id""", LINES)
-define("backoff_audit", """
+def backoff(multiplier: str) -> str:
+    return f"""
 , e AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY first_id) AS k, epoch_us(ended_at) - epoch_us(started_at) >= 345600000000 AS healthy
   FROM sess WHERE ended_at IS NOT NULL),
 r AS (SELECT *, coalesce(max(CASE WHEN healthy THEN k END) OVER (PARTITION BY device ORDER BY first_id ROWS UNBOUNDED PRECEDING), 1) AS z FROM e),
-b AS (SELECT device, session_id, first_id, k - z + 1 AS attempt, least(300.0::DOUBLE, 2.0::DOUBLE * pow(2.0::DOUBLE, k - z)) AS base_delay FROM r)
-SELECT *, greatest(0.05::DOUBLE, base_delay * 0.8::DOUBLE) AS min_delay, greatest(0.05::DOUBLE, base_delay * 1.2::DOUBLE) AS max_delay FROM b""", EVENTS, SESSIONS)
+b AS (SELECT device, session_id, first_id, k - z + 1 AS attempt, least(300.0::DOUBLE, 2.0::DOUBLE * pow({multiplier}::DOUBLE, k - z)) AS base_delay FROM r)
+SELECT *, greatest(0.05::DOUBLE, base_delay * 0.8::DOUBLE) AS min_delay, greatest(0.05::DOUBLE, base_delay * 1.2::DOUBLE) AS max_delay FROM b"""
+
+
+define("backoff_audit", backoff("2.0"), EVENTS, SESSIONS)
+define("backoff_audit_slow", "SELECT device, session_id, attempt, round(base_delay, 6) AS base_delay FROM ("
+       + backoff("1.001").replace(", e AS", "WITH e AS", 1) + ")", EVENTS, SESSIONS)
 
 # --- retention ---
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -454,7 +459,7 @@ define("redact_known_per_row", """SELECT doc_id, line_no,
 define("redact_key_lines", f"SELECT doc_id, line_no, CASE WHEN {sensitive()} THEN {CUT} ELSE line END AS line FROM dl", LINES)
 define("redact_single_lines", f"SELECT doc_id, line_no, {single('|^note$')} AS line FROM dl", LINES)
 define("known_secret_list", """SELECT value, CAST(length(value) AS BIGINT) AS length FROM (
-  SELECT DISTINCT unnest(regexp_split_to_array(substr(text, 1, 200), '[ .,\n]+')) AS value FROM documents) WHERE length(value) >= 4""")
+  SELECT DISTINCT unnest(regexp_split_to_array(text, '[ .,\n]+')) AS value FROM documents) WHERE length(value) >= 4""")
 
 # --- fleet inventory ---
 define("effective_settings", "SELECT * FROM eff", REGISTRY)

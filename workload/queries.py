@@ -39,9 +39,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _status(spark: SparkSession, sf: str) -> DataFrame:
-    """Status of every second device, so that joins with the log have misses on both sides."""
-    even = F.substring_index("device", "-", -1).cast("long") % 2 == 0
-    return status.from_events(_events(spark, sf)).filter(even)
+    """Status of every device."""
+    return status.from_events(_events(spark, sf))
 
 
 def _stamp(df: DataFrame, *columns: str) -> DataFrame:
@@ -363,6 +362,14 @@ def backoff_audit(spark, sf):
     return sessions.backoff_audit(s, reset_after=4 * 86400.0)
 
 
+@query
+def backoff_audit_slow(spark, sf):
+    """A multiplier close to one, so that the delay grows over many sessions."""
+    s = derived.stored_sessions(spark, sf)
+    return sessions.backoff_audit(s, multiplier=1.001, reset_after=4 * 86400.0).select(
+        "device", "session_id", "attempt", F.round("base_delay", 6).alias("base_delay"))
+
+
 # --- retention ---
 
 def plan(spark, sf, policy: retention.Policy) -> retention.Plan:
@@ -567,7 +574,7 @@ def redact_documents(spark, sf):
 
 @query
 def known_secret_list(spark, sf):
-    words = derived.table(spark, sf, "documents").select(F.explode(F.split(F.substring("text", 1, 200), "[ .,\n]+")).alias("value"))
+    words = derived.table(spark, sf, "documents").select(F.explode(F.split(F.col("text"), "[ .,\n]+")).alias("value"))
     return inventory.secret_list(words)
 
 
@@ -637,7 +644,7 @@ def discovery_known_anti(spark, sf):
 
 @query
 def discovery_admit(spark, sf):
-    return inventory.admit(derived.discovered(spark, sf), _existing(spark, sf), tail_rows=1000, **RULES)
+    return inventory.admit(derived.discovered(spark, sf), _existing(spark, sf), **RULES)
 
 
 # --- export ---
