@@ -83,7 +83,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     session.ship(spark)
     session.shared_dir(spark)
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    # columns go by place, as any name may occur among them
+    places, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("_row", F.xxhash64(f"c{places}"))
 
     def hashed(batches):
         import numpy as np
@@ -100,20 +102,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     shape = T.StructType().add("digest", "binary").add("doc_id", kind).add("_row", "long").add("unit", "integer")
-    occurrences = keyed.select("doc_id", "_row", "text").mapInArrow(hashed, shape)
+    occurrences = keyed.select(F.col(f"c{id_at}").alias("doc_id"), "_row", F.col(f"c{places}").alias("text")).mapInArrow(hashed, shape)
     winners = occurrences.groupBy("digest").agg(F.min(F.struct("doc_id", "_row", "unit")).alias("first")).select("first.*")
     kept = winners.groupBy("doc_id", "_row").agg(F.collect_list("unit").alias("_kept")).withColumnsRenamed({"doc_id": "_id", "_row": "_own"})
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_own")), "left").drop("_id", "_own", "_row")
+    joined = keyed.join(kept, F.col(f"c{id_at}").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_own")), "left").drop("_id", "_own", "_row")
 
     spans = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
     out = T.StructType([*docs.schema.fields]).add("n_units", "integer").add("n_removed", "integer").add("removed", spans)
-    places = out.fieldNames().index("text")
 
     def cut(batches):
         import pyarrow as pa
 
         arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for block in blocks(batches):
+        for block in blocks(batches, f"c{places}"):
             texts, counts, removed = [], [], []
             for text, stay in zip(block.column(places).to_pylist(), block.column(block.num_columns - 1).to_pylist(), strict=True):
                 own, stay = units(text) if text else [], set(stay or ())
