@@ -277,12 +277,16 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     open_rows = open_rows.join(counted, "node").checkpoint()
     # of every pair of two groups one is not in the group of the key's most common node
     some = open_rows.where(F.col("root") != F.col("low_root")).drop("low", "high", "low_root")
-    all_ = open_rows.select("key", "kind", *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root", "size", *coarse)])
+    central = (F.col("root") == F.col("low_root")).alias("o_central")
+    all_ = open_rows.select("key", "kind", central, *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root", "size", *coarse)])
+    # the cheap tests first: sizes alone settle most pairs, and two outer nodes meet once
+    sized = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
+    once = F.col("o_central") | (F.col("node") < F.col("o_node"))
     agree = F.least(F.col("c0"), F.col("o_c0"))
     for c in coarse[1:]:
         agree = agree + F.least(F.col(c), F.col(f"o_{c}"))
     rest = some.join(all_, ["key", "kind"]).where(
-        (F.col("root") != F.col("o_root")) & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
+        (F.col("root") != F.col("o_root")) & sized & once & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
         & (F.greatest(*[F.least(F.col(c), F.col(f"o_{c}")) for c in coarse]).eqNullSafe(65535) | ((100 + percent) * agree >= percent * (F.col("size") + F.col("o_size"))))
     ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
     if not rest.isEmpty():
