@@ -40,8 +40,10 @@ FREQUENT = 4
 RANGES, COARSE = 256, 32
 LOOKED_UP = 500_000
 COMBINED = 12
-CACHE = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], "uint64")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,33 +56,42 @@ class Shingler:
     """Sorted distinct shingle hashes of texts; only A-Z are lower-cased."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n = n
+
+    def words(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in a row, eight bytes a step, and the number of words of each text."""
+        joined = b"\n" + b"\n".join(data).lower() + b"\n" * 8
+        edges = np.flatnonzero(np.diff(_BLANK[np.frombuffer(joined, "uint8")])) + 1
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        eights = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+        out = sizes.astype("uint64")
+        at, left = np.arange(len(starts)), sizes
+        while len(at):
+            out[at] = _mixed(out[at] * _MIX + (eights[starts[at] + (sizes[at] - left)] & _FIRST[np.minimum(left, 8)]))
+            more = left > 8
+            at, left = at[more], left[more] - 8
+        ends = np.cumsum([len(d) + 1 for d in data]) if data else np.zeros(0, "int64")
+        return out, np.diff(np.searchsorted(starts, ends), prepend=0)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         from xxhash import xxh3_64_intdigest
 
-        words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        for own in words:
-            for w in own:
-                if w not in known:
-                    known[w] = xxh3_64_intdigest(w)
-        flat = np.fromiter((known[w] for own in words for w in own), "uint64", sum(map(len, words)))
+        data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        flat, counts = self.words(data)
         rolled = flat[: max(len(flat) - self.n + 1, 0)].copy()
         for k in range(1, self.n):
             rolled = _mixed(rolled) * _MIX + flat[k:len(flat) - self.n + 1 + k]
         rolled = _mixed(rolled)
         out, at = [], 0
-        for own in words:
-            if len(own) >= self.n:
-                out.append(np.unique(rolled[at:at + len(own) - self.n + 1]))
-            elif own:
-                out.append(np.array([xxh3_64_intdigest(b" ".join(own), seed=len(own))], "uint64"))
+        for own, count in zip(data, counts.tolist(), strict=True):
+            if count >= self.n:
+                found = np.sort(rolled[at:at + count - self.n + 1])
+                out.append(found[np.append(True, found[1:] != found[:-1])])
+            elif count:
+                out.append(np.array([xxh3_64_intdigest(b" ".join(own.lower().split()), seed=count)], "uint64"))
             else:
                 out.append(np.zeros(0, "uint64"))
-            at += len(own)
+            at += count
         return out
 
 
