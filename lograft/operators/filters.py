@@ -81,8 +81,8 @@ def session_overlap(start: Column | None, end: Column | None) -> Column:
 
 
 def older_than(ts: str, days: float, now: str | datetime, df: DataFrame) -> Column:
-    """``ts < now - days``; days may be fractional, now is an argument so results repeat."""
-    return F.col(ts) < age_cutoff(days, now, df.schema[ts].dataType)
+    """``ts < now - days``; days may be fractional, now is an argument so results repeat. A date-partitioned table also gets the partition predicate."""
+    return _all(time_range(df, None, cutoff_moment(days, now), ts))
 
 
 def cutoff_moment(days: float, now: str | datetime) -> datetime:
