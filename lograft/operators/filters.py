@@ -81,8 +81,14 @@ def session_overlap(start: Column | None, end: Column | None) -> Column:
 
 
 def older_than(ts: str, days: float, now: str | datetime, df: DataFrame) -> Column:
-    """``ts < now - days``; days may be fractional, now is an argument so results repeat."""
-    return F.col(ts) < age_cutoff(days, now, df.schema[ts].dataType)
+    """``ts < now - days``; days may be fractional, now is an argument so results repeat.
+
+    On a table with days the same rule is also given for the day, so later days are not read.
+    """
+    cutoff = age_cutoff(days, now, df.schema[ts].dataType)
+    if ts == "ts" and "event_date" in df.columns:
+        return (F.col(ts) < cutoff) & (F.col("event_date") <= F.to_date(cutoff))
+    return F.col(ts) < cutoff
 
 
 def cutoff_moment(days: float, now: str | datetime) -> datetime:

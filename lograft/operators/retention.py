@@ -1,7 +1,8 @@
 """Retention: which rows age, device limits and the size cap remove, under one batch budget.
 
 The driver works out a few thresholds (a cut-off time, a boundary id) from small aggregates. After
-that a row's fate depends on the row alone, so the log is labelled in one scan without a shuffle.
+that a row's fate depends on the row alone, so the log is labelled in one scan. Limits of up to SENT
+devices are sent to all tasks and the log is not shuffled; more are joined, salted by row where a device is hot.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 from lograft import fixed
 from lograft.functions import times
 from lograft.operators import filters
-from lograft.plans import ordered
+from lograft.plans import ordered, salted
 
 EVENT_FIELDS = (
     "ts", "device", "address", "session_id", "event_type", "level", "component", "device_time", "message", "raw",
 )
 NO_BUDGET = 1 << 62
+#: Limited devices, of about a hundred bytes each, that are sent to all tasks.
+SENT = 50_000
 POLICIES = ("events_age", "events_device", "events_size")
 
 
@@ -47,6 +50,13 @@ class Policy:
             raise ValueError("ages, sizes, counts and the batch size must be above 0")
 
 
+def _limited(events: DataFrame, limits: DataFrame, count: int, how: str) -> DataFrame:
+    """The log with the limits of its devices; their number is known, as they come from the configuration."""
+    if count <= SENT:
+        return events.join(F.broadcast(limits), "device", how)
+    return salted.salted_join(events, limits, ["device"], how)
+
+
 @dataclass(frozen=True)
 class Step:
     """One row of the plan: a policy, how much it matches, and what the budget lets it delete."""
@@ -91,10 +101,13 @@ class Plan:
 
     # --- labelling ---
 
-    def _age(self) -> Column:
-        if not self.policy.max_age_days or (self.steps and self.steps[0].rule == "age" and not self.steps[0].batches):
+    def _age_applies(self) -> bool:
+        return bool(self.policy.max_age_days) and not (self.steps and self.steps[0].rule == "age" and not self.steps[0].batches)
+
+    def _age(self, events: DataFrame) -> Column:
+        if not self._age_applies():
             return F.lit(False)
-        return self._until(filters.older_than("ts", self.policy.max_age_days, self.now, self.events), self._age_end)
+        return self._until(filters.older_than("ts", self.policy.max_age_days, self.now, events), self._age_end)
 
     def _until(self, condition: Column, end: tuple | None) -> Column:
         if end is None:
@@ -121,22 +134,30 @@ class Plan:
         rows = events
         device_rule = F.lit(False)
         if self._limits:
-            rows = events.join(self._limit_rows(events.sparkSession), "device", "left")
+            rows = _limited(events, self._limit_rows(events.sparkSession), len(self._limits), "left")
             aged = (F.col("ts") < F.col("_cutoff")) & (
                 F.col("_end_ts").isNull() | (F.col("ts") < F.col("_end_ts"))
                 | ((F.col("ts") == F.col("_end_ts")) & (F.col("id") <= F.col("_end_id")))
             )
             device_rule = F.coalesce(aged, F.lit(False)) | F.coalesce(F.col("id") <= F.col("_boundary"), F.lit(False))
-        label = F.when(self._age(), POLICIES[0]).when(device_rule, POLICIES[1])
+        label = F.when(self._age(events), POLICIES[0]).when(device_rule, POLICIES[1])
         if self._size_end is not None:
             label = label.when(F.col("id") <= self._size_end, POLICIES[2])
         return rows.select(*events.columns, label.alias("policy"))
 
     def survivors(self) -> DataFrame:
-        return self.label().filter(F.col("policy").isNull()).drop("policy")
+        """Days that age takes as a whole are not read."""
+        events = self.events
+        if self._age_applies() and self._age_end is None and "event_date" in events.columns:
+            first = F.to_date(filters.age_cutoff(self.policy.max_age_days, self.now, self._ts))
+            events = events.filter(F.col("event_date").isNull() | (F.col("event_date") >= first))
+        return self.label(events).filter(F.col("policy").isNull()).drop("policy")
 
     def deleted(self) -> DataFrame:
-        return self.label().filter(F.col("policy").isNotNull())
+        """Where age is the only rule, days after the cut-off are not read."""
+        alone = not self._limits and self._size_end is None
+        events = self.events.filter(self._age(self.events)) if alone else self.events
+        return self.label(events).filter(F.col("policy").isNotNull())
 
     @property
     def exhausted(self) -> bool:
@@ -164,18 +185,18 @@ class Plan:
     def _counts(self) -> tuple[int, dict[str, tuple[int, int]]]:
         """Rows the age rule matches; per limited device the rows its age limit matches, and the rest."""
         policy, ts = self.policy, self.events.schema["ts"].dataType
+        read = self.events.select("device", "ts", *[c for c in ("event_date",) if c in self.events.columns])
         aged = F.lit(False)
         if policy.max_age_days:
-            aged = filters.older_than("ts", policy.max_age_days, self.now, self.events)
+            aged = filters.older_than("ts", policy.max_age_days, self.now, read)
         rows = [
             (d, times.literal_text(filters.cutoff_moment(l.max_age_days, self.now)) if l.max_age_days else None)
             for d, l in policy.per_device.items()
         ]
         if not rows:
-            found = self.events.agg(F.count_if(aged).alias("n")).first()
-            return found["n"], {}
-        limits = self.events.sparkSession.createDataFrame(rows, "_limited string, _cutoff string")
-        joined = self.events.select("device", "ts").join(limits, F.col("device") == F.col("_limited"), "left")
+            return (read.filter(aged).count() if policy.max_age_days else 0), {}
+        limits = self.events.sparkSession.createDataFrame(rows, "device string, _cutoff string").withColumn("_limited", F.col("device"))
+        joined = _limited(read, limits, len(rows), "left")
         own = ~aged & F.coalesce(F.col("ts") < F.col("_cutoff").cast(ts), F.lit(False))
         found = joined.groupBy("_limited").agg(
             F.count_if(aged).alias("aged"), F.count_if(own).alias("own"), F.count("*").alias("n")
@@ -229,7 +250,7 @@ class Plan:
         return end["ts"], end["id"]
 
     def _after_age(self) -> DataFrame:
-        return self.events.filter(~self._age())
+        return self.events.filter(~self._age(self.events))
 
     def _device_rest(self, device: str) -> DataFrame:
         rows = self._after_age().filter(F.col("device") == device)
@@ -240,7 +261,7 @@ class Plan:
         """Newest id each over-full device loses, for all of them in one job."""
         rows = [(d, n, self._limits[d].get("cutoff")) for d, n in over.items()]
         wanted = self.events.sparkSession.createDataFrame(rows, "device string, _n long, _cutoff string")
-        kept = self._after_age().select("device", "ts", "id").join(wanted, "device").filter(
+        kept = _limited(self._after_age().select("device", "ts", "id"), wanted, len(rows), "inner").filter(
             F.col("_cutoff").isNull() | (F.col("ts") >= F.col("_cutoff").cast(self._ts))
         )
         return ordered.nth_newest(kept, ["device"], "id", "_n", bits=self.bits).collect()

@@ -87,6 +87,28 @@ def test_apply_rewrites_only_touched_days(spark, tmp_path):
     assert ids(store.read(spark, path)) == [5, 6, 7, 8, 13, 14, 15, 16]
 
 
+def test_plan_shuffles_nothing_and_skips_days(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = seed("a", 4, 9, 1) + seed("b", 4, 3, 5) + seed("a", 4, 0, 9)
+    store.append(text.parse(frame(spark, rows)), path)
+    log = store.read(spark, path)
+    shown = lambda df: df._jdf.queryExecution().toString()
+    limited = r.Plan(log, r.Policy(max_age_days=5, per_device={"b": r.Limit(1, None)}), NOW)
+    assert "Exchange hashpartitioning" not in shown(limited.label()) and "BroadcastHashJoin" in shown(limited.label())
+    assert ids(limited.survivors()) == [9, 10, 11, 12] and ids(limited.deleted()) == list(range(1, 9))
+    aged = r.Plan(log, r.Policy(max_age_days=5), NOW)
+    for df in (aged.deleted(), aged.survivors()):
+        assert "PartitionFilters: []" not in shown(df)
+    assert ids(aged.deleted()) == [1, 2, 3, 4] and ids(aged.survivors()) == list(range(5, 13))
+
+
+def test_many_limits_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(r, "SENT", 0)
+    rows = seed("a", 20, 0, 1) + seed("b", 20, 0, 21) + seed("c", 10, 3, 41)
+    left = planned(spark, rows, r.Policy(per_device={"a": r.Limit(None, 8), "c": r.Limit(1, None)}), bits=2).survivors()
+    assert ids(left) == list(range(13, 41))
+
+
 def test_archives(spark):
     day = lambda d: NOW - timedelta(days=d)
     p = "device-log-export-"
