@@ -60,32 +60,23 @@ def run_retention(rows, policy, now, size):
     return gone, budget
 
 
-def greedy(found):
-    names, addresses, kept = set(), set(), []
-    for pos, name, address in sorted(found, key=lambda r: (r[1].lower(), r[0])):
-        if name.lower() in names or (address and address.lower() in addresses) or not address:
-            continue
-        names.add(name.lower())
-        addresses.add(address.lower())
-        kept.append(pos)
-    return sorted(kept)
-
-
-def captures(polls, interval, on_startup, on_change, stored=None):
-    """polls of one device: (seq, seconds, hash) -> [(seq, reason)]"""
-    state, out = None, []
-    for seq, now, current in polls:
-        reason = None
-        if state is None:
-            if on_startup:
-                reason = "startup"
-            else:
-                state = (stored or current, now)
-        elif on_change and state[0] != current:
-            reason = "source changed"
-        elif interval and now - state[1] >= interval:
-            reason = "scheduled"
-        if reason:
-            state = (current, now)
-            out.append((seq, reason))
-    return out
+def check_targets(found, kept):
+    """Kept rows are usable and share nothing; every other usable row shares a name or address with a kept one that comes before it."""
+    rows = {pos: (name.lower(), (address or "").lower()) for pos, name, address in found}
+    share = lambda a, b: any(x == y for x, y in zip(rows[a], rows[b], strict=True))
+    order = sorted((p for p in rows if rows[p][1]), key=lambda p: (rows[p][0], p))
+    assert set(kept) <= set(order)
+    for place, pos in enumerate(order):
+        assert (pos in kept) is not any(share(pos, other) for other in order[:place] if other in kept)
+
+
+def check_captures(polls, reasons, interval, on_startup, on_change, stored=None):
+    """polls of one device: (seq, seconds, hash); reasons: seq -> reason. Each poll is held against the last capture before it alone."""
+    first = polls[0]
+    assert reasons.get(first[0]) == ("startup" if on_startup else None)
+    for place, (seq, at, value) in enumerate(polls[1:], 1):
+        earlier = [p for p in polls[:place] if p[0] in reasons]
+        _, since, known = earlier[-1] if earlier else (None, first[1], stored or first[2])
+        due, other = bool(interval) and at - since >= interval, on_change and value != known
+        assert reasons.get(seq) == ("source changed" if other else "scheduled" if due else None)
+    assert set(reasons) <= {p[0] for p in polls}

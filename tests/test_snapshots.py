@@ -4,7 +4,7 @@ from datetime import timedelta
 import pytest
 
 from lograft.operators import snapshots
-from models import NOW, captures, ids
+from models import NOW, check_captures, ids
 
 
 def table(spark, rows):
@@ -39,6 +39,7 @@ def test_capture_triggers(spark, case):
         per.setdefault(device, []).append((seq, at, value))
     stored = spark.createDataFrame([("a", "y")], "device string, source_hash string")
     df = spark.createDataFrame(polls, "device string, seq long, ts timestamp_ntz, source_hash string")
-    got = sorted((r.seq, r.reason) for r in snapshots.capture_triggers(df, interval, startup, change, stored, bits=3).collect())
-    wanted = sorted(x for d in per for x in captures(per[d], interval, startup, change, {"a": "y"}.get(d)))
-    assert got == wanted
+    got = snapshots.capture_triggers(df, interval, startup, change, stored, bits=3).collect()
+    assert len(got) == len({r.seq for r in got})
+    for device, own in per.items():
+        check_captures(own, {r.seq: r.reason for r in got if r.device == device}, interval, startup, change, {"a": "y"}.get(device))
