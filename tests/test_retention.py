@@ -111,11 +111,16 @@ def test_many_limits_are_joined_in_parts(spark, monkeypatch):
 
 def test_archives(spark):
     day = lambda d: NOW - timedelta(days=d)
-    p = "device-log-export-"
-    files = [(f"{p}20200101T000000Z-aabbccdd.tar.gz", 1, day(40)), (f"{p}20990101T000000Z-aabbccdd.tar.gz", 1, day(0)),
-             ("notes.txt", 1, day(90)), (".export-tmp-xyz", 1, day(40)), (".export-tmp-new", 1, day(0.5)), (f"{p}b.tar.gz", 5, day(2)), (f"{p}c.tar.gz", 5, day(1))]
-    df = spark.createDataFrame(files, "name string, length long, mtime timestamp_ntz")
+    p = "fleet-"
+    # a file's age is the time of its last change, whatever stamp its name bears
+    listing = {f"{p}{d}.tar.gz": (10 * d, day(d)) for d in (1, 3, 6, 13, 15, 60)}
+    others = {"fleet-15.zip": (1, day(15)), "other-60.tar.gz": (1, day(60)), ".export-tmp-old": (1, day(2)), ".export-tmp-now": (1, day(0.2))}
+    df = spark.createDataFrame([(n, *v) for n, v in (listing | others).items()], "name string, length long, mtime timestamp_ntz")
     actions = lambda **kw: {x.name: x.action for x in r.archive_plan(df, NOW, p, **kw).collect()}
-    assert actions() == {files[0][0]: "exports_age", ".export-tmp-xyz": "tmp"}
-    assert actions(max_total_bytes=6) == {files[0][0]: "exports_age", ".export-tmp-xyz": "tmp", f"{p}b.tar.gz": "exports_size"}
-    assert f"{p}b.tar.gz" not in actions(max_total_bytes=11)
+    stale = {".export-tmp-old": "tmp"}
+    aged = lambda limit: {n: "exports_age" for n, (_, t) in listing.items() if t < day(limit)}
+    assert actions() == stale | aged(14) and actions(max_age_days=5) == stale | aged(5) and actions(max_age_days=None) == stale
+    # the newest files that fit together stay
+    for room, left in ((230, 4), (229, 3), (100, 3), (99, 2), (40, 2), (10, 1), (9, 0)):
+        young = [f"{p}{d}.tar.gz" for d in (1, 3, 6, 13)]
+        assert actions(max_total_bytes=room) == stale | aged(14) | {n: "exports_size" for n in young[left:]}
