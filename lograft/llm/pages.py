@@ -32,36 +32,72 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 KEPT_OPEN = frozenset("article main section div nav header footer aside form dialog ul ol dl table figure blockquote details fieldset".split())
 MARKED = frozenset("nav footer aside form dialog button menu".split())
 MAIN = frozenset(("article", "main"))
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert newsletter subscribe "
-    "signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus footer share sharing social "
-    "related recommended widget popup modal overlay pagination pager masthead toolbar search".split())
+#: Whole names of classes, and of ids outside article and main. The first ones hold other articles, so an article in them is no page's own.
+CARDS = frozenset(
+    "related related-posts related-articles recommended recommendations comment comments comment-list comment-body comments-area commentlist replies reply "
+    "respond disqus disqus_thread".split())
+#: These mean boilerplate within an article too.
+INNER = CARDS | frozenset(
+    "ad ads adv advert adverts advertisement ad-banner ad-slot ad-container adsbygoogle sponsor sponsored promo newsletter newsletter-signup subscribe signup "
+    "cookie-banner cookie-notice cookie-consent gdpr share sharing share-buttons social social-share social-links breadcrumb breadcrumbs pagination pager "
+    "nav navbar navigation sidebar".split())
+MARKS = INNER | frozenset(
+    "banner cookie cookies consent notice notices alert login menu footer site-footer page-footer site-header main-navigation site-navigation main-nav "
+    "main-menu nav-menu masthead toolbar search search-form widget widget-area popup modal overlay".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(x for x in DROPPED if x != "head") + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 PLAIN, NOISE, PROTECTED = 0, 1, 2
+#: Why an element is noise: what may stand around a page's article, what holds other articles, and what nobody sees.
+AROUND, APART, UNSEEN = 1, 2, 3
 
 
-def _noise(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in MARKED or (tag == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    names = {x for m in _NAMED.finditer(attributes) for x in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & MARKS) or bool(_HIDDEN.search(attributes))
+def _named(attributes: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    if attributes and _TELLING.search(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _noise(tag: str, named: dict[str, str], inside: bool) -> int:
+    """0, AROUND, APART or UNSEEN. Within an article ids are anchors, and words such as notice or search name content."""
+    if named and ("hidden" in named or _NO_DISPLAY.search(named.get("style", ""))):
+        return UNSEEN
+    names = set(named.get("class", "").lower().split()) if named else set()
+    if named and not inside:
+        names |= set(named.get("id", "").lower().split())
+    if names & CARDS or tag in ("nav", "footer", "aside", "dialog", "button", "menu"):
+        return APART
+    if tag == "form" or (tag == "header" and not inside) or names & (INNER if inside else MARKS):
+        return AROUND
+    return AROUND if named and named.get("role", "").lower() in ROLES else 0
 
 
 def parse(html: str | None) -> list[tuple[str, int]]:
-    """(text, state) of the blocks of a page, white space made one blank, empty ones left out."""
+    """(text, state) of the blocks of a page, white space made one blank, empty ones left out.
+
+    An article or main element that bears no mark is protected whatever class stands around it, unless it is in a list of other
+    articles or in a menu, footer or sidebar; where a page has no other article, in these too.
+    """
+    parts, missed = _walk(html or "", APART)
+    return _walk(html or "", UNSEEN)[0] if missed and not any(s == PROTECTED for _, s in parts) else parts
+
+
+def _walk(html: str, holds: int) -> tuple[list[tuple[str, int]], bool]:
+    """Blocks, and if an article lay in noise that is ``holds`` or more: there it stays noise."""
     from html import unescape
 
     out: list[tuple[str, int]] = []
     pieces: list[str] = []
-    open_: list[tuple[str, int]] = []
-    at, state = 0, PLAIN
+    open_: list[tuple[str, int, int]] = []
+    at, state, missed = 0, PLAIN, False
 
     def flush() -> None:
         if pieces:
@@ -71,7 +107,6 @@ def parse(html: str | None) -> list[tuple[str, int]]:
                 out.append((text, state))
             pieces.clear()
 
-    html = html or ""
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             pieces.append(html[at:m.start()])
@@ -79,8 +114,9 @@ def parse(html: str | None) -> list[tuple[str, int]]:
         if not m[3]:
             continue
         tag, closing, attributes = m[3].lower(), bool(m[2]), m[4]
-        if tag in INLINE and (closing or not attributes or not _noise(tag, attributes, True)):
-            if not closing or not any(t == tag for t, _ in open_):
+        named = {} if closing else _named(attributes)
+        if tag in INLINE and (closing or not named or not _noise(tag, named, state == PROTECTED)):
+            if not closing or not any(t == tag for t, _, _ in open_):
                 continue
         flush()
         if tag in ("p", "li") and open_ and open_[-1][0] == tag:
@@ -89,23 +125,28 @@ def parse(html: str | None) -> list[tuple[str, int]]:
             place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), -1)
             if place >= 0:
                 del open_[place:]
-        else:
-            before = open_[-1][1] if open_ else PLAIN
-            if before == NOISE or tag == "head" or _noise(tag, attributes, before == PROTECTED):
-                own = NOISE
-            else:
-                own = PROTECTED if tag in MAIN or re.search(r"role\s*=\s*[\"']?main\b", attributes) else before
+        elif tag in ("html", "body"):
             if tag == "body" and open_ and open_[-1][0] == "head":
                 open_.pop()
-                own = PLAIN
+        else:
+            _, before, why = open_[-1] if open_ else ("", PLAIN, 0)
+            main = tag in MAIN or named.get("role", "").lower() == "main"
+            mark = UNSEEN if tag == "head" else _noise(tag, named, before == PROTECTED)
+            own = NOISE if mark or before == NOISE else PROTECTED if main else before
+            if main and before == NOISE and not mark:
+                if why < holds:
+                    own, why = PROTECTED, 0
+                elif why < UNSEEN:
+                    missed = True
+            why = max(why, mark) if own == NOISE else 0
             if tag in KEPT_OPEN or tag == "head" or own != before:
                 if not attributes.endswith("/"):
-                    open_.append((tag, own))
+                    open_.append((tag, own, why))
         state = open_[-1][1] if open_ else PLAIN
     if at < len(html):
         pieces.append(html[at:])
     flush()
-    return out
+    return out, missed
 
 
 def stream(parts: list[tuple[str, int]]) -> list[str]:

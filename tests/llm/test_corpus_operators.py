@@ -275,6 +275,23 @@ def test_repeats_by_hand():
         assert pages.kept_text([(" ".join(s), pages.PLAIN)] if s else [], own, unique) == want
 
 
+@pytest.mark.parametrize("around", [
+    '<body class="single has-sidebar">%s</body>', '<div class="content-sidebar-wrap">%s</div>', '<div class="widget" id="search">%s</div>',
+    "<html class='no-menu cookie'><body id=search>%s", '<form id="aspnetForm">%s</form>', '<div data-id="ad" title="class=ad">%s</div>', "<aside>%s</aside>"])
+def test_article_in_marked_elements(around):
+    inner = ('<h2 id="search">Head</h2><section id="related-work">one</section><div id="cookies">two</div><p class="notice">three</p>'
+             '<p class="hidden-gem">four</p>')
+    for tag in ("article", "main"):
+        parts = pages.parse(around % f"<{tag}>{inner}<div class='x ad'>Buy</div></{tag}><div class=ad>Buy</div>")
+        assert " ".join(t for t, s in parts if s == pages.PROTECTED) == "Head one two three four"
+
+
+def test_articles_of_other_pages():
+    page = ('<article>own</article><div class="related"><article>other</article></div><aside><article>card</article></aside>'
+            '<main hidden>unseen</main><main><div class="comments-area"><article class="comment-body">First!</article></div>text</main>')
+    assert [t for t, s in pages.parse(page) if s != pages.NOISE] == ["own", "text"]
+
+
 def test_articles_of_all_pages(spark):
     import html
 
