@@ -3,19 +3,22 @@
 Every page becomes blocks of text in page order. What stands in the page's article or main element is protected: articles on one host may share
 whole passages, which belong to their text. Everything else is one token stream per page. The suffixes of all streams of a host are brought
 together by their first DEPTH tokens, which is the host's suffix array sorted to that depth; the shuffle does the sorting, so that a host with a third of all
-pages is spread like any other. A suffix whose beginning no other page has is unique; a token that lies in no repeated
-beginning belongs to a unique run, and runs of RUN tokens or more stay. What markup names as menu, footer, sidebar, notice,
+pages is spread like any other. A page is known by host and text, so copies of a page under other ids and urls count once. A beginning that
+fewer than PAGES such pages have is unique. Repeated beginnings take whole blocks, or LONG tokens in a row; a shorter repeat inside a block is a
+phrase or quotation and stays, and so does every token in no repeated beginning. A page without article or main of which less than one token in
+SPARED would stay is a near copy of others and keeps its plain blocks. What markup names as menu, footer, sidebar, notice,
 advert, form or comment goes in any case.
 
-Unique beginnings go back to their page, so no join runs on repeated ones, however frequent they are.
+Unique beginnings go back to the text they are from and its copies, so no join runs on repeated ones, however frequent they are; copies are dealt in SALTS parts.
 
-Defined results: null html gives empty text; a null url is the host of its own name; equal rows are one page and do not make each other's text repeated; pages
+Defined results: null html gives empty text; pages without a host in their url are not compared with others; equal rows are one page; pages
 without markup are one block; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,8 @@ from pyspark.sql import types as T
 from lograft import session
 from lograft.llm.common import blocks
 
-DEPTH, RUN = 6, 5
+DEPTH, RUN = 6, 1
+PAGES, LONG, SPARED, SALTS = 3, 20, 20, 32
 
 # --- fixed values: element and class names ---
 DROPPED = ("script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "object", "canvas", "head")
@@ -154,6 +158,14 @@ def stream(parts: list[tuple[str, int]]) -> list[str]:
     return [w for text, state in parts if state != PROTECTED for w in text.split(" ")]
 
 
+def identity(parts: list[tuple[str, int]], host: str) -> int:
+    """A signed hash of host, texts and states: copies have the same."""
+    from xxhash import xxh3_64_intdigest
+
+    h = xxh3_64_intdigest("\n".join([host, *(f"{state}{text}" for text, state in parts)]).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def suffixes(tokens: list[str], host: str) -> list[int]:
     """A signed hash of the first DEPTH tokens of each suffix; shorter ones at the end count with what they have."""
     from xxhash import xxh3_64_intdigest
@@ -165,12 +177,45 @@ def suffixes(tokens: list[str], host: str) -> list[int]:
     return out
 
 
-def kept_text(parts: list[tuple[str, int]], begins: list[int], unique: set[int]) -> str:
-    """Protected blocks, and unique runs of plain ones."""
+def _spare_phrases(covered: list[bool], sizes: list[int], least: int) -> None:
+    """Takes back what repeated runs of fewer than ``least`` tokens hold, except for whole blocks that make up DEPTH tokens."""
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    total, start = ends[-1], 0
+    while start < total:
+        if not covered[start]:
+            start += 1
+            continue
+        end = start
+        while end < total and covered[end]:
+            end += 1
+        if end - start < least:
+            first, last = bisect_left(ends, start), bisect_right(ends, end) - 1
+            whole = (ends[first], ends[last]) if first < last and ends[last] - ends[first] >= min(DEPTH, total) else (start, start)
+            for i in (*range(start, whole[0]), *range(whole[1], end)):
+                covered[i] = False
+        start = end
+
+
+def kept_text(parts: list[tuple[str, int]], begins: list[int], unique: set[int], least: int = DEPTH) -> str:
+    """Protected blocks, and unique runs of plain ones; repeated runs below ``least`` tokens go only as whole blocks."""
+    if not begins:
+        return " ".join(text for text, state in parts if state != NOISE)
     covered = [False] * (len(begins) + DEPTH)
     for i, h in enumerate(begins):
         if h not in unique:
             covered[i:i + DEPTH] = [True] * DEPTH
+    if least > DEPTH and True in covered:
+        sizes = [(text.count(" ") + 1, state) for text, state in parts if state != PROTECTED]
+        _spare_phrases(covered, [n for n, _ in sizes], least)
+        plain, left, at = 0, 0, 0
+        for n, state in sizes:
+            if state == PLAIN:
+                plain, left = plain + n, left + covered[at:at + n].count(False)
+            at += n
+        if SPARED * left < plain and len(sizes) == len(parts):
+            return " ".join(text for text, state in parts if state == PLAIN)
     out, at = [], 0
     for text, state in parts:
         if state == PROTECTED:
@@ -195,10 +240,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     spark = pages.sparkSession
     session.ship(spark)
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), "^www\\.", "")
-    given = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"), host.alias("host"))
-    fields = T.StructType([given.schema["page_id"], given.schema["url"], given.schema["row"]])
-    shape = T.StructType([*fields]).add("texts", T.ArrayType(T.StringType())).add(
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1)), "^www\\.", "")
+    salt = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).alias("salt")
+    given = pages.select("page_id", "url", "html", salt, host.alias("host"))
+    fields = T.StructType([given.schema["page_id"], given.schema["url"], given.schema["salt"]])
+    shape = T.StructType([*fields]).add("stream", "long").add("texts", T.ArrayType(T.StringType())).add(
         "states", T.ArrayType(T.ByteType())).add("begins", T.ArrayType(T.LongType()))
 
     def parsed(batches):
@@ -206,15 +252,26 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for block in blocks(batches, "html"):
             parts = [parse(h) for h in block.column("html").to_pylist()]
-            begins = [suffixes(stream(p), h) for p, h in zip(parts, block.column("host").to_pylist(), strict=True)]
+            hosts = block.column("host").to_pylist()
+            begins = [suffixes(stream(p), h) if h else [] for p, h in zip(parts, hosts, strict=True)]
+            names = [identity(p, h) for p, h in zip(parts, hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                block.column("page_id"), block.column("url"), block.column("row"), pa.array([[t for t, _ in p] for p in parts], pa.list_(pa.string())),
+                block.column("page_id"), block.column("url"), block.column("salt"), pa.array(names, pa.int64()),
+                pa.array([[t for t, _ in p] for p in parts], pa.list_(pa.string())),
                 pa.array([[s for _, s in p] for p in parts], pa.list_(pa.int8())), pa.array(begins, pa.list_(pa.int64()))], names=shape.names)
 
     read = given.mapInArrow(parsed, shape)
-    unique = read.select("row", F.explode("begins").alias("begin")).groupBy("begin").agg(
-        F.min("row").alias("row"), F.max("row").alias("other")).where("row = other").groupBy("row").agg(F.collect_list("begin").alias("unique"))
-    joined = read.join(unique, "row", "left").select("page_id", "url", "texts", "states", "begins", "unique")
+    # a stream without beginnings needs none back, and may be that of very many pages
+    once = read.where(F.size("begins") > 0).groupBy("stream").agg(
+        F.first("begins").alias("begins"), F.bit_or(F.expr("shiftleft(1L, int(salt))")).alias("salts"))
+    rare = once.select("stream", "salts", F.explode(F.array_distinct("begins")).alias("begin")).groupBy("begin").agg(
+        F.count("*").alias("n"), F.min("stream").alias("a"), F.max("stream").alias("b"), F.bit_or("salts").alias("salts")).where(F.col("n") < PAGES)
+    owners = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("stream")
+    unique = rare.select("begin", "salts", owners).groupBy("stream").agg(
+        F.collect_list("begin").alias("unique"), F.bit_or("salts").alias("salts"))
+    dealt = unique.select("stream", "unique", F.explode(F.expr(
+        f"filter(sequence(0L, {SALTS - 1}L), i -> shiftright(salts, int(i)) & 1 = 1)")).alias("salt"))
+    joined = read.join(dealt, ["stream", "salt"], "left").select("page_id", "url", "texts", "states", "begins", "unique")
     out = T.StructType([given.schema["page_id"], given.schema["url"]]).add("text", "string")
 
     def kept(batches):
@@ -222,7 +279,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = [batch.column(i).to_pylist() for i in range(2, 6)]
-            texts = [kept_text(list(zip(t, s, strict=True)), b, set(u or ())) for t, s, b, u in zip(*rows, strict=True)]
+            texts = [kept_text(list(zip(t, s, strict=True)), b, set(u or ()), LONG) for t, s, b, u in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=out.names)
 
     return joined.mapInArrow(kept, out)

@@ -292,6 +292,27 @@ def test_articles_of_other_pages():
     assert [t for t, s in pages.parse(page) if s != pages.NOISE] == ["own", "text"]
 
 
+def test_plain_text_that_pages_share(spark):
+    rng = random.Random(11)
+    menu, note, phrase = "Start Topics Archive About Contact Help", "All rights are with the people here", "as was said at the end of the day"
+    page = "<ul><li>" + "</li><li>".join(menu.split()) + "</li></ul><h2>%s</h2><p>%s</p><p>%s</p>"
+    rows, want = [], []
+    for i in range(6):
+        a, b = sentence(rng, 15), sentence(rng, 3)
+        body = f"{a[:-1]} {phrase} {sentence(rng, 9)}"
+        rows.append((i, f"https://h.example.com/{i}", page % (f"Part {i}", body, b) + f"<div>{note}</div>", "x"))
+        want.append(f"Part {i} {body} {b}")
+    # copies under other ids and urls, near copies, and pages without a host
+    copy, near, lost = sentence(rng, 40), sentence(rng, 60), sentence(rng, 30)
+    for i in range(6):
+        rows += [(10 + i, f"https://h.example.com/copy{i}", f"<div>{copy}</div>", "x"), (20 + i, f"//h.example.com/n{i}", f"<p>{near} at{i}</p>", "x"),
+                 (30 + i, [None, f"/p/{i}"][i % 2], f"<p>{lost} {i}</p>", "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, row string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.extract(frame).collect()}
+    for i in range(6):
+        assert (got[i], got[10 + i], got[20 + i], got[30 + i]) == (want[i], copy, f"{near} at{i}", f"{lost} {i}")
+
+
 def test_articles_of_all_pages(spark):
     import html
 
