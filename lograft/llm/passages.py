@@ -1,7 +1,9 @@
 """Repeated passages: units of lines are hashed, digests grouped over all documents, the earliest occurrence stays.
 
-A unit is a run of whole sentences of one line with at least UNIT_WORDS words (what is left at a line's end joins the last one); a shorter line is a
-unit from LINE_WORDS words on. Units are normalised (lower case, words only) and hashed to 128 bits. Of equal units the one with the smallest
+A unit is a run of at least UNIT_WORDS words of one line; a shorter line is a unit from LINE_WORDS words on. A line is cut where the text itself says so:
+between two words whose place is least, by (no sentence ends here, hash of the next two words), among all places fewer than UNIT_WORDS words away. A
+cut depends on no words but these, so copies of a passage have the same units from a few words after its beginning to a few before its end, wherever in
+a line it stands. Units are normalised (lower case, words only) and hashed to 128 bits. Of equal units the one with the smallest
 (doc_id, text hash, position) stays, all others are cut out; the places they had in the original text are returned.
 
 The winner of each digest is a minimum, so a passage in a third of all documents is reduced before it is shuffled. Winners go back to their
@@ -13,8 +15,6 @@ which nothing is left becomes empty; other columns are untouched; empty tables g
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,34 +23,87 @@ from lograft import session
 from lograft.llm.common import blocks
 
 UNIT_WORDS, LINE_WORDS = 6, 4
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?=[ \t]|$)|[.!?]|$)[ \t]*")
-_NOT_WORD = re.compile(r"[\W_]+")
+_ENDS = ".!?"
+_TABLES: list = []
+
+
+def _tables():
+    """By code point: letter or digit, end of a sentence, blank; and a factor for each place in a word."""
+    if not _TABLES:
+        import numpy as np
+
+        size = 0x110000
+        alnum = np.fromiter((chr(c).isalnum() for c in range(size)), bool, size)
+        ends, blank = np.zeros(size, bool), np.zeros(size, bool)
+        ends[[ord(c) for c in _ENDS]] = True
+        blank[[c for c in range(0x3001) if chr(c).isspace()]] = True
+        factors = np.random.default_rng(7).integers(1, 1 << 63, 4096, "uint64") | np.uint64(1)
+        _TABLES.extend((alnum, ends, blank, factors))
+    return _TABLES
+
+
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
     """(start, end, normalised) of all units of a text, in order."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if line:
-            own, start, parts, n = [], 0, [], 0
-            for piece in _SENTENCE.finditer(line):
-                if piece.end() == piece.start():
-                    continue
-                words = _NOT_WORD.sub(" ", piece.group().lower()).split()
-                parts += words
-                n += len(words)
-                if n >= UNIT_WORDS:
-                    own.append((at + start, at + piece.end(), parts))
-                    start, parts, n = piece.end(), [], 0
-            if start < len(line):
-                if own:
-                    first, _, words = own[-1]
-                    own[-1] = (first, at + len(line), words + parts)
-                elif n >= LINE_WORDS:
-                    own.append((at, at + len(line), parts))
-            out += [(a, b, " ".join(w)) for a, b, w in own]
-        at += len(line) + 1
-    return out
+    import numpy as np
+
+    alnum, ends, blank, factors = _tables()
+    # the one character that lower case makes two of
+    codes = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass"), "uint32")
+    letter = alnum[codes]
+    step = np.diff(letter.astype("int8"), prepend=0, append=0)
+    first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    n = len(first)
+    if not n:
+        return []
+    words = np.where(letter, codes, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+    breaks = np.flatnonzero(codes == 10)
+    line = np.searchsorted(breaks, first)
+    # place i lies before word i; a line's own edges come before all other places
+    within = np.zeros(n, bool)
+    within[1:] = line[1:] == line[:-1]
+    at = np.flatnonzero(letter)
+    sizes = last - first
+    offset = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashed = _mixed(np.add.reduceat(_mixed(codes[at].astype("uint64") + np.uint64(1)) * factors[offset & 4095], np.cumsum(sizes) - sizes))
+    after = np.zeros(n, "uint64")
+    after[:-1] = np.where(within[1:], hashed[1:], np.uint64(0))
+    value = _mixed(hashed * np.uint64(3) + after) >> np.uint64(2)
+    # the last sentence end or blank in front of a word, where that is behind the word before
+    known = np.where(ends[codes] | blank[codes], np.arange(len(codes)), -1)
+    before = np.maximum.accumulate(known)[np.maximum(first - 1, 0)]
+    start = np.where(before >= np.concatenate(([0], last[:-1])), before + 1, first)
+    ended = np.concatenate(([0], np.cumsum(ends[codes])))
+    blanks = np.concatenate(([0], np.cumsum(blank[codes])))
+    closes = np.zeros(n, bool)
+    closes[1:] = (ended[first[1:]] > ended[last[:-1]]) & (blanks[first[1:]] > blanks[last[:-1]])
+    rank = value + np.where(closes, np.uint64(0), np.uint64(1) << np.uint64(62))
+    # edges are 0, so nothing near them is least; one edge more at the end of the text
+    rank = np.append(np.where(within, rank + np.uint64(1), np.uint64(0)), np.uint64(0))
+    least = np.ones(n + 1, bool)
+    for d in range(1, UNIT_WORDS):
+        if d <= n:
+            least[d:] &= rank[d:] < rank[:-d]
+            least[:-d] &= rank[:-d] < rank[d:]
+    edge = np.flatnonzero(~within)
+    cuts = np.flatnonzero(least[:n] | ~within)
+    opens = np.concatenate(([0], breaks + 1))[line]
+    closed = np.concatenate((breaks, [len(codes)]))[line]
+    long_ = np.diff(np.append(edge, n)) >= LINE_WORDS
+    admitted = np.repeat(long_, np.diff(np.append(edge, n)))
+    stops = np.append(cuts[1:], n)
+    begin = np.where(within[cuts], start[cuts], opens[cuts])
+    follows = np.append(within, False)[stops]
+    end = np.where(follows, np.append(start, 0)[stops], closed[cuts])
+    return [(a, b, " ".join(words[i:j])) for a, b, i, j, ok in zip(
+        begin.tolist(), end.tolist(), cuts.tolist(), stops.tolist(), admitted[cuts].tolist(), strict=True) if ok]
 
 
 def without(text: str, cut: list[tuple[int, int]]) -> str:

@@ -165,6 +165,37 @@ def test_passage_inside_a_line(spark):
     assert by[0] == 0 and by[9] == 0 and all(by[i] >= 3 for i in range(1, 5))
 
 
+def repeated_by_hand(texts, n):
+    """Places of words in runs of n or more words that an earlier text has, and of all words."""
+    seen, runs, every = set(), [], []
+    for t in texts:
+        w = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)]
+        grams = [tuple(x for _, _, x in w[i:i + n]) for i in range(len(w) - n + 1)]
+        runs.append({w[k][:2] for i, g in enumerate(grams) if g in seen for k in range(i, i + n)})
+        every.append({x[:2] for x in w})
+        seen.update(grams)
+    return runs, every
+
+
+@pytest.mark.parametrize("stops", [True, False])
+def test_passages_begin_anywhere(spark, stops):
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + ("." if stops and rng.random() < 0.08 else "") for _ in range(n))
+
+    passages_ = [prose(80) for _ in range(10)]
+    rows = [(i, f"{prose(rng.randrange(3, 40))} {passages_[i % 10]} {prose(rng.randrange(3, 40))}") for i in range(40)]
+    runs, every = repeated_by_hand([t for _, t in rows], 50)
+    covered = total = 0
+    for r in passages.deduplicate(documents(spark, rows)).collect():
+        gone = {p for p in every[r["doc_id"]] if any(x["start"] <= p[0] and p[1] <= x["end"] for x in r["removed"])}
+        assert gone <= runs[r["doc_id"]]
+        covered, total = covered + len(gone), total + len(runs[r["doc_id"]])
+        assert not runs[r["doc_id"]] or 2 * len(gone) > len(runs[r["doc_id"]])
+    assert total == 30 * 80 and covered > 0.75 * total
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "A line of six words here."), (1, "A line of six words here."), (None, "A line of six words here."), (2, "a LINE of six, words here")]
     got = [(r["doc_id"], r["n_removed"]) for r in passages.deduplicate(documents(spark, rows)).collect()]
