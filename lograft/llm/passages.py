@@ -1,6 +1,7 @@
 """Repeated passages: units of lines are hashed, digests grouped over all documents, the earliest occurrence stays.
 
-A unit is a run of at least UNIT_WORDS words of one line; a shorter line is a unit from LINE_WORDS words on. A line is cut where the text itself says so:
+A unit is a run of at least UNIT_WORDS words of one line; a shorter line is a unit from LINE_WORDS words or LINE_LETTERS
+letters on. In scripts without blanks every sign is a word here, and UNIT_SIGNS of them are the least; their runs count as words of a short line. A line is cut where the text itself says so:
 between two words whose place is least, by (no sentence ends here, hash of the next two words), among all places fewer than UNIT_WORDS words away. A
 cut depends on no words but these, so copies of a passage have the same units from a few words after its beginning to a few before its end, wherever in
 a line it stands. Units are normalised (lower case, words only) and hashed to 128 bits. Of equal units the one with the smallest
@@ -22,23 +23,29 @@ from pyspark.sql import types as T
 from lograft import session
 from lograft.llm.common import blocks
 
-UNIT_WORDS, LINE_WORDS = 6, 4
-_ENDS = ".!?"
+UNIT_WORDS, LINE_WORDS, LINE_LETTERS, UNIT_SIGNS = 6, 4, 20, 12
+_ENDS, _OWN_ENDS = ".!?", "\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u17d5"
+#: Scripts written without blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo, Han.
+_SIGNS = ((0xE00, 0xEFF), (0xF00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF),
+          (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF))
 _TABLES: list = []
 
 
 def _tables():
-    """By code point: letter or digit, end of a sentence, blank; and a factor for each place in a word."""
+    """By code point: letter or digit, end of a sentence, one that needs no blank, blank, sign; and a factor for each place in a word."""
     if not _TABLES:
         import numpy as np
 
         size = 0x110000
         alnum = np.fromiter((chr(c).isalnum() for c in range(size)), bool, size)
-        ends, blank = np.zeros(size, bool), np.zeros(size, bool)
-        ends[[ord(c) for c in _ENDS]] = True
+        ends, own, blank, sign = (np.zeros(size, bool) for _ in range(4))
+        ends[[ord(c) for c in _ENDS + _OWN_ENDS]] = True
+        own[[ord(c) for c in _OWN_ENDS]] = True
+        for a, b in _SIGNS:
+            sign[a:b + 1] = alnum[a:b + 1]
         blank[[c for c in range(0x3001) if chr(c).isspace()]] = True
         factors = np.random.default_rng(7).integers(1, 1 << 63, 4096, "uint64") | np.uint64(1)
-        _TABLES.extend((alnum, ends, blank, factors))
+        _TABLES.extend((alnum, ends, own, blank, sign, factors))
     return _TABLES
 
 
@@ -54,16 +61,20 @@ def units(text: str) -> list[tuple[int, int, str]]:
     """(start, end, normalised) of all units of a text, in order."""
     import numpy as np
 
-    alnum, ends, blank, factors = _tables()
+    alnum, ends, own, blank, sign, factors = _tables()
     # the one character that lower case makes two of
     codes = np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass"), "uint32")
     letter = alnum[codes]
-    step = np.diff(letter.astype("int8"), prepend=0, append=0)
-    first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    alone = sign[codes]
+    edges = np.diff(letter, prepend=False, append=False)
+    edges[1:-1] |= (alone[1:] & letter[:-1]) | (alone[:-1] & letter[1:])
+    first, last = np.flatnonzero(edges[:-1] & letter), np.flatnonzero(edges[1:] & letter) + 1
     n = len(first)
     if not n:
         return []
-    words = np.where(letter, codes, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split()
+    signs = alone[first]
+    plain = np.where(letter, codes, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    words = [plain[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)] if signs.any() else plain.split()
     breaks = np.flatnonzero(codes == 10)
     line = np.searchsorted(breaks, first)
     # place i lies before word i; a line's own edges come before all other places
@@ -84,6 +95,9 @@ def units(text: str) -> list[tuple[int, int, str]]:
     blanks = np.concatenate(([0], np.cumsum(blank[codes])))
     closes = np.zeros(n, bool)
     closes[1:] = (ended[first[1:]] > ended[last[:-1]]) & (blanks[first[1:]] > blanks[last[:-1]])
+    if signs.any() or codes.max() > 0x588:
+        ended = np.concatenate(([0], np.cumsum(own[codes])))
+        closes[1:] |= ended[first[1:]] > ended[last[:-1]]
     rank = value + np.where(closes, np.uint64(0), np.uint64(1) << np.uint64(62))
     # edges are 0, so nothing near them is least; one edge more at the end of the text
     rank = np.append(np.where(within, rank + np.uint64(1), np.uint64(0)), np.uint64(0))
@@ -92,11 +106,17 @@ def units(text: str) -> list[tuple[int, int, str]]:
         if d <= n:
             least[d:] &= rank[d:] < rank[:-d]
             least[:-d] &= rank[:-d] < rank[d:]
+    if signs.any():
+        wide = np.append(signs & np.append(False, signs[:-1]), False)
+        for d in range(UNIT_WORDS, min(UNIT_SIGNS, n + 1)):
+            least[d:] &= (rank[d:] < rank[:-d]) | ~wide[d:]
+            least[:-d] &= (rank[:-d] < rank[d:]) | ~wide[:-d]
     edge = np.flatnonzero(~within)
     cuts = np.flatnonzero(least[:n] | ~within)
     opens = np.concatenate(([0], breaks + 1))[line]
     closed = np.concatenate((breaks, [len(codes)]))[line]
-    long_ = np.diff(np.append(edge, n)) >= LINE_WORDS
+    joined = np.append(False, signs[1:] & signs[:-1] & (first[1:] == last[:-1]))
+    long_ = (np.add.reduceat((~joined).astype("int64"), edge) >= LINE_WORDS) | (np.add.reduceat(sizes, edge) >= LINE_LETTERS)
     admitted = np.repeat(long_, np.diff(np.append(edge, n)))
     stops = np.append(cuts[1:], n)
     begin = np.where(within[cuts], start[cuts], opens[cuts])

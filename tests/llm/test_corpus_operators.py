@@ -196,6 +196,26 @@ def test_passages_begin_anywhere(spark, stops):
     assert total == 30 * 80 and covered > 0.75 * total
 
 
+@pytest.mark.parametrize("low,high,stop", [(0x4E00, 0x9F00, "\u3002"), (0x3042, 0x3094, "\u3002"), (0xE01, 0xE2F, " ")])
+def test_passages_without_blanks(spark, low, high, stop):
+    rng = random.Random(6)
+
+    def prose(n):
+        return "".join(chr(rng.randrange(low, high)) for _ in range(n))
+
+    whole, inside, short = stop.join(prose(60) for _ in range(3)), prose(150), prose(5)
+    rows = [(i, f"{whole}\n{short}\n{prose(31 + i)}{inside}{prose(17 + i)}\nOne extraordinarily conditional") for i in range(4)]
+    for r in passages.deduplicate(documents(spark, rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        gone = [text[p["start"]:p["end"]] for p in r["removed"]]
+        if r["doc_id"] == 0:
+            assert gone == []
+        else:
+            assert whole not in r["text"] and sum(len(x) for x in gone if x in inside) > 90
+            assert short in r["text"] and "One extraordinarily conditional" in gone
+            assert all(x in whole or x in inside or x in rows[0][1] for x in gone)
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "A line of six words here."), (1, "A line of six words here."), (None, "A line of six words here."), (2, "a LINE of six, words here")]
     got = [(r["doc_id"], r["n_removed"]) for r in passages.deduplicate(documents(spark, rows)).collect()]
