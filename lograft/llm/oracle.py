@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lograft.llm import chat, quality
+from lograft.llm import conversation_repair as repair
 
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 _ODDS = "list_sum(list_transform(list_zip(p.v, e.a), lambda z: z[1] * ln(z[2] / (1 - z[2]))))"
@@ -91,4 +92,87 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS l
   length(formatted)::BIGINT AS formatted_chars, regexp_full_match(roles, '(system,)?user,assistant(,user,assistant)*') AS valid
 FROM whole"""
 
-SQL = {"op1_quality_rules": OP1, "op10_chat_formatting": OP10}
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string: each byte is taken in, then shifted out bit by bit (the -1 in the list)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), {fold}), 4294967295)"
+
+
+def _moves() -> str:
+    """Rows (symbol, state, next state, cost, letters) of one turn with the turns inserted behind it; symbol -1 stands for the begin."""
+    rows = []
+    for symbol in (-1, *range(repair.GONE + 1)):
+        for q in range(repair.STATES):
+            if symbol < 0:
+                edits = [("", 0, repair.START)] if q == repair.START else []
+            else:
+                gone, kind = symbol == repair.GONE, symbol % repair.TRUNCATED
+                more = 3 if symbol >= repair.TRUNCATED else 0
+                edits = [("D", 4, q)] + ([] if gone else [("R", 3 + more, repair.ADDED[q])])
+                edits += [("K", more, repair.KEPT[kind][q])] if not gone and q in repair.KEPT[kind] else []
+            for letter, cost, to in edits:
+                for n in range(3):
+                    rows.append(f"({symbol}, {q}, {to}, {cost + 3 * n}, '{letter + 'I' * n}')")
+                    to = repair.ADDED[to]
+    return ", ".join(rows)
+
+
+#: Cheapest edits as a recursion over turns: the least (cost, letters) for every state of the role order.
+OP11 = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut,
+    coalesce(nullif(strpos('sua', left(role, 1)), 0), 4) - 1 AS kind FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+told AS (
+  SELECT *, CASE WHEN role = '' THEN 3 ELSE kind END AS initial,
+    CASE WHEN blank OR again THEN {repair.GONE} ELSE (CASE WHEN role = '' THEN 3 ELSE kind END) + CASE WHEN cut THEN 4 ELSE 0 END END AS symbol
+  FROM seen),
+moves(symbol, q, q2, cost, letters) AS (VALUES {_moves()}),
+best(conv_id, i, q, found) AS (
+  SELECT t.conv_id, 0::BIGINT, m.q2, min(lpad(m.cost::VARCHAR, 12, '0') || m.letters)
+  FROM (SELECT DISTINCT conv_id FROM told) t, moves m WHERE m.symbol = -1 GROUP BY ALL
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, m.q2,
+    min(lpad((left(b.found, 12)::BIGINT + m.cost)::VARCHAR, 12, '0') || substr(b.found, 13) || m.letters)
+  FROM best b JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1 JOIN moves m ON m.symbol = t.symbol AND m.q = b.q
+  GROUP BY b.conv_id, b.i, m.q2),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank,
+    sum((NOT blank AND again)::INT) AS duplicate, sum((NOT blank AND NOT again AND cut)::INT) AS truncated FROM told GROUP BY conv_id),
+pairs AS (
+  SELECT conv_id, sum((NOT ((a = 0 AND b = 1) OR (a = 1 AND b = 2) OR (a = 2 AND b = 1)))::INT) AS illegal
+  FROM (SELECT conv_id, initial AS a, lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM told) WHERE b IS NOT NULL GROUP BY conv_id),
+ended AS (
+  SELECT c.conv_id, left(min(b.found), 12)::BIGINT AS cost, substr(min(b.found), 13) AS audit
+  FROM counts c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = c.n AND b.q IN ({repair.START}, {repair.ANSWERED})
+  GROUP BY c.conv_id),
+letters AS (
+  SELECT conv_id, p, audit[p] AS e, length(replace(left(audit, p), 'I', '')) AS i, length(replace(left(audit, p), 'D', '')) AS out
+  FROM ended, unnest(range(1, length(audit) + 1)) AS u(p)),
+edited AS (
+  SELECT l.*, t.role, t.text, bool_or(l.out = 1 AND e = 'K' AND t.initial = 0) OVER (PARTITION BY l.conv_id) AS briefed
+  FROM letters l LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i WHERE e <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (out - briefed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS told FROM edited GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(l.told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+SQL = {"op11_conversation_structure_repair": OP11, "op1_quality_rules": OP1, "op10_chat_formatting": OP10}

@@ -7,7 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.llm import bpe, chat, crf, decontaminate, langid, ngram_join, pages, passages, quality, token_counts
+from lograft.llm import (
+    bpe, chat, conversation_repair, crf, decontaminate, langid, ngram_join, pages, passages, quality, token_counts,
+)
 from lograft.llm.common import crc_mod, documents, table
 
 
@@ -75,6 +77,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations, damaged by rule and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(rows))
+    told = found.conversations().withColumnRenamed("conv_id", "_conv")
+    shas = conversation_repair.digests(found.turns()).withColumnRenamed("conv_id", "_sha_of")
+    ids = rows.select("conv_id").distinct()
+    whole = ids.join(told, ids["conv_id"].eqNullSafe(told["_conv"]), "left").join(shas, ids["conv_id"].eqNullSafe(shas["_sha_of"]), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
@@ -86,4 +102,5 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_conversation_structure_repair": op11_conversation_structure_repair,
 }
