@@ -175,4 +175,25 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
-SQL = {"op11_conversation_structure_repair": OP11, "op1_quality_rules": OP1, "op10_chat_formatting": OP10}
+#: Nodes as groups of equal prefixes; sums over a subtree by handing every node's share to all its prefixes.
+OP12 = rf"""
+WITH told AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+dealt AS (SELECT *, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM told),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM dealt c LEFT JOIN told b ON b.conv_id = c.base),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) = d AS ends FROM rebuilt, unnest(range(len(turns) + 1)) AS u(d)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids,
+    CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].t) END AS bytes FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(children.n, 0) AS kids FROM nodes LEFT JOIN children USING (d, p)),
+shares AS (SELECT a AS d, p[1:a] AS p, sum((kids = 0)::INT) AS leaves, sum((n - 1) * bytes) AS saved FROM known, unnest(range(d + 1)) AS u(a) GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, o.conv_id AS parent_conv_id, k.n AS n_convs, k.kids AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(coalesce(k.ids, '')) AS ends_sha256
+FROM known k JOIN shares s ON s.d = k.d AND s.p = k.p LEFT JOIN nodes o ON o.d = k.d - 1 AND o.p = k.p[1:k.d - 1]"""
+
+SQL = {"op12_conversation_prefix_trie": OP12, "op11_conversation_structure_repair": OP11, "op1_quality_rules": OP1, "op10_chat_formatting": OP10}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.llm import (
-    bpe, chat, conversation_repair, crf, decontaminate, langid, ngram_join, pages, passages, quality, token_counts,
+    bpe, chat, conversation_repair, conversation_trie, crf, decontaminate, langid, ngram_join, pages, passages, quality,
+    token_counts,
 )
 from lograft.llm.common import crc_mod, documents, table
 
@@ -91,6 +92,12 @@ def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> Data
         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes over all conversations, rebuilt by rule so that they share first turns."""
+    found = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
+    return conversation_trie.nodes(conversation_trie.rebuild(found))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
@@ -103,4 +110,5 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_conversation_structure_repair": op11_conversation_structure_repair,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
 }

@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from lograft.llm import conversation_repair as repair
+from lograft.llm import conversation_trie as trie
 
 BLANKS = " \t\n\x0b\f\r"
 FULL = {"u": "user", "a": "assistant"}
@@ -145,3 +146,64 @@ def test_damage_by_rule(spark):
         want += [(c, t, "user" if k == 4 else r, x)] * {0: 0, 3: 2}.get(k, 1)
     got = [tuple(r) for r in repair.damage(spark.createDataFrame(data, SCHEMA)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def plain_rebuilt(data):
+    told = {}
+    for conv, turn, role, text in data:
+        if conv is not None:
+            told.setdefault(conv, []).append((turn, role or "", text or ""))
+    for rows in told.values():
+        rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.sha256(x[2].encode()).hexdigest()))
+    told = {c: [x[1:] for x in rows] for c, rows in told.items()}
+    out = {}
+    for c, rows in told.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = told.get(c - c % 5, [])[:h] + rows[h:]
+    return out
+
+
+def plain_trie(rebuilt):
+    members = {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    below = {p: [q for q in members if q[:len(p)] == p] for p in members}
+    children = {p: sum(len(q) == len(p) + 1 for q in below[p]) for p in members}
+    out = []
+    for p, own in members.items():
+        ends = ",".join(map(str, sorted(c for c in own if len(rebuilt[c]) == len(p))))
+        saved = sum((len(members[q]) - 1) * len(q[-1][1].encode()) for q in below[p] if q)
+        out.append((min(own), len(p), min(members[p[:-1]]) if p else None, len(own), children[p], sum(not children[q] for q in below[p]), saved,
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def got_trie(spark, data, cells):
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    return sorted(tuple(r) for r in trie.nodes(trie.rebuild(trie.sequences(df)), cells).collect())
+
+
+@pytest.mark.parametrize("cells", [1, 40, 10**6])
+def test_trie_against_a_loop(spark, many_partitions, cells):
+    rng = random.Random(cells)
+    data = [(c, None if rng.random() < .1 else t, rng.choice(["user", "assistant", None]), rng.choice(["a", "é", "", None]))
+            for c in [*range(120), 1000, 2003] for t in range(rng.randrange(1, 7))]
+    data += [(300 + c, t, "user", "the same") for c in range(60) for t in range(3)] + [(None, 0, "user", "x")]
+    data += [(500, t, "user", f"long {t}") for t in range(60)] + [(501, 0, "user", "long 0")]
+    assert got_trie(spark, data, cells) == plain_trie(plain_rebuilt(data))
+
+
+def test_trie_of_turnless_and_missing_conversations(spark):
+    # conversation 6 keeps no turn of its own where h is at least 1 and 5 is missing
+    data = [(c, 0, "user", "x") for c in range(6, 10)] + [(11, 0, "user", "x"), (11, 0, "user", "x")]
+    want = plain_trie(plain_rebuilt(data))
+    assert any(not v for v in plain_rebuilt(data).values()) and got_trie(spark, data, 100) == want
+    assert got_trie(spark, [(6, 0, "user", "x")], 100) == plain_trie(plain_rebuilt([(6, 0, "user", "x")]))
+
+
+def test_trie_of_an_empty_table_and_other_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert trie.nodes(trie.rebuild(trie.sequences(empty))).count() == 0
+    df = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA).selectExpr("*", "1 AS turns", "2 AS digest", "3 AS bytes", "4 AS key", "5 AS _base")
+    assert trie.nodes(trie.sequences(df)).count() == 2
