@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.llm import (
-    bpe, chat, conversation_repair, conversation_trie, crf, decontaminate, langid, ngram_join, pages, passages, quality,
+    bpe, chat, conversation_repair, conversation_trie, crf, decontaminate, fingerprints, langid, ngram_join, pages, passages, quality,
     token_counts,
 )
 from lograft.llm.common import crc_mod, documents, table
@@ -98,6 +98,11 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie.nodes(conversation_trie.rebuild(found))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text and the next document."""
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_encoding_and_decoding": op2_bpe_encoding_and_decoding,
@@ -111,4 +116,5 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_conversation_structure_repair": op11_conversation_structure_repair,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
