@@ -189,11 +189,18 @@ def backoff_audit(
     if previous is not None:
         since = since.join(previous.select("device", F.col("attempt").alias("_before")), "device", "left")
         started = 1 - F.coalesce("_before", F.lit(0))
-    power = F.col("_k") - F.coalesce("_reset", started)
-    base = F.least(F.lit(float(maximum)), F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), power))
+    counted = since.select("device", "session_id", "first_id", (F.col("_k") - F.coalesce("_reset", started) + 1).alias("attempt"))
+    return with_delays(counted, initial, maximum, multiplier, jitter)
+
+
+def with_delays(
+    attempts: DataFrame, initial: float = 2.0, maximum: float = 300.0, multiplier: float = 2.0, jitter: float = 0.2,
+) -> DataFrame:
+    """Sessions numbered by attempt, with the expected delay after each and its jitter bounds."""
+    base = F.least(F.lit(float(maximum)), F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), F.col("attempt") - 1))
     floor = F.lit(0.05)
-    return since.select(
-        "device", "session_id", "first_id", (power + 1).alias("attempt"), base.alias("base_delay"),
+    return attempts.select(
+        "device", "session_id", "first_id", "attempt", base.alias("base_delay"),
         F.greatest(floor, base * (1 - jitter)).alias("min_delay"), F.greatest(floor, base * (1 + jitter)).alias("max_delay"),
     )
 

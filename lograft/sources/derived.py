@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograft import fixed
 from lograft.functions import text
 from lograft.operators.sessions import assign_sessions
 from lograft.plans import ordered
@@ -82,6 +83,44 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, _stored(spark, sf_dir, "log", lambda path: store.append(device_events(spark, sf_dir), path)))
 
 
+def all_kinds(log: DataFrame) -> DataFrame:
+    """The same log in which the error rows are dealt to the other kinds of collector events, with their texts."""
+    code = F.regexp_extract("raw", r"^error code=([0-9]+)$", 1).try_cast("long")
+    error, n = F.col("event_type") == "collector_error", code % 8
+    kind = (
+        F.when(error & n.isin(0, 4), "disconnected").when(error & n.isin(1, 5), "retry_scheduled")
+        .when(error & (n == 3), "connected").otherwise(F.col("event_type"))
+    )
+    said = (
+        F.when(error & (n == 0), text.disconnected_text(F.lit(fixed.SHUTDOWN_REASON), code))
+        .when(error & (n == 4), text.disconnected_text(F.lit("device gone"), code))
+        .when(error & n.isin(1, 5), text.retry_text(code / 4, code, F.format_string("at-%d", F.col("id"))))
+        .when(error & (n == 3), F.lit("device connected"))
+        .when(F.col("event_type") == "session_start", text.session_start_text(F.when(F.col("id") % 2 == 0, "cli").otherwise("api")))
+        .otherwise(F.col("message"))
+    )
+    return log.select(*[c for c in log.columns if c not in ("event_type", "message")], kind.alias("event_type"), said.alias("message"))
+
+
+ARRIVALS = 5
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with all kinds of events as a stream of several micro-batches; some rows arrive about a hundredth of the log after their neighbours."""
+    rows = all_kinds(stored_log(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(path: str) -> None:
+        low, high = rows.agg(F.min("id"), F.max("id")).first()
+        late = F.when(F.col("id") % 37 == 5, F.col("id") + (high - low) // 100).otherwise(F.col("id"))
+        turn = F.least(F.lit(ARRIVALS - 1), ((late - low) * ARRIVALS / (high - low + 1)).cast("int"))
+        for n in range(ARRIVALS):  # one after the other, as file streams go by the time of a file
+            rows.filter(turn == n).repartition(parts).write.mode("append").parquet(path)
+
+    path = _stored(spark, sf_dir, "arrivals", write)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
+
+
 def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session table of the stored log."""
     rows = device_sessions(stored_log(spark, sf_dir))

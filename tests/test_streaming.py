@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lograft.functions import redaction, text
-from lograft.operators import search, sessions, snapshots
+from lograft.operators import search, sessions, snapshots, status
 from lograft.sources import lines, store
 from lograft.streaming import changes, ingest, lifecycle, tail
 from models import NOW, event, frame, ids
@@ -84,6 +84,64 @@ def test_lifecycle_equals_batch(spark, tmp_path):
     assert ids(spark.read.parquet(f"{out}/connected")) == ids(sessions.first_connected(log))
 
 
+def arriving(spark, tmp_path, batches):
+    """A stream with one micro-batch for each list of events."""
+    rows = [text.parse(frame(spark, b)).withColumn("ts", F.col("ts").cast("timestamp")) for b in batches]
+    for part in rows:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        time.sleep(0.05)
+    whole = spark.read.parquet(str(tmp_path / "log"))
+    return whole, spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+
+
+def fleet():
+    """Two devices, three sessions, a line that comes after the end of its session, and a quiet hour at the end."""
+    at = lambda i, device, session, kind="log", message="line", **kw: event(
+        i, device, kind, "[00:00:00][I][x:1]: up" if kw.pop("proof", False) else message, session, message=message, **kw)
+    return [
+        [at(1, "a", "a1", "session_start", "collection session started (backend=cli)"), at(2, "b", "b1", "session_start", "x", address="10.0.0.1"),
+         at(3, "a", "a1", proof=True), at(6, "b", "b1", "collector_error", "no route")],
+        [at(8, "a", "a1", "disconnected", "device gone (2 lines this session)"), at(9, "a", "a1", "retry_scheduled", "retry in 2.0s (attempt 1) at soon"),
+         at(10, "b", "b1", "disconnected", "collector shutting down (0 lines this session)")],
+        [at(4, "a", "a1"), at(7, "a", "a1"), at(20, "a", "a2", "session_start", "x", address="10.0.0.2"), at(21, "a", "a2", "connected", "device connected")],
+        [at(900, "a", "a2"), at(901, "b", "b2", "session_start", "x")],
+        [at(5000, "a", "a2", proof=True)],
+    ]
+
+
+def test_late_line_of_an_ended_session_and_state_that_is_forgotten(spark, tmp_path):
+    whole, stream = arriving(spark, tmp_path, fleet())
+    query = lifecycle.start(stream, str(tmp_path / "out"), str(tmp_path / "at"), once=True, late=60)
+    finish(query)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 5
+    got = {r.session_id: r for r in lifecycle.current(spark, str(tmp_path / "out")).collect()}
+    assert lifecycle.current(spark, str(tmp_path / "out")).count() == 4
+    for r in sessions.derive(whole).collect():
+        assert (got[r.session_id].lines, got[r.session_id].ended_at, got[r.session_id].end_reason) == (r.line_count, r.ended_at, r.end_reason)
+    assert got["a1"].lines == 3 and got["a1"].end_reason == "device gone" and got["a2"].connected_id == 5000
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 2  # a2 and b2 are open
+
+
+def test_status_equals_batch(spark, tmp_path):
+    whole, stream = arriving(spark, tmp_path, fleet())
+    finish(lifecycle.start_status(stream, str(tmp_path / "out"), str(tmp_path / "at"), once=True, late=60))
+    got = lifecycle.latest(spark, str(tmp_path / "out"), "device").drop("newest_line_at")
+    want = status.from_events(whole)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # after the second micro-batch b was stopped and a waited for its retry
+    second = {r.device: r for r in spark.read.parquet(str(tmp_path / "out")).filter("batch = 1").collect()}
+    assert (second["b"].state, second["b"].last_error, second["a"].state, second["a"].next_retry_at) == ("stopped", "no route", "backoff", "soon")
+
+
+def test_gaps_are_told_by_timers(spark, tmp_path):
+    whole, stream = arriving(spark, tmp_path, fleet())
+    writer = lifecycle.gap_rows(stream, late=60).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    finish(writer.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start())
+    columns = ("device", "session_id", "id", "previous", "ts", "gap_seconds", "message")
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(sessions.gaps(whole)) and len(rows(sessions.gaps(whole))) == 2
+
+
 def test_retry_audit_equals_batch(spark, tmp_path):
     rows = [(d, f"{d}{n}", 2 * n + k, NOW + timedelta(seconds=100 * n), NOW + timedelta(seconds=100 * n + (40 if n == 3 else 1)))
             for k, d in enumerate("ab") for n in range(8)]

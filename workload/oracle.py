@@ -510,15 +510,46 @@ define("export_manifest_counts", "SELECT device, count(*) AS events FROM ev WHER
 define("stored_log_rows", f"""SELECT id, level, bytes AS row_bytes, CAST(ts AS DATE) AS event_date FROM sized
 WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' AND {minimum('INFO')}""", EVENTS, SIZES)
 define("stream_tail", f"SELECT id, ts, device, level, clean FROM ev WHERE id > 400 AND {minimum('WARNING')}", EVENTS)
+ALL_KINDS = f"""
+code AS (SELECT *, CASE WHEN event_type = 'collector_error' THEN CAST(regexp_extract(raw, '([0-9]+)$', 1) AS BIGINT) END AS e FROM ev),
+ak AS (
+  SELECT * REPLACE (
+    CASE WHEN e % 8 IN (0, 4) THEN 'disconnected' WHEN e % 8 IN (1, 5) THEN 'retry_scheduled' WHEN e % 8 = 3 THEN 'connected' ELSE event_type END AS event_type),
+    CASE e % 8 WHEN 0 THEN '{fixed.SHUTDOWN_REASON}' WHEN 4 THEN 'device gone' END AS reason FROM code)"""
+TOLD = """
+steps AS (SELECT device, max_by({'k': event_type, 's': session_id, 't': ts, 'r': reason, 'a': 'at-' || id}, id) AS step
+  FROM ak WHERE event_type IN ('session_start', 'connected', 'disconnected', 'retry_scheduled') GROUP BY 1),
+errs AS (SELECT device, max_by({'i': id, 's': session_id, 't': ts, 'm': message}, id) AS err FROM ak WHERE event_type = 'collector_error' GROUP BY 1),
+byes AS (SELECT device, max_by({'i': id, 's': session_id, 't': ts, 'r': reason}, id) AS bye FROM ak WHERE event_type = 'disconnected' GROUP BY 1),
+seen AS (SELECT device, max_by(address, id) AS address, count(*) FILTER (WHERE event_type = 'session_start') AS attempts,
+  max(ts) FILTER (WHERE event_type = 'log') AS newest_line_at FROM ak GROUP BY 1),
+fold AS (
+  SELECT device, address, CASE WHEN step.k = 'session_start' THEN 'connecting' WHEN step.k = 'connected' THEN 'connected'
+    WHEN step.k = 'disconnected' AND step.r LIKE 'collector%' THEN 'stopped' WHEN step.k IS NULL THEN 'starting' ELSE 'backoff' END AS state,
+    CASE WHEN step.k IN ('session_start', 'connected') THEN step.s END AS session_id, step.t AS updated_at,
+    bye IS NOT NULL AND (err IS NULL OR (bye.s <> err.s AND bye.i > err.i)) AS gone, bye, err, attempts,
+    CASE WHEN step.k = 'retry_scheduled' THEN step.a END AS next_retry_at, newest_line_at
+  FROM seen LEFT JOIN steps USING (device) LEFT JOIN errs USING (device) LEFT JOIN byes USING (device)),
+told AS (
+  SELECT device, address, state, session_id, updated_at, CASE WHEN gone THEN bye.r ELSE err.m END AS last_error,
+    CASE WHEN gone THEN bye.t ELSE err.t END AS last_error_at, attempts, next_retry_at, newest_line_at FROM fold)"""
+define("status_all_kinds", "SELECT * EXCLUDE (newest_line_at) FROM told", EVENTS, ALL_KINDS, TOLD)
+define("stream_status", f"""SELECT * REPLACE (strftime(updated_at, '{STORED}') AS updated_at, strftime(last_error_at, '{STORED}') AS last_error_at,
+  strftime(newest_line_at, '{STORED}') AS newest_line_at) FROM told""", EVENTS, ALL_KINDS, TOLD)
 define("stream_lifecycle", f"""
-, n AS (SELECT device || '-all' AS session_id, device, id, ts, event_type,
-  CASE WHEN event_type = 'log' THEN row_number() OVER (PARTITION BY device, event_type = 'log' ORDER BY id) END AS n,
-  min(CASE WHEN device_time IS NOT NULL THEN id END) OVER (PARTITION BY device) AS c FROM ev)
+, n AS (SELECT session_id, device, id, ts, event_type, reason,
+  CASE WHEN event_type = 'log' THEN row_number() OVER (PARTITION BY session_id, event_type = 'log' ORDER BY id) END AS n,
+  min(CASE WHEN device_time IS NOT NULL THEN id END) OVER (PARTITION BY session_id) AS c FROM ak)
 SELECT session_id, device, strftime(coalesce(min(ts) FILTER (WHERE event_type = 'session_start'), min(ts)), '{STORED}') AS started_at,
+  strftime(max(ts) FILTER (WHERE event_type = 'disconnected'), '{STORED}') AS ended_at,
+  max_by(reason, id) FILTER (WHERE event_type = 'disconnected') AS end_reason,
   count(n) AS lines, min(c) AS connected_id, strftime(min(ts) FILTER (WHERE id = c), '{STORED}') AS connected_at,
   strftime(max_by(ts, id) FILTER (WHERE id = c OR (id > c AND n % 50 = 0)), '{STORED}') AS last_line_at,
   strftime(max_by(ts, id) FILTER (WHERE event_type = 'log'), '{STORED}') AS exact_last_line_at
-FROM n GROUP BY ALL""", EVENTS)
+FROM n GROUP BY ALL""", EVENTS, ALL_KINDS)
+define("stream_gaps", f"SELECT * REPLACE (strftime(previous, '{STORED}') AS previous, strftime(ts, '{STORED}') AS ts) FROM ("
+       + SQL["session_gaps"].split(EVENTS, 1)[1] + ") WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 36000000 FROM ev)", EVENTS)
+define("stream_retry_audit", backoff("2.0"), EVENTS, SESSIONS)
 define("stream_snapshot_changes", SQL["snapshots_dedupe"].split("\n", 1)[1].split("FROM documents)", 1)[1], SNAPS)
 define("stream_idle", f"""
 , g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts)) >= 36000000000 AS fresh FROM base),

@@ -700,14 +700,55 @@ def stream_tail(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("id", "ts", "device", "level", "clean")
 
 
+# about a hundredth of the given 30 days: how late rows of ``derived.arrivals`` are at most
+LATE = 10 * 3600
+
+
+@query
+def status_all_kinds(spark, sf):
+    return status.from_events(derived.all_kinds(_events(spark, sf)))
+
+
 @query
 def stream_lifecycle(spark, sf):
-    log = text.parse(_event_stream(spark, sf), only=sessions.is_log()).withColumn("session_id", F.concat("device", F.lit("-all")))
     out = _folder(spark)
-    lifecycle.start(log.withColumn("ts", F.col("ts").cast("timestamp")), out, f"{out}/at", once=True).awaitTermination()
+    log = derived.arrivals(spark, sf)
+    lifecycle.start(log, out, f"{out}/at", once=True, late=LATE).awaitTermination()
     stored = lifecycle.current(spark, out)
-    return _stamp(stored, "started_at", "connected_at", "last_line_at", "exact_last_line_at").select(
-        "session_id", "device", "started_at", "lines", "connected_id", "connected_at", "last_line_at", "exact_last_line_at")
+    return _stamp(stored, "started_at", "ended_at", "connected_at", "last_line_at", "exact_last_line_at").select(
+        "session_id", "device", "started_at", "ended_at", "end_reason", "lines", "connected_id", "connected_at", "last_line_at", "exact_last_line_at")
+
+
+@query
+def stream_status(spark, sf):
+    out = _folder(spark)
+    lifecycle.start_status(derived.arrivals(spark, sf), f"{out}/rows", f"{out}/at", once=True, late=LATE).awaitTermination()
+    stored = lifecycle.latest(spark, f"{out}/rows", "device")
+    return _stamp(stored, "updated_at", "last_error_at", "newest_line_at")
+
+
+@query
+def stream_gaps(spark, sf):
+    """Gaps that are settled when the given events end."""
+    out = _folder(spark)
+    writer = lifecycle.gap_rows(derived.arrivals(spark, sf), late=LATE).writeStream.format("parquet").option("path", f"{out}/rows")
+    writer.option("checkpointLocation", f"{out}/at").trigger(availableNow=True).start().awaitTermination()
+    return _stamp(spark.read.parquet(f"{out}/rows"), "previous", "ts").select(
+        "device", "session_id", "id", "previous", "ts", "gap_seconds", "message")
+
+
+@query
+def stream_retry_audit(spark, sf):
+    """Ended sessions arrive in the order of their first ids, in several micro-batches."""
+    out, parts = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ended = derived.stored_sessions(spark, sf).filter("ended_at IS NOT NULL")
+    cuts = ended.approxQuantile("first_id", [i / 5 for i in range(1, 5)], 0.01) if ended.limit(1).count() else []
+    bounds = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(bounds, bounds[1:]):
+        ended.filter((F.col("first_id") > low) & (F.col("first_id") <= high)).repartition(parts).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(ended.schema).option("maxFilesPerTrigger", parts).parquet(f"{out}/in")
+    lifecycle.audit_retries(stream, out, f"{out}/at", once=True, reset_after=4 * 86400.0).awaitTermination()
+    return spark.read.parquet(f"{out}/audit").drop("batch")
 
 
 @query
