@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft import fixed
+from lograft.plans import lists
 from lograft.session import ship
 
 # --- fixed patterns; %s is the whitespace class, spelled out because the dialects differ on it ---
@@ -34,6 +35,40 @@ def known_secrets(values: Iterable[str]) -> list[str]:
     return sorted(usable, key=lambda v: (-len(v), v))
 
 
+class Scrubber:
+    """Replaces secrets one after the other, longest first, but looks only at those a line holds.
+
+    An automaton over all secrets finds them in one pass, so a line costs its length, however many secrets there are. A replacement can
+    make a secret appear only where it overlaps the placeholder; the few that could are tried whenever something was replaced.
+    """
+
+    def __init__(self, secrets: Iterable[str]) -> None:
+        self.secrets, self.automaton = known_secrets(secrets), None
+        if self.secrets:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for rank, secret in enumerate(self.secrets):
+                self.automaton.add_word(secret, rank)
+            self.automaton.make_automaton()
+        self.late = {rank for rank, secret in enumerate(self.secrets) if _may_overlap(secret, fixed.REDACTED)}
+
+    def __call__(self, line: str) -> str:
+        if self.automaton is None:
+            return line
+        found = {rank for _, rank in self.automaton.iter(line)}
+        if found:
+            for rank in sorted(found | self.late):
+                line = line.replace(self.secrets[rank], fixed.REDACTED)
+        return line
+
+
+def _may_overlap(secret: str, mark: str) -> bool:
+    """Whether an occurrence of ``secret`` can share a character with ``mark``."""
+    return secret in mark or mark in secret or any(
+        secret.endswith(mark[:n]) or secret.startswith(mark[-n:]) for n in range(1, min(len(mark), len(secret)) + 1))
+
+
 # --- stateless expressions ---
 
 def redact_urls(line: Column) -> Column:
@@ -84,6 +119,11 @@ def has_pem_begin(line: Column) -> Column:
     return F.contains(line, F.lit("-----BEGIN ")) & F.rlike(line, F.lit(fixed.PEM_BEGIN))
 
 
+def is_plain(line: Column, extra_keys: Sequence[str] = ()) -> Column:
+    """Whether a line taken alone only has its inline values replaced."""
+    return ~(has_pem_begin(line) | is_sensitive(line_key(line), extra_keys))
+
+
 def redact_line(
     line: Column, extra_keys: Sequence[str] = (), patterns: Sequence[str] = (), secrets: Iterable[str] = ()
 ) -> Column:
@@ -155,7 +195,7 @@ def document_redactor(
     url_user = re.compile(_URL_USER.replace("%s", r"\s"))
     sensitive = re.compile(key_pattern(extra_keys), re.IGNORECASE)
     begin, end, block_value = re.compile(fixed.PEM_BEGIN), re.compile(fixed.PEM_END), re.compile(_BLOCK_VALUE)
-    values, known = [re.compile(p) for p in patterns], known_secrets(secrets)
+    values, known = [re.compile(p) for p in patterns], Scrubber(secrets)
 
     def read(line: str) -> tuple[int, int, int, str]:
         """Swallow codes of a line and what is shown for it."""
@@ -177,9 +217,7 @@ def document_redactor(
         line = url_user.sub(r"\g<1>" + fixed.REDACTED + "@", line)
         for pattern in values:
             line = pattern.sub(lambda _: fixed.REDACTED, line)
-        for secret in known:
-            line = line.replace(secret, fixed.REDACTED)
-        return code, depth, NO_BLOCK, line
+        return code, depth, NO_BLOCK, known(line)
 
     def redact(text: str) -> str:
         lines = [read(line) for line in text.splitlines()]
@@ -191,6 +229,17 @@ def document_redactor(
     return redact
 
 
+def redact_device_documents(
+    documents: DataFrame, secrets: DataFrame, device: str = "device", order: str = "id", content: str = "content",
+    extra_keys: Sequence[str] = (), patterns: Sequence[str] = (),
+) -> DataFrame:
+    """Documents redacted with the secrets of their own device; ``secrets`` has the columns (device, value)."""
+    for pattern in (*extra_keys, *patterns):
+        re.compile(pattern)
+    extra_keys, patterns = tuple(extra_keys), tuple(patterns)
+    return lists.with_values(documents, content, secrets, device, order, lambda values: document_redactor(extra_keys, patterns, values))
+
+
 def redact_document(
     text: Column, extra_keys: Sequence[str] = (), patterns: Sequence[str] = (), secrets: Iterable[str] = ()
 ) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.functions import redaction
-from lograft.plans import folds
+from lograft.plans import folds, lists
 from lograft.plans.salted import salted_join
 
 # rows of one chunk; only four integers a row travel to Python
@@ -99,10 +99,13 @@ def block_states(
 def redact_lines(
     lines: DataFrame, keys: Sequence[str] = ("device", "session_id"), order: str = "id", line: str = "raw",
     extra_keys: Sequence[str] = (), patterns: Sequence[str] = (), secrets: Iterable[str] = (),
-    initial: DataFrame | None = None, bits: int = FOLD_BITS,
+    initial: DataFrame | None = None, bits: int = FOLD_BITS, device_secrets: DataFrame | None = None, device: str = "device",
 ) -> tuple[DataFrame, DataFrame]:
     """Redact ``line`` in ``order`` within ``keys``; also returns the block state each key ends in.
 
+    ``secrets`` hold for all lines; ``device_secrets`` (device, value) only for lines of their device, also where sessions of two devices
+    have the same name.
+
     Sessions in which no PEM section or block ever opens (nearly all) need no state: they are
     found with a cheap aggregate and every line of them is redacted on its own.
     """
@@ -116,4 +119,20 @@ def redact_lines(
     swallowed, closing = block_states(risky, keys, order, initial, bits)
     marked = lines.join(swallowed.withColumn("_gone", F.lit(True)), order, "left")
     shown = F.when(F.col("_gone"), F.lit("")).otherwise(redaction.redact_line(F.col(line), extra_keys, patterns, secrets))
-    return marked.select(*[shown.alias(c) if c == line else F.col(c) for c in lines.columns]), closing
+    if device_secrets is None:
+        return marked.select(*[shown.alias(c) if c == line else F.col(c) for c in lines.columns]), closing
+    return _with_device_secrets(marked, lines.columns, shown, order, line, extra_keys, patterns, secrets, device_secrets, device), closing
+
+
+def _with_device_secrets(
+    marked: DataFrame, columns: Sequence[str], shown: Column, order: str, line: str, extra_keys: Sequence[str], patterns: Sequence[str],
+    secrets: Iterable[str], device_secrets: DataFrame, device: str,
+) -> DataFrame:
+    """Lists of both kinds count as one, longest first, so shared secrets go to every device that has lines."""
+    plain = F.col("_gone").isNull() & redaction.is_plain(F.col(line), extra_keys)
+    inline = F.when(plain, redaction.redact_patterns(redaction.redact_urls(F.col(line)), patterns))
+    rows = marked.select(*columns, inline.alias("_inline"), F.when(~F.coalesce(plain, F.lit(False)), shown).alias("_shown"))
+    shared = tuple(secrets)
+    scrubbed = lists.with_values(
+        rows, "_inline", device_secrets, device, order, lambda values: redaction.Scrubber((*shared, *values)))
+    return scrubbed.select(*[F.coalesce("_inline", "_shown").alias(c) if c == line else F.col(c) for c in columns])

@@ -202,6 +202,25 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(position.alias("id"), "doc_id", "line_no", line.alias("line"))
 
 
+def device_lines(spark: SparkSession, sf_dir: str, devices: int = 997) -> DataFrame:
+    """The same lines as sent by many devices, which name their sessions alike: every device has a session 0."""
+    return document_lines(spark, sf_dir).select(
+        "id", F.concat(F.lit("dev-"), F.col("doc_id") % devices).alias("device"),
+        F.concat(F.lit("session-"), F.floor(F.col("doc_id") / devices)).alias("session_id"), "doc_id", "line_no", "line")
+
+
+def device_secrets(spark: SparkSession, sf_dir: str, devices: int = 997) -> DataFrame:
+    """(device, value): words of every fiftieth document, and one of two known values for every device."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = docs.filter("doc_id % 50 = 0").select(
+        F.concat(F.lit("dev-"), F.floor(F.col("doc_id") / 50) % devices).alias("device"),
+        F.explode(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{4}"), F.lit(0)), 1, 5)).alias("value"))
+    known = docs.select(
+        F.concat(F.lit("dev-"), F.col("doc_id") % devices).alias("device"),
+        F.when(F.col("doc_id") % devices % 2 == 0, "s3cr3t-value").otherwise("legacy-token").alias("value"))
+    return own.unionByName(known).distinct()
+
+
 def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a credential section in front of every third one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

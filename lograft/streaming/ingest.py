@@ -32,14 +32,15 @@ def with_ids(rows: DataFrame, high_water: int) -> DataFrame:
 
 def ingest_batch(
     batch: DataFrame, number: int, target: str, state_dir: str, extra_keys: Sequence[str] = (),
-    patterns: Sequence[str] = (), secrets: Iterable[str] = (),
+    patterns: Sequence[str] = (), secrets: Iterable[str] = (), device_secrets: DataFrame | None = None,
 ) -> None:
     spark = batch.sparkSession
     marks = state.read(spark, f"{state_dir}/marks", number, "high_water long").first()
     high_water = marks[0] if marks else 0
     rows = with_ids(line_source.clean_lines(batch), high_water).withColumnRenamed("value", "raw")
     before = state.read(spark, f"{state_dir}/blocks", number, BLOCKS)
-    shown, closing = redact.redact_lines(rows, ["device", "session_id"], "id", "raw", extra_keys, patterns, secrets, initial=before)
+    shown, closing = redact.redact_lines(rows, ["device", "session_id"], "id", "raw", extra_keys, patterns, secrets, before,
+                                        device_secrets=device_secrets)
     events = text.parse(shown.withColumn("address", F.lit(None).cast("string")).withColumn("event_type", F.lit("log")))
     state.output(store.stored_form(events), target, number, "event_date")
     open_blocks = closing.filter(F.col("pem") | (F.col("block") != redaction.NO_BLOCK))
@@ -52,6 +53,7 @@ def start(lines: DataFrame, target: str, state_dir: str, checkpoint: str, once:
 
     The receipt time is the time of the micro-batch, so many rows share it; order by (ts, id). A
     secret that spans lines is recognised across micro-batches because the block state is kept.
+    ``device_secrets`` (device, value) is a stored table, read anew for every micro-batch.
     """
     stamped = lines.withColumn("ts", F.current_timestamp())
     writer = stamped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lograft.functions import redaction
 from lograft.operators import redact
+from lograft.plans import lists
 
 #: Piece of a document, what must go, what must stay.
 PIECES = [
@@ -94,3 +95,48 @@ def test_secrets_per_row(spark):
     df = spark.createDataFrame([("abcd abcdef", ["abcd", "abcdef", "ab"]), ("x", None)], "line string, known array<string>")
     got = [r[0] for r in df.select(redaction.redact_known_of_row(F.col("line"), F.col("known"))).collect()]
     assert got == ["[REDACTED] [REDACTED]", "x"]
+
+
+def test_scrubber_equals_one_replacement_after_the_other():
+    rng = random.Random(4)
+    for _ in range(3000):
+        parts = ["a", "b", "c", "[", "]", "RE", "DACT", "ED", "[REDACTED]", "abca"]
+        secrets = ["".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(rng.randrange(6))]
+        line = "".join(rng.choices(parts, k=rng.randrange(12)))
+        want = line
+        for s in redaction.known_secrets(secrets):
+            want = want.replace(s, "[REDACTED]")
+        assert redaction.Scrubber(secrets)(line) == want
+
+
+def device_rows(spark):
+    rows = [(1, "a", "s", "id aaaa-1"), (2, "b", "s", "id aaaa-1"), (3, "a", "s", "id bbbb-2 aaaa-1"), (4, "b", "s", "see bbbb-2 x"), (5, "b", "s", "key: |"),
+            (6, "a", "s", "  bbbb-2"), (7, "b", "s", "  bbbb-2"), (8, "c", "s", "bbbb-2 shared"), (9, None, "s", "aaaa-1"), (10, "a", "s", None)]
+    lines = spark.createDataFrame(rows, "id long, device string, session_id string, raw string")
+    secrets = spark.createDataFrame([("a", "aaaa-1"), ("a", "aaaa-1"), ("b", "bbbb-2"), ("b", "xyz"), ("d", "id a"), (None, "aaaa-1"), ("a", None)], "device string, value string")
+    return lines, secrets
+
+
+def test_secrets_of_devices_that_name_their_sessions_alike(spark):
+    lines, secrets = device_rows(spark)
+    for bits in (1, 20):
+        shown, _ = redact.redact_lines(lines, secrets=["shared"], device_secrets=secrets, bits=bits)
+        assert shown.columns == lines.columns
+        assert {r.id: r.raw for r in shown.collect()} == {
+            1: "id [REDACTED]", 2: "id aaaa-1", 3: "id bbbb-2 [REDACTED]", 4: "see [REDACTED] x", 5: "key: [REDACTED]", 6: "  bbbb-2", 7: "",
+            8: "bbbb-2 [REDACTED]", 9: "aaaa-1", 10: None}
+
+
+def test_values_meet_rows_in_every_chunk_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "cold", "x y") for i in range(90)], "id long, key string, text string").selectExpr("*", "1 AS part")
+    values = spark.createDataFrame([("hot", "x"), ("hot", "y")], "key string, value string")
+    got = lists.with_values(rows, "text", values, "key", "id", lambda own: lambda t: f"{t}{''.join(sorted(own))}", bits=2)
+    assert got.columns == rows.columns and got.count() == 90
+    assert {(r.key, r.text) for r in got.collect()} == {("hot", "x yxy"), ("cold", "x y")}
+
+
+def test_documents_with_the_secrets_of_their_device(spark):
+    docs = spark.createDataFrame([(1, "a", "x aaaa-1 bbbb-2\n"), (2, "b", "x aaaa-1 bbbb-2\n"), (3, "c", None)], "id long, device string, content string")
+    secrets = spark.createDataFrame([("a", "aaaa-1"), ("b", "bbbb-2")], "device string, value string")
+    got = {r.id: r.content for r in redaction.redact_device_documents(docs, secrets).collect()}
+    assert got == {1: "x [REDACTED] bbbb-2\n", 2: "x aaaa-1 [REDACTED]\n", 3: None}

@@ -66,6 +66,17 @@ def test_ingest_keeps_ids_dense_and_secrets_hidden_across_batches(spark, tmp_pat
     assert (log[0].level, log[0].component, log[-1].level) == ("INFO", "a", "WARNING")
 
 
+def test_ingest_hides_the_secrets_of_each_device(spark, tmp_path):
+    for device in ("a", "b"):
+        (tmp_path / "in" / device).mkdir(parents=True)
+        (tmp_path / "in" / device / "s1.0.log").write_text("token-of-a and token-of-b\n")
+    secrets = spark.createDataFrame([("a", "token-of-a"), ("b", "token-of-b")], "device string, value string")
+    stream = lines.device_sessions_of_files(lines.read_lines(spark, str(tmp_path / "in"), streaming=True, files_per_batch=1))
+    finish(ingest.start(stream, str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "at"), once=True, device_secrets=secrets))
+    got = {r.device: r.raw for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert got == {"a": "[REDACTED] and token-of-b", "b": "token-of-a and [REDACTED]"}
+
+
 def test_lifecycle_equals_batch(spark, tmp_path):
     more = [event(100 + i, "a", raw=f"[00:00:00][I][x:1]: {i}", session="a2") for i in range(120)]
     log = story(spark).unionByName(text.parse(frame(spark, more))).withColumn("ts", F.col("ts").cast("timestamp")).cache()

@@ -446,9 +446,9 @@ def sensitive(extra: str = "") -> str:
     return f"(regexp_matches(line, {lit(KEY_LINE)}) AND regexp_matches({KEY}, '(?i){fixed.SENSITIVE_KEY}{extra}'))"
 
 
-def single(extra: str) -> str:
+def single(extra: str, scrubbed: str | None = None) -> str:
     return f"""CASE WHEN regexp_matches(line, '{fixed.PEM_BEGIN}') THEN regexp_extract(line, '(?s)^(.*?){fixed.PEM_BEGIN}', 1) || '[REDACTED]'
-  WHEN {sensitive(extra)} THEN {CUT} ELSE {known(patterns(url('line')))} END"""
+  WHEN {sensitive(extra)} THEN {CUT} ELSE {scrubbed or known(patterns(url('line')))} END"""
 
 
 define("redact_urls", f"SELECT doc_id, line_no, {url('line')} AS line FROM dl", LINES)
@@ -578,12 +578,22 @@ walk(doc_id, n, in_pem, block, hidden) AS (
 shown AS (SELECT c.doc_id, c.line_no, CASE WHEN w.hidden THEN '' ELSE {single} END AS line FROM coded c JOIN walk w ON c.doc_id = w.doc_id AND c.n = w.n)"""
 
 
-def blocks(lines: str, extra: str) -> str:
+def blocks(lines: str, extra: str, scrubbed: str | None = None) -> str:
     return BLOCKS.format(begin=fixed.PEM_BEGIN, end=fixed.PEM_END, space=SPACE, key=lit(KEY_LINE), sensitive=sensitive(extra),
-                         single=single(extra), lines=lines)
+                         single=single(extra, scrubbed), lines=lines)
 
 
 define("redact_sessions", "SELECT doc_id, line_no, line FROM shown", LINES, blocks("dl", "|^note$"))
+DEVICE_SECRETS = r"""
+own_words AS (SELECT doc_id // 50 % 997 AS d, unnest(regexp_extract_all(text, '[a-z]{4}')[1:5]) AS value FROM documents WHERE doc_id % 50 = 0),
+all_secrets AS (
+  SELECT d, value FROM own_words UNION SELECT doc_id % 997, CASE WHEN doc_id % 997 % 2 = 0 THEN 's3cr3t-value' ELSE 'legacy-token' END FROM documents
+  UNION SELECT doc_id % 997, 'value' FROM documents),
+secret_lists AS (SELECT d, list(value ORDER BY length(value) DESC, value) AS secrets FROM all_secrets GROUP BY d),
+told AS (SELECT dl.*, secrets FROM dl JOIN secret_lists ON d = doc_id % 997)"""
+define("redact_device_secrets", """SELECT 'dev-' || (doc_id % 997) AS device, 'session-' || (doc_id // 997) AS session_id, doc_id, line_no, line FROM shown""",
+       LINES, DEVICE_SECRETS, blocks("told", "|^note$", f"""list_reduce(list_concat([{patterns(url('line'))}], secrets),
+  lambda acc, s: replace(acc, s, '[REDACTED]'))"""))
 SECRET_DOCS = r"""
 secret_docs AS (
   SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'wifi:' || chr(10) || '  ssid: net' || chr(10) || '  password: pw-' || doc_id || chr(10) || 'key: |' || chr(10)
@@ -605,5 +615,5 @@ pick(n, names, addresses, pos) AS (
   SELECT p.n, CASE WHEN ok THEN list_append(names, low) ELSE names END, CASE WHEN ok THEN list_append(addresses, address) ELSE addresses END, CASE WHEN ok THEN p.pos END
   FROM pick k JOIN pool p ON p.n = k.n + 1, LATERAL (SELECT NOT list_contains(names, low) AND NOT list_contains(addresses, address) AS ok))
 SELECT pos, name, address FROM found WHERE pos IN (SELECT pos FROM pick WHERE pos IS NOT NULL)""", FOUND)
-for _name in ("redact_sessions", "redact_documents", "discovery_admit"):
+for _name in ("redact_sessions", "redact_device_secrets", "redact_documents", "discovery_admit"):
     SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -566,6 +566,15 @@ def redact_sessions(spark, sf):
     return shown.select("doc_id", "line_no", "line")
 
 
+@query
+def redact_device_secrets(spark, sf):
+    """Lines of many devices that name their sessions alike, each with the secrets of its own device."""
+    shown, _ = redact.redact_lines(
+        derived.device_lines(spark, sf), ["device", "session_id"], "id", "line", ["^note$"], VALUE_PATTERNS, ["value"],
+        device_secrets=derived.device_secrets(spark, sf))
+    return shown.select("device", "session_id", "doc_id", "line_no", "line")
+
+
 @query
 def redact_documents(spark, sf):
     docs = derived.documents_with_secrets(spark, sf)
