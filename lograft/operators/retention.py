@@ -8,7 +8,7 @@ devices are sent to all tasks and the log is not shuffled; more are joined, salt
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -99,6 +99,26 @@ class Plan:
         self._size_end: int | None = None
         self._plan()
 
+    # --- keeping a plan ---
+
+    def stored(self) -> dict:
+        """The policy and all thresholds as plain values for JSON."""
+        end = self._age_end and [times.literal_text(self._age_end[0]), self._age_end[1]]
+        return {
+            "policy": asdict(self.policy), "now": self.now if isinstance(self.now, str) else self.now.isoformat(" "), "age_end": end,
+            "limits": self._limits, "size_end": self._size_end, "budget": self.budget, "steps": [asdict(s) for s in self.steps],
+        }
+
+    @classmethod
+    def restored(cls, events: DataFrame, kept: dict) -> Plan:
+        """A stored plan for rows of the same log, as they are now; nothing is counted again."""
+        plan = cls.__new__(cls)
+        limits = {d: Limit(**l) for d, l in kept["policy"]["per_device"].items()}
+        plan.events, plan.policy, plan.now, plan.bits = events, Policy(**kept["policy"] | {"per_device": limits}), kept["now"], ordered.CHUNK_BITS
+        plan.steps, plan.budget, plan._ts = [Step(**s) for s in kept["steps"]], kept["budget"], events.schema["ts"].dataType
+        plan._age_end, plan._limits, plan._size_end = kept["age_end"] and tuple(kept["age_end"]), kept["limits"], kept["size_end"]
+        return plan
+
     # --- labelling ---
 
     def _age_applies(self) -> bool:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.operators import retention
+from lograft.sources import files, ledger
 
 STORED_COLUMNS = ("id", *retention.EVENT_FIELDS)
 
@@ -25,47 +28,53 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    snapshots.write.mode("append").parquet(path)
-
-
-def _folder(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
+def append_snapshots(snapshots: DataFrame, path: str, batch: str) -> bool:
+    """Append a batch of snapshots once; ``ledger.read`` reads them."""
+    return ledger.append(snapshots, path, batch)
 
-def remove(spark: SparkSession, path: str) -> None:
-    files, target = _folder(spark, path)
-    files.delete(target, True)
 
+def _day_files(spark: SparkSession, path: str, day: str) -> list[str]:
+    folder = f"event_date={day}"
+    return [f"{folder}/{name}" for name in files.names(spark, f"{path}/{folder}") if not name.startswith(("_", "."))]
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names directly below ``path``."""
-    files, target = _folder(spark, path)
-    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
 
+def apply_retention(spark: SparkSession, path: str, journal: str, policy: retention.Policy, now: str) -> None:
+    """Delete what ``policy`` reaches as of ``now`` from the log at ``path``; days that lose no row stay as they are.
 
-def apply_retention(plan: retention.Plan, path: str, staging: str) -> None:
-    """Rewrite the days that lose rows; all other days stay as they are.
-
-    Survivors of those days go to ``staging`` first, because a job must not overwrite what it
-    reads. Running it again after a failure gives the same result.
+    The thresholds are worked out once and kept in the folder ``journal``, with the files of the days they touch. Survivors of those files
+    are staged beside them; only then the days are changed, one after the other: staged files come in, the files they were read from go. A run
+    that stopped anywhere is continued by calling this again, by the same thresholds, although the log has changed meanwhile. Files that others
+    append to a day in the meantime stay. At the end the journal is removed.
     """
-    spark = plan.events.sparkSession
-    labelled = plan.label()
-    touched = labelled.filter(F.col("policy").isNotNull()).select("event_date").distinct()
-    days = [r[0] for r in touched.collect()]
-    if not days:
-        return
-    kept = labelled.filter(F.col("event_date").isin(days) & F.col("policy").isNull()).drop("policy")
-    kept.write.mode("overwrite").partitionBy("event_date").parquet(staging)
-    staged = spark.read.schema(kept.schema).parquet(staging)
-    left = {r[0] for r in staged.select("event_date").distinct().collect()}
-    (
-        staged.sortWithinPartitions("event_date", "id").write.mode("overwrite").partitionBy("event_date")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
-    for day in days:
-        if day not in left:
-            remove(spark, f"{path}/event_date={day}")
+    told = files.read_text(spark, f"{journal}/plan")
+    if told is None:
+        plan = retention.Plan(read(spark, path), policy, now)
+        touched = plan.deleted().select(F.col("event_date").cast("string")).distinct()
+        days = {r[0]: _day_files(spark, path, r[0]) for r in touched.collect()}
+        files.write_text(spark, f"{journal}/plan", json.dumps({"plan": plan.stored(), "days": days}))
+    else:
+        kept = json.loads(told)
+        days = kept["days"]
+    if days and files.read_text(spark, f"{journal}/staged") is None:
+        log = spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for own in days.values() for name in own])
+        if told is not None:
+            plan = retention.Plan.restored(log, kept["plan"])
+        survivors = plan.label(log).filter("policy IS NULL").drop("policy")
+        rows = survivors.repartitionByRange("event_date", "id").sortWithinPartitions("event_date", "id")
+        rows.write.mode("overwrite").partitionBy("event_date").parquet(f"{journal}/staging")
+        files.write_text(spark, f"{journal}/staged", "")
+    for day, own in sorted(days.items()):
+        if files.read_text(spark, f"{journal}/done-{day}") is None:
+            _swap(spark, path, f"{journal}/staging", day, own)
+            files.write_text(spark, f"{journal}/done-{day}", "")
+    files.remove(spark, journal)
     spark.catalog.refreshByPath(path)
+
+
+def _swap(spark: SparkSession, path: str, staging: str, day: str, own: list[str]) -> None:
+    for name in _day_files(spark, staging, day):
+        files.move_into(spark, f"{staging}/{name}", f"{path}/event_date={day}")
+    for name in own:
+        files.remove(spark, f"{path}/{name}")
+    if not _day_files(spark, path, day):
+        files.remove(spark, f"{path}/event_date={day}")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.sources.store import folders, remove
+from lograft.sources.files import names, remove
 
 
 def each_batch(fold: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -40,7 +40,7 @@ def write(state: DataFrame, folder: str, batch: int) -> None:
 
 def last_batch(spark: SparkSession, folder: str) -> int:
     """Number of the last batch that wrote ``folder``; -1 before the first."""
-    return max((int(n.split("=")[1]) for n in folders(spark, folder) if n.startswith("batch=")), default=-1)
+    return max((int(n.split("=")[1]) for n in names(spark, folder) if n.startswith("batch=")), default=-1)
 
 
 def output(rows: DataFrame, folder: str, batch: int, *by: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 
 from lograft.functions import text
 from lograft.operators import retention as r
-from lograft.sources import store
+from lograft.sources import files, store
 from models import NOW, event, frame, ids, run_retention
 
 
@@ -73,18 +73,47 @@ def test_plan_equals_the_sequential_loop(spark, case):
 
 
 def test_apply_rewrites_only_touched_days(spark, tmp_path):
-    path, staging = str(tmp_path / "log"), str(tmp_path / "staging")
+    path, journal = str(tmp_path / "log"), str(tmp_path / "journal")
     rows = seed("a", 4, 9, 1) + seed("a", 4, 3, 5) + seed("b", 4, 3, 9) + seed("a", 4, 0, 13)
     store.append(text.parse(frame(spark, rows)), path)
-    log = store.read(spark, path)
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "log" / "event_date=2024-05-31").glob("*.parquet")}
-    plan = r.Plan(log, r.Policy(max_age_days=5, per_device={"b": r.Limit(1, None)}), NOW)
-    store.apply_retention(plan, path, staging)
-    assert ids(store.read(spark, path)) == [5, 6, 7, 8, 13, 14, 15, 16]
-    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "log" / "event_date=2024-05-31").glob("*.parquet")} == before
-    assert not list((tmp_path / "log").glob("event_date=2024-05-22"))
-    store.apply_retention(r.Plan(store.read(spark, path), plan.policy, NOW), path, staging)
-    assert ids(store.read(spark, path)) == [5, 6, 7, 8, 13, 14, 15, 16]
+    policy = r.Policy(max_age_days=5, per_device={"b": r.Limit(1, None)})
+    for _ in range(2):
+        store.apply_retention(spark, path, journal, policy, NOW)
+        assert ids(store.read(spark, path)) == [5, 6, 7, 8, 13, 14, 15, 16]
+        assert {f: f.stat().st_mtime_ns for f in (tmp_path / "log" / "event_date=2024-05-31").glob("*.parquet")} == before
+        assert not list((tmp_path / "log").glob("event_date=2024-05-22")) and not (tmp_path / "journal").exists()
+
+
+@pytest.mark.parametrize("moves", range(0, 6, 2))
+def test_a_stopped_run_continues_by_the_same_plan(spark, tmp_path, monkeypatch, moves):
+    """Sizes and counts would be others once some days are changed, so a new plan would delete more."""
+    path, journal = str(tmp_path / "log"), str(tmp_path / "journal")
+    log = text.parse(frame(spark, seed("a", 6, 9, 1) + seed("b", 6, 4, 7) + seed("a", 6, 2, 13) + seed("b", 6, 0, 19)))
+    store.append(log, path)
+    size = r.stored_bytes(log).first()[0]
+    policy = r.Policy(max_age_days=8.95, max_total_bytes=int(size * 0.6), per_device={"b": r.Limit(None, 7)}, batch_size=1)
+    want = ids(r.Plan(store.read(spark, path), policy, NOW).survivors())
+    done, whole = [], (files.move_into, files.remove)
+
+    def stopping(step):
+        def run(*args):
+            if len(done) == moves:
+                raise OSError("stopped")
+            done.append(args)
+            step(*args)
+        return run
+
+    monkeypatch.setattr(files, "move_into", stopping(whole[0]))
+    monkeypatch.setattr(files, "remove", stopping(whole[1]))
+    with pytest.raises(OSError):
+        store.apply_retention(spark, path, journal, policy, NOW)
+    monkeypatch.setattr(files, "move_into", whole[0])
+    monkeypatch.setattr(files, "remove", whole[1])
+    # rows that come while the run stands still are kept
+    store.append(text.parse(frame(spark, seed("c", 2, 4, 90))), path)
+    store.apply_retention(spark, path, journal, policy, NOW)
+    assert ids(store.read(spark, path)) == [*want, 90, 91] and 6 < len(want) < 18
 
 
 def test_plan_shuffles_nothing_and_skips_days(spark, tmp_path):

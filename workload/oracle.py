@@ -372,6 +372,10 @@ full_run AS (
   UNION ALL SELECT id, 'events_device' FROM dd
   UNION ALL SELECT id, 'events_size' FROM r5 WHERE n <= coalesce((SELECT deleted FROM steps WHERE rule = 'size'), 0))"""
 define("retention_full_run", "SELECT id, policy FROM full_run", EVENTS, SIZES, FULL)
+define("retention_applied", """SELECT id, device, bytes AS row_bytes, strftime(ts, '%Y-%m-%d') AS event_date FROM sized
+WHERE id NOT IN (SELECT id FROM full_run)""", EVENTS, SIZES, FULL)
+define("append_twice", f"""SELECT id, device, strftime(captured_at, '{STORED}') AS captured_at, 'part-' || (id % 5) AS file,
+  sha256(content) AS content_hash FROM snap""", SNAPS)
 define("retention_steps", "SELECT step, policy, rule, device, matching, demand, batches, deleted FROM steps", EVENTS, SIZES, FULL)
 ARCHIVE = f"""
 a0 AS (SELECT *, starts_with(name, '.export-tmp-') AS tmp, starts_with(name, 'device-log-export-') AND ends_with(name, '.tar.gz') AS ours,

@@ -12,7 +12,7 @@ from lograft import fixed
 from lograft.functions import redaction, text, times
 from lograft.operators import export, filters, inventory, redact, retention, search, sessions, snapshots, status
 from lograft.session import shared_dir
-from lograft.sources import derived, messages
+from lograft.sources import derived, ledger, messages, store
 from lograft.streaming import changes, lifecycle, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,6 +437,26 @@ def retention_full_run(spark, sf):
     return full_plan(spark, sf).deleted().select("id", "policy")
 
 
+@query
+def retention_applied(spark, sf):
+    """The log after a whole run with limits, a size cap and a budget, applied to stored days."""
+    path, journal = _folder(spark), _folder(spark)
+    store.append(_events(spark, sf), path)
+    store.apply_retention(spark, path, journal, full_plan(spark, sf).policy, derived.NOW)
+    return store.read(spark, path).select("id", "device", "row_bytes", F.col("event_date").cast("string").alias("event_date"))
+
+
+@query
+def append_twice(spark, sf):
+    """Snapshots that arrive in five files: a batch of two files, the same one again, then all files under another batch."""
+    path = _folder(spark)
+    rows = derived.snapshots(spark, sf).withColumn("file", F.concat(F.lit("part-"), F.col("id") % 5))
+    first = rows.filter("file IN ('part-1', 'part-3')")
+    for part, batch in ((first, "b0"), (first, "b0"), (rows, "b1")):
+        ledger.append(part, path, batch, "file")
+    return _stamp(ledger.read(spark, path), "captured_at").select("id", "device", "captured_at", "file", F.sha2("content", 256).alias("content_hash"))
+
+
 @query
 def retention_steps(spark, sf):
     return full_plan(spark, sf).step_table().select("step", "policy", "rule", "device", "matching", "demand", "batches", "deleted")
