@@ -168,12 +168,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").alias("id"), F.col("source").alias("device"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))
-        .alias("captured_at"),
-        F.sha2(F.col("lang"), 256).alias("source_hash"),
-        F.concat(F.lit("name: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\n")).alias("content"),
+    """Each document as a configuration with a credential section, captured twice in a row without a change."""
+    content = F.concat(
+        F.lit("name: "), F.col("source"), F.lit("\nlang: "), F.col("lang"), F.lit("\nwifi:\n  password: pw-"), F.col("doc_id") % 7,
+        F.lit("\nkey: |\n  inner\nurl: http://u:p@h/\n"), F.coalesce("text", F.lit("")))
+    again = docs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    return again.select(
+        (F.col("doc_id") * 2 + F.col("again")).alias("id"), F.col("source").alias("device"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(mins=F.col("doc_id").cast("int"), secs=(F.col("again") * 20).cast("decimal(18,6)"))).alias("captured_at"),
+        F.sha2(F.col("lang"), 256).alias("source_hash"), content.alias("content"),
     )
 
 

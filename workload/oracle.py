@@ -89,9 +89,11 @@ dl AS (
 
 SNAPS = """
 snap AS (
-  SELECT doc_id AS id, source AS device, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) AS captured_at,
-         sha256(lang) AS source_hash,
-         'name: ' || source || chr(10) || 'lang: ' || lang || chr(10) AS content FROM documents)"""
+  SELECT doc_id * 2 + again AS id, source AS device,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) + to_seconds(again * 20) AS captured_at, sha256(lang) AS source_hash,
+    'name: ' || source || chr(10) || 'lang: ' || lang || chr(10) || 'wifi:' || chr(10) || '  password: pw-' || (doc_id % 7) || chr(10)
+      || 'key: |' || chr(10) || '  inner' || chr(10) || 'url: http://u:p@h/' || chr(10) || coalesce(text, '') AS content
+  FROM (SELECT *, unnest([0, 1]) AS again FROM documents) d)"""
 
 UPDATES = """
 su AS (
@@ -403,8 +405,9 @@ define("archive_prune", "SELECT name, length, action FROM arch WHERE action IS N
 define("archive_listed", "SELECT name, length FROM listing WHERE regexp_matches(name, '^device-log-export-[0-9]{8}T[0-9]{6}Z-[0-9a-f]{8}\\.tar\\.gz$')", LISTING)
 
 # --- snapshots ---
-define("snapshots_dedupe", """SELECT id, device, h AS content_hash FROM (SELECT *, sha256(content) AS h, lag(sha256(content)) OVER (PARTITION BY device ORDER BY id) AS p FROM snap)
-WHERE h IS DISTINCT FROM p""", SNAPS)
+DEDUPED = """SELECT id, device, h AS content_hash FROM (SELECT *, sha256(content) AS h, lag(sha256(content)) OVER (PARTITION BY device ORDER BY id) AS p FROM snap)
+WHERE h IS DISTINCT FROM p"""
+define("snapshots_dedupe", DEDUPED, SNAPS)
 define("snapshot_latest", "SELECT id, device, captured_at, source_hash, content FROM snap WHERE (device, id) IN (SELECT device, max(id) FROM snap GROUP BY 1)", SNAPS)
 IN_EFFECT = """
 eff_snap AS (SELECT * FROM snap WHERE captured_at >= TIMESTAMP '2024-01-01 02:00:00' AND captured_at < TIMESTAMP '2024-01-01 03:00:00'
@@ -506,8 +509,6 @@ FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00'""", EVENTS)
 define("export_sessions", """SELECT * FROM sess WHERE device IN ('dev-1', 'dev-2', 'dev-7')
   AND (ended_at IS NULL OR ended_at >= '2024-01-10') AND started_at < '2024-01-12 12:00:00'""", EVENTS, SESSIONS)
 define("export_status", "SELECT * FROM st WHERE device IN ('dev-2', 'dev-4', 'dev-5')", EVENTS, STATUS)
-define("export_snapshots", """SELECT id, device, 'configs/' || device || '/' || strftime(captured_at, '%Y%m%dT%H%M%SZ') || '-' || id || '.yaml' AS path, content
-FROM eff_snap""", SNAPS, IN_EFFECT)
 define("export_manifest_counts", "SELECT device, count(*) AS events FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' GROUP BY 1", EVENTS)
 
 # --- stored log and streams ---
@@ -554,7 +555,7 @@ FROM n GROUP BY ALL""", EVENTS, ALL_KINDS)
 define("stream_gaps", f"SELECT * REPLACE (strftime(previous, '{STORED}') AS previous, strftime(ts, '{STORED}') AS ts) FROM ("
        + SQL["session_gaps"].split(EVENTS, 1)[1] + ") WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 36000000 FROM ev)", EVENTS)
 define("stream_retry_audit", backoff("2.0"), EVENTS, SESSIONS)
-define("stream_snapshot_changes", SQL["snapshots_dedupe"].split("\n", 1)[1].split("FROM documents)", 1)[1], SNAPS)
+define("stream_snapshot_changes", DEDUPED, SNAPS)
 define("stream_idle", f"""
 , g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts)) >= 36000000000 AS fresh FROM base),
 h AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY device ORDER BY ts ROWS UNBOUNDED PRECEDING) AS stretch FROM g),
@@ -610,6 +611,12 @@ define("redact_documents", """
 SELECT doc_id, coalesce(t, '') || CASE WHEN ended THEN chr(10) ELSE '' END AS text
 FROM cut LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM shown GROUP BY 1) USING (doc_id)""",
        SECRET_DOCS, blocks("split_lines", ""))
+SNAP_LINES = SECRET_DOCS.split("cut AS", 1)[1]
+define("export_snapshots", """
+SELECT id, device, 'configs/' || device || '/' || strftime(captured_at, '%Y%m%dT%H%M%SZ') || '-' || id || '.yaml' AS path,
+  coalesce(t, '') || CASE WHEN ended THEN chr(10) ELSE '' END AS content
+FROM eff_snap JOIN cut ON cut.doc_id = id LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM shown GROUP BY 1) s ON s.doc_id = id""",
+       SNAPS, IN_EFFECT, "secret_docs AS (SELECT id AS doc_id, content AS text FROM eff_snap),cut AS" + SNAP_LINES, blocks("split_lines", "", url("line")))
 define("discovery_admit", f"""
 , pool AS (SELECT *, lower(name) AS low, row_number() OVER (ORDER BY lower(name), pos) AS n FROM found
   WHERE {WANTED} AND {UNKNOWN} AND address IS NOT NULL),
@@ -619,5 +626,5 @@ pick(n, names, addresses, pos) AS (
   SELECT p.n, CASE WHEN ok THEN list_append(names, low) ELSE names END, CASE WHEN ok THEN list_append(addresses, address) ELSE addresses END, CASE WHEN ok THEN p.pos END
   FROM pick k JOIN pool p ON p.n = k.n + 1, LATERAL (SELECT NOT list_contains(names, low) AND NOT list_contains(addresses, address) AS ok))
 SELECT pos, name, address FROM found WHERE pos IN (SELECT pos FROM pick WHERE pos IS NOT NULL)""", FOUND)
-for _name in ("redact_sessions", "redact_device_secrets", "redact_documents", "discovery_admit"):
+for _name in ("redact_sessions", "export_snapshots", "redact_device_secrets", "redact_documents", "discovery_admit"):
     SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
