@@ -4,8 +4,8 @@ A line is described by shares of letter classes, its length, its variety of word
 its own and those of both neighbours. The field is binary, so messages are single log odds. Lines of a labelled document carry its
 label in training; a document's score is the mean probability of a good line, weighted by line length.
 
-Training takes about PER_LABEL documents of each label, chosen by a hash of doc_id, and of each at most TRAIN_LINES lines (documented bounds);
-every text is scored whole. Defined results: null text is empty text, one line without characters, and gets that line's probability; without
+Training takes about PER_LABEL documents of each label, chosen by a hash of doc_id, whole, as long as LINES lines of a label are not used up; documents of
+over DOC_LINES lines are not among them (documented bounds of the sample). Of rows with one doc_id one text is taken. Every text is scored whole. Defined results: null text is empty text, one line without characters, and gets that line's probability; without
 labelled rows of both labels every score is 0.5; rows are handled by themselves, so ties, repeated rows and null ids need nothing.
 """
 
@@ -21,7 +21,7 @@ from lograft import session
 from lograft.llm.common import blocks
 
 PER_LABEL = 2000
-TRAIN_LINES = 128
+LINES, DOC_LINES = 40_000, 2_000
 STEPS, RATE, DECAY = 300, 0.1, 2e-5
 OWN = 10
 
@@ -162,17 +162,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Field | None:
     # about 2 * PER_LABEL rows of two numbers, whatever the input
     sample = F.broadcast(rows.where(chance < share))
 
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("_lines")
+    given = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_text_hash"), lines).join(sample, "doc_id")
+    # one text of each sampled doc_id; as many rows as the sample has
+    sizes = given.groupBy("doc_id", "quality").agg(F.min(F.struct("_text_hash", "_lines")).alias("_one")).select("doc_id", "quality", "_one.*").collect()
+    taken, used = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r["_text_hash"], r["doc_id"])):
+        if r["_lines"] <= min(DOC_LINES, LINES - used[r["quality"]]):
+            used[r["quality"]] += r["_lines"]
+            taken.append((r["doc_id"], r["_text_hash"]))
+    chosen = F.broadcast(spark.createDataFrame(taken, "doc_id long, _text_hash long"))
+    whole = given.join(chosen, ["doc_id", "_text_hash"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
     def run(batches):
         import pyarrow as pa
 
         for block in blocks(batches):
-            texts = ["\n".join((t or "").split("\n", TRAIN_LINES)[:TRAIN_LINES]) for t in block.column("text").to_pylist()]
-            own, _, counts = line_features(texts)
+            own, _, counts = line_features(block.column("text").to_pylist())
             packed = [x.astype("<f4").tobytes() for x in np.split(own, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("quality"), pa.array(packed, pa.binary())], names=["doc_id", "quality", "lines"])
 
-    found = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "quality", "text").mapInArrow(
-        run, "doc_id long, quality int, lines binary").toPandas().sort_values("doc_id", kind="stable")
+    found = whole.mapInArrow(run, "doc_id long, quality int, lines binary").toPandas().sort_values("doc_id", kind="stable")
     if set(found["quality"]) != {0, 1}:
         return None
     own = [np.frombuffer(x, "<f4").reshape(-1, OWN).astype("float64") for x in found["lines"]]

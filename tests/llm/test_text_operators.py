@@ -226,3 +226,20 @@ def test_turn_order(spark, roles, valid):
 
 def test_sql_is_registered():
     assert set(oracle.SQL) <= set(QUERIES)
+
+
+def test_classifier_learns_from_whole_documents(spark, monkeypatch):
+    """Bad documents begin like good ones; only lines far behind tell them apart. Repeated rows and very long documents bring nothing more to the driver."""
+    good, bad = "A plain sentence of words follows here.", "$$$ ### BUY NOW !!! ###"
+    texts = [(i, "\n".join([good] * 150 + [good if i % 2 else bad] * 150)) for i in range(60)] + [(60, "\n".join([bad] * 400))] * 30
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS _lines", "2 AS quality", "3 AS _text_hash")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(60, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(crf, "DOC_LINES", 350)
+    sizes = []
+    fit = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda own, counts, y: sizes.append((len(own), len(counts))) or fit(own, counts, y))
+    monkeypatch.setattr(crf, "LINES", 6100)
+    field = crf.train(docs, labels, F.lit(True))
+    assert sizes == [(300 * 40, 40)]
+    got = {r["doc_id"]: r["score"] for r in crf.score(docs, field).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2)) > got[60]
