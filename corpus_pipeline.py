@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lograft import session
 from lograft.llm import bpe, decontaminate, ngram_join, passages, quality
-from lograft.llm.common import documents, table
+from lograft.llm.common import by_place, documents, table
 from lograft.llm.queries import tokenizer
 
 
@@ -29,9 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; so do documents of which nothing is left. ``n_chars`` follows the text."""
-    left = passages.deduplicate(docs).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", counted).select(*docs.columns)
+    def cut(docs: DataFrame) -> DataFrame:
+        left = passages.deduplicate(docs).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+        return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return by_place(docs, cut, "doc_id", "text", "n_chars")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def by_place(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *known: str) -> DataFrame:
+    """``step`` on the table with all columns but ``known`` named by their place, so that no name clashes with one that it uses inside.
+
+    The step may add columns; those of the table come back under their names.
+    """
+    inner = docs.toDF(*[c if c in known else f"c{i}" for i, c in enumerate(docs.columns)])
+    return step(inner).select(*inner.columns).toDF(*docs.columns)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null and for blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

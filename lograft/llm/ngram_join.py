@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
-from lograft.llm.common import blocks
+from lograft.llm.common import blocks, by_place
 
 WIDTH = 1 << 20
 SLICES = 16
@@ -337,6 +337,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows with one doc_id are one document: they stay together if any of them has the smallest doc_id of its group.
     """
+    return by_place(docs, lambda inner: _keep_one(inner, n, percent), "doc_id", "text")
+
+
+def _keep_one(docs: DataFrame, n: int, percent: int) -> DataFrame:
     found = groups(docs, n, percent).checkpoint()
     gone = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("least")).where(~F.col("least")).select("doc_id")
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()

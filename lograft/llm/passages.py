@@ -5,7 +5,9 @@ letters on. In scripts without blanks every sign is a word here, and UNIT_SIGNS
 between two words whose place is least, by (no sentence ends here, hash of the next two words), among all places fewer than UNIT_WORDS words away. A
 cut depends on no words but these, so copies of a passage have the same units from a few words after its beginning to a few before its end, wherever in
 a line it stands. Units are normalised (lower case, words only) and hashed to 128 bits. Of equal units the one with the smallest
-(doc_id, text hash, position) stays, all others are cut out; the places they had in the original text are returned.
+(doc_id, text hash, position) stays, all others are repeats. What is cut out are passages, not phrases: lines that consist of repeats, and runs of
+repeats one after the other with RUN_WORDS words or more in all, half of a passage of 50 words, as the words at a passage's edges lie in units that are cut
+elsewhere. Repeats in shorter runs stay. The places that go are returned, as they were in the original text.
 
 The winner of each digest is a minimum, so a passage in a third of all documents is reduced before it is shuffled. Winners go back to their
 document by (doc_id, text hash): no join runs on digests, and no group is larger than one document's units.
@@ -24,6 +26,7 @@ from lograft import session
 from lograft.llm.common import blocks
 
 UNIT_WORDS, LINE_WORDS, LINE_LETTERS, UNIT_SIGNS = 6, 4, 20, 12
+RUN_WORDS = 25
 _ENDS, _OWN_ENDS = ".!?", "\u3002\uff01\uff1f\uff61\uff0e\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u17d5"
 #: Scripts written without blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana, bopomofo, Han.
 _SIGNS = ((0xE00, 0xEFF), (0xF00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF),
@@ -126,6 +129,28 @@ def units(text: str) -> list[tuple[int, int, str]]:
         begin.tolist(), end.tolist(), cuts.tolist(), stops.tolist(), admitted[cuts].tolist(), strict=True) if ok]
 
 
+def cuts(text: str, own: list[tuple[int, int, str]], stay: set[int]) -> list[tuple[int, int]]:
+    """Places that go: of the units that do not stay, those in lines without one that stays, and in runs of RUN_WORDS words."""
+    if len(stay) == len(own):
+        return []
+    kept_lines, lines, line, at = set(), [], 0, 0
+    for i, (start, _, _) in enumerate(own):
+        line += text.count("\n", at, start)
+        at = start
+        lines.append(line)
+        if i in stay:
+            kept_lines.add(line)
+    out, run, words = [], [], 0
+    for i in range(len(own) + 1):
+        if i < len(own) and i not in stay:
+            run.append(i)
+            words += own[i][2].count(" ") + 1
+            continue
+        out += [own[j][:2] for j in run if words >= RUN_WORDS or lines[j] not in kept_lines]
+        run, words = [], 0
+    return out
+
+
 def without(text: str, cut: list[tuple[int, int]]) -> str:
     """The text without these places; a line of which only white space is left goes as a whole."""
     if not cut:
@@ -152,8 +177,12 @@ def _digests(texts):
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns, with ``text`` cut, and ``n_units``, ``n_removed`` and ``removed`` (start, end in the original text)."""
+    """All columns, with ``text`` cut, and ``n_units``, ``n_removed`` and ``removed`` (start, end in the original text).
+
+    Columns of the table with one of these three names give way.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("n_units", "n_removed", "removed")
     session.ship(spark)
     session.shared_dir(spark)
     # columns go by place, as any name may occur among them
@@ -191,7 +220,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             texts, counts, removed = [], [], []
             for text, stay in zip(block.column(places).to_pylist(), block.column(block.num_columns - 1).to_pylist(), strict=True):
                 own, stay = units(text) if text else [], set(stay or ())
-                gone = [(a, b) for i, (a, b, _) in enumerate(own) if i not in stay]
+                gone = cuts(text or "", own, stay)
                 counts.append(len(own))
                 removed.append([{"start": a, "end": b} for a, b in gone])
                 texts.append(text if text is None else without(text, gone))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
-from lograft.llm.common import words
+from lograft.llm.common import by_place, words
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_same_next")
@@ -153,6 +153,10 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows whose document passes the base check and is good with a posterior of THRESHOLD or more."""
+    return by_place(docs, _keep_good, "text")
+
+
+def _keep_good(docs: DataFrame) -> DataFrame:
     of = lambda name: F.col("_q_" + name)
     counted = with_counts(docs)
     trust = estimate(with_counts(docs.select("text")).drop("text"), of)

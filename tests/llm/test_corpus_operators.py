@@ -129,13 +129,33 @@ def dedupe_by_hand(rows):
     seen, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         own = passages.units(t) if t else []
+        again = [seen.setdefault(u, (i, k)) != (i, k) for k, (_, _, u) in enumerate(own)]
+        line = [t.count("\n", 0, a) for a, _, _ in own]
+        whole = {n: all(x for x, m in zip(again, line) if m == n) for n in line}
         out[i] = []
-        for k, (a, b, u) in enumerate(own):
-            if seen.setdefault(u, (i, k)) != (i, k):
+        for k, (a, b, _) in enumerate(own):
+            low = high = k
+            while again[k] and low and again[low - 1]:
+                low -= 1
+            while again[k] and high + 1 < len(own) and again[high + 1]:
+                high += 1
+            words = sum(len(u.split(" ")) for _, _, u in own[low:high + 1])
+            if again[k] and (words >= passages.RUN_WORDS or whole[line[k]]):
                 out[i].append((a, b))
     return out
 
 
+def test_phrases_stay_and_whole_lines_go(spark):
+    rng = random.Random(21)
+    line, phrase, passage = sentence(rng, 9), sentence(rng, 14), sentence(rng, 45)
+    rows = [(i, f"{sentence(rng, 20)} {phrase} {sentence(rng, 15)}\n{line}\n{sentence(rng, 8)} {passage} {sentence(rng, 9)}") for i in range(3)]
+    by = {r["doc_id"]: r["text"] for r in passages.deduplicate(documents(spark, rows)).collect()}
+    assert by[0] == dict(rows)[0]
+    for i in (1, 2):
+        assert phrase in by[i] and line not in by[i]
+        assert sum(w in by[i].split("\n")[-1] for w in passage.split()[12:-12]) <= 2
+
+
 def test_passages_against_a_loop(spark):
     rng = random.Random(8)
     pool = [sentence(rng, rng.randrange(3, 14)) for _ in range(40)]
@@ -403,6 +423,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.count() == len(rows) and {"n_tokens", "ids_sha256"} <= set(docs.columns)
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(22)
+    rows = [(i, f"{sentence(rng, 40)}\n{sentence(rng, 9)}") for i in range(6)] + [(3, None), (2, "x y")]
+    names = ("_q_h", "_q_kept", "_twice", "n_removed", "removed", "n_units", "_row", "c0", "component_id", "digest", "key", "node", "clean", "n_words", "base_failed")
+    docs = documents(spark, rows).select("*", *[F.lit(str(i)).alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs.unionByName(docs.limit(1)), SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(*names).collect()} == {tuple(str(i) for i in range(len(names)))}, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == len(rows)
+    assert passages.deduplicate(docs).columns[-3:] == ["n_units", "n_removed", "removed"]
+
+
 def test_pipeline_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "word " * 40), (3, "a b"), (3, "a b"), (4, "long " * 30000)]
     docs = documents(spark, rows)
