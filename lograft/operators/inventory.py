@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograft import fixed
 from lograft.functions import text
 from lograft.operators.filters import discovery_match
 from lograft.plans.salted import salted_join
-from lograft.session import shared_dir
+from lograft.session import shared_dir, ship
 
 SETTINGS = tuple(fixed.BUILTIN_SETTINGS)
 BACKENDS = ("auto", "cli", "api")
@@ -132,33 +134,89 @@ def drop_known(found: DataFrame, existing: DataFrame) -> DataFrame:
     return salted_join(unnamed, addresses, ["_address"], "left_anti").select(*found.columns)
 
 
-def greedy_targets(found: DataFrame) -> DataFrame:
+#: Rows that one task settles in order, and the share of rows that a round has to settle so that rounds go on.
+ORDERED, SHARE = 1 << 20, 0.25
+
+
+def _round(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names that are sure of their first address, and the rows of the others that still have a chance.
+
+    A name is sure if no smaller name has that address at all. A row has no chance if its address is gone, or the first one of a smaller name:
+    whichever of the smaller names gets it, this row never will.
+    """
+    first = pool.groupBy("_name").agg(F.min_by(F.struct("_address", *pool.columns[2:]), "pos").alias("_r")).select("_name", "_r.*")
+    smallest = pool.groupBy("_address").agg(F.min("_name").alias("_holder"))
+    claims = first.groupBy("_address").agg(F.min("_name").alias("_claimer"))
+    sure = first.join(smallest, "_address").filter(F.col("_holder") == F.col("_name")).select(*pool.columns).checkpoint()
+    rest = _without(pool, sure)
+    rest = salted_join(rest, claims, ["_address"], "left").filter(F.col("_claimer").isNull() | (F.col("_name") <= F.col("_claimer")))
+    return sure, rest.select(*pool.columns).checkpoint()
+
+
+def _without(pool: DataFrame, taken: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rows of other names and addresses than those taken."""
+    names = (taken if names is None else names).select("_name").distinct()
+    others = salted_join(pool, names, ["_name"], "left_anti")
+    return salted_join(others, taken.select("_address"), ["_address"], "left_anti").select(*pool.columns)
+
+
+def _in_order(pool: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The smallest names settled one after the other in one task, and the rows of the others that still have a chance.
+
+    The i-th name needs its first i addresses at most, since only i - 1 names choose before it; so many names are taken that ``most`` rows suffice.
+    """
+    names = pool.groupBy("_name").agg(F.count("*").alias("_n")).orderBy("_name").limit(most)
+    place = F.row_number().over(Window.orderBy("_name"))
+    needed = F.sum(F.least("_n", "_place")).over(Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, 0))
+    prefix = names.withColumn("_place", place).withColumn("_needed", needed).filter((F.col("_needed") <= most) | (F.col("_place") == 1))
+    prefix = prefix.select("_name", "_place").checkpoint()
+    choice = F.row_number().over(Window.partitionBy("_name").orderBy("pos"))
+    rows = pool.join(prefix, "_name").withColumn("_choice", choice).filter(F.col("_choice") <= F.col("_place"))
+    columns = pool.columns
+
+    def settle(frames):
+        settled, taken = None, set()
+        for pdf in frames:
+            won = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[0] != settled and row[1] not in taken:
+                    settled = row[0]
+                    taken.add(row[1])
+                    won.append(row)
+            yield pd.DataFrame(won, columns=columns)
+
+    sorted_ = rows.select(*columns).coalesce(1).sortWithinPartitions("_name", "pos")
+    won = sorted_.mapInPandas(settle, pool.schema).checkpoint()
+    return won, _without(pool, won, prefix).checkpoint()
+
+
+def greedy_targets(found: DataFrame, most: int = ORDERED) -> DataFrame:
     """Accept devices in (lower name, pos) order while neither name nor address is taken.
 
-    Said differently, names choose in order, each its first address that no smaller name has. So in
-    a round every name points at its first address left, and a row goes if a smaller name points at
-    its address: whichever of the smaller names gets it, this row never will. When nothing goes any
-    more, all first choices differ and are the answer. A round handles all names at once, the rows
-    are reduced to one per (name, address) before anything is joined.
+    Said differently, names choose in order, each its first address that no smaller name has. A round settles all names that are sure of their first
+    address, wherever they stand in the order. Where names hang on each other in long chains a round settles few; then the smallest names,
+    as many as fit ``most`` rows, are settled in order, and rounds go on with the rest. Rows are reduced to one per (name, address) before anything is
+    joined.
 
     Rows without an address or with a bad name never claim anything, so they leave first.
     """
+    ship(found.sparkSession)
     shared_dir(found.sparkSession)
     usable = found.filter(F.coalesce(F.col("address"), F.lit("")) != "").filter(text.valid_device_name(F.col("name")))
     pool = usable.select(
         F.lower("name").alias("_name"), F.lower("address").alias("_address"), "pos", "name", "address"
-    ).groupBy("_name", "_address").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r")).select(
-        "_name", "_address", "_r.*"
-    ).checkpoint()
-    size, before = pool.count(), -1
-    while size != before:
-        first = pool.groupBy("_name").agg(F.min_by("_address", "pos").alias("_address"))
-        smallest = first.groupBy("_address").agg(F.min("_name").alias("_holder"))
-        kept = salted_join(pool, smallest, ["_address"], "left").filter(F.col("_holder").isNull() | (F.col("_name") <= F.col("_holder")))
-        pool = kept.select(*pool.columns).checkpoint()
-        size, before = pool.count(), size
-    best = pool.groupBy("_name").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r"))
-    return best.select("_r.*")
+    ).groupBy("_name", "_address").agg(F.min_by(F.struct("pos", "name", "address"), "pos").alias("_r")).select("_name", "_address", "_r.*").checkpoint()
+    accepted, size = [], pool.count()
+    while size:
+        sure, pool = _round(pool)
+        accepted.append(sure)
+        before, size = size, pool.count()
+        if size > (1 - SHARE) * before:
+            won, pool = _in_order(pool, most)
+            accepted.append(won)
+            size = pool.count()
+    out = functools.reduce(DataFrame.unionByName, accepted) if accepted else pool
+    return out.select("pos", "name", "address")
 
 
 def admit(found: DataFrame, existing: DataFrame, **rules) -> DataFrame:
