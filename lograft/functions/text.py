@@ -60,15 +60,11 @@ def looks_connected(device_time: Column, message: Column) -> Column:
 def is_diagnostic(line: Column) -> Column:
     """Any diagnostic phrase, in any case; four letters outside ASCII fold to i, s and k as well.
 
-    Plain substring tests on the lowered line are several times faster than one folding regex.
+    One alternation over the lowered line folds it once; a chain of substring tests would fold it for each phrase.
     """
     for letter, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
         line = F.replace(line, F.lit(letter), F.lit(plain))
-    low = F.lower(line)
-    found = F.contains(low, F.lit(fixed.DIAGNOSTIC_PHRASES[0]))
-    for phrase in fixed.DIAGNOSTIC_PHRASES[1:]:
-        found = found | F.contains(low, F.lit(phrase))
-    return found
+    return F.rlike(F.lower(line), F.lit("|".join(fixed.DIAGNOSTIC_PHRASES)))
 
 
 def contains_ascii_folded(text: Column, needle: str) -> Column:

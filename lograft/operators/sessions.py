@@ -9,6 +9,7 @@ from lograft import fixed
 from lograft.functions import text, times
 from lograft.plans import ordered
 from lograft.plans.salted import salted_join
+from lograft.session import shared_dir
 
 
 def is_log() -> Column:
@@ -139,16 +140,16 @@ def idle_breaks(events: DataFrame, idle_seconds: float) -> DataFrame:
 def failure_excerpt(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """First, last and diagnostic lines of each failed session, gaps between them marked.
 
-    Every session keeps at most 8 + 16 + 8 lines before anything is grouped by session.
+    Lines are numbered and chosen without their texts: per line a session, an id and two marks are kept, so its text is searched once. Every
+    session keeps at most 8 + 16 + 8 lines; only for these the texts are fetched and grouped by session.
     """
+    shared_dir(events.sparkSession)
     if failed is None:
         failed = events.filter(F.col("event_type") == "collector_error")
-    lines = salted_join(
-        events.filter(is_log()).select("session_id", "id", "raw"), failed.select("session_id").distinct(), ["session_id"], "left_semi"
-    ).select(
-        "session_id", "id", text.first_chars(F.col("raw")).alias("line"), text.is_diagnostic(F.col("raw")).alias("_diag"),
-    )
-    placed = ordered.scan(lines, ["session_id"], "id", [
+    logs = events.filter(is_log())
+    marks = logs.select("session_id", "id", text.is_diagnostic(F.col("raw")).alias("_diag"), (F.length("raw") > 0).alias("_told"))
+    marks = salted_join(marks, failed.select("session_id").distinct(), ["session_id"], "left_semi").checkpoint()
+    placed = ordered.scan(marks, ["session_id"], "id", [
         ordered.running_count("n"), ordered.group_count("_all"),
         ordered.running_count("_d", F.col("_diag")), ordered.group_count("_d_all", F.col("_diag")),
     ])
@@ -156,7 +157,8 @@ def failure_excerpt(events: DataFrame, failed: DataFrame | None = None) -> DataF
         (F.col("n") <= fixed.EXCERPT_FIRST) | (F.col("_all") - F.col("n") < fixed.EXCERPT_LAST)
         | (F.col("_diag") & (F.col("_d_all") - F.col("_d") < fixed.EXCERPT_DIAGNOSTIC))
     )
-    shown = placed.filter(wanted & (F.col("line") != "")).select("session_id", "n", "line")
+    chosen = placed.filter(wanted & F.col("_told")).select("session_id", "id", "n")
+    shown = chosen.join(logs.select("session_id", "id", text.first_chars(F.col("raw")).alias("line")), ["session_id", "id"])
     skipped = F.col("n") - F.lag("n").over(Window.partitionBy("session_id").orderBy("n")) - 1
     piece = F.when(skipped > 0, F.concat(F.format_string("... %d lines omitted ...\n", skipped), F.col("line")))
     pieces = shown.select("session_id", "n", F.coalesce(piece, F.col("line")).alias("piece"))

@@ -206,9 +206,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(position.alias("id"), "doc_id", "line_no", line.alias("line"))
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as a stored table, which is what line operators over a real fleet read."""
+    rows = document_lines(spark, sf_dir)
+    write = lambda path: rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+    return spark.read.parquet(_stored(spark, sf_dir, "lines", write))
+
+
 def device_lines(spark: SparkSession, sf_dir: str, devices: int = 997) -> DataFrame:
     """The same lines as sent by many devices, which name their sessions alike: every device has a session 0."""
-    return document_lines(spark, sf_dir).select(
+    return stored_lines(spark, sf_dir).select(
         "id", F.concat(F.lit("dev-"), F.col("doc_id") % devices).alias("device"),
         F.concat(F.lit("session-"), F.floor(F.col("doc_id") / devices)).alias("session_id"), "doc_id", "line_no", "line")
 
@@ -231,7 +238,8 @@ def documents_with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(
         F.lit("wifi:\n  ssid: net\n  password: pw-"), F.col("doc_id"), F.lit("\nkey: |\n  line\nurl: http://u:p@h/\n")
     )
-    return docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+    return spark.read.parquet(_stored(spark, sf_dir, "secret-documents", lambda path: rows.repartitionByRange("doc_id").write.parquet(path)))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

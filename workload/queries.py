@@ -82,7 +82,7 @@ def connected_lines(spark, sf):
 
 @query
 def diagnostic_lines(spark, sf):
-    lines = derived.document_lines(spark, sf)
+    lines = derived.stored_lines(spark, sf)
     return lines.filter(text.is_diagnostic(F.col("line"))).select("doc_id", "line_no")
 
 
@@ -350,7 +350,7 @@ def sessions_overlapping(spark, sf):
 @query
 def failure_excerpt(spark, sf):
     """Lines of a document are one session; documents whose lines hold a diagnostic failed."""
-    lines = derived.document_lines(spark, sf).select(
+    lines = derived.stored_lines(spark, sf).select(
         "id", F.col("doc_id").cast("string").alias("session_id"), F.lit("log").alias("event_type"), F.col("line").alias("raw"))
     failed = lines.filter(text.is_diagnostic(F.col("raw"))).select("session_id").distinct()
     return sessions.failure_excerpt(lines, failed)
@@ -543,24 +543,24 @@ def capture_triggers(spark, sf):
 
 @query
 def redact_urls(spark, sf):
-    return derived.document_lines(spark, sf).select("doc_id", "line_no", redaction.redact_urls(F.col("line")).alias("line"))
+    return derived.stored_lines(spark, sf).select("doc_id", "line_no", redaction.redact_urls(F.col("line")).alias("line"))
 
 
 @query
 def redact_patterns(spark, sf):
-    return derived.document_lines(spark, sf).select(
+    return derived.stored_lines(spark, sf).select(
         "doc_id", "line_no", redaction.redact_patterns(F.col("line"), VALUE_PATTERNS).alias("line"))
 
 
 @query
 def redact_known(spark, sf):
-    return derived.document_lines(spark, sf).select("doc_id", "line_no", redaction.redact_known(F.col("line"), SECRETS).alias("line"))
+    return derived.stored_lines(spark, sf).select("doc_id", "line_no", redaction.redact_known(F.col("line"), SECRETS).alias("line"))
 
 
 @query
 def redact_known_per_row(spark, sf):
     """Each line has its own list: the language and the source of its document, and a common value."""
-    lines = derived.document_lines(spark, sf)
+    lines = derived.stored_lines(spark, sf)
     own = F.array(F.concat(F.lit("value "), F.col("doc_id") % 5), F.lit("s3cr3t-value"), F.lit("the"), F.lit("ation"))
     return lines.select("doc_id", "line_no", redaction.redact_known_of_row(F.col("line"), own).alias("line"))
 
@@ -569,12 +569,12 @@ def redact_known_per_row(spark, sf):
 def redact_key_lines(spark, sf):
     line = F.col("line")
     cut = F.when(redaction.is_sensitive(redaction.line_key(line)), redaction.redact_key_line(line)).otherwise(line)
-    return derived.document_lines(spark, sf).select("doc_id", "line_no", cut.alias("line"))
+    return derived.stored_lines(spark, sf).select("doc_id", "line_no", cut.alias("line"))
 
 
 @query
 def redact_single_lines(spark, sf):
-    return derived.document_lines(spark, sf).select(
+    return derived.stored_lines(spark, sf).select(
         "doc_id", "line_no", redaction.redact_line(F.col("line"), ["^note$"], VALUE_PATTERNS, SECRETS).alias("line"))
 
 
@@ -582,7 +582,7 @@ def redact_single_lines(spark, sf):
 def redact_sessions(spark, sf):
     """Every document is a session whose lines arrive one by one."""
     shown, _ = redact.redact_lines(
-        derived.document_lines(spark, sf), ["doc_id"], "id", "line", ["^note$"], VALUE_PATTERNS, SECRETS)
+        derived.stored_lines(spark, sf), ["doc_id"], "id", "line", ["^note$"], VALUE_PATTERNS, SECRETS)
     return shown.select("doc_id", "line_no", "line")
 
 
