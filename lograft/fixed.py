@@ -16,6 +16,11 @@ TOOL_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 # --- device states ---
 STATES = ("starting", "connecting", "connected", "backoff", "stopped")
 
+# --- columns of exported events ---
+EXPORT_COLUMNS = (
+    "id", "timestamp", "device", "address", "session_id", "event_type", "level", "component", "device_time", "message", "raw",
+)
+
 # --- reserved texts ---
 SHUTDOWN_REASON = "collector shutting down"
 CRASH_REASON = "collector_crashed_or_killed"

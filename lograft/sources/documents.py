@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 
 import pandas as pd
@@ -38,30 +40,26 @@ def source_hash(watched: DataFrame, files: DataFrame) -> DataFrame:
     return listed.select("device", F.sha2(F.array_join(F.col("_files.entry"), "\n"), 256).alias("source_hash"))
 
 
+def _parsed(document: str):
+    """The value of a JSON document, or of a YAML one where a reader for that is installed; None if neither reads it."""
+    readers = [(json.loads, ValueError)]
+    with contextlib.suppress(ImportError):
+        import yaml
+
+        readers.append((yaml.safe_load, yaml.YAMLError))
+    for read, fault in readers:
+        with contextlib.suppress(fault):
+            return read(document)
+    return None
+
+
 def scalar_leaves(document: str | None) -> list[str]:
     """All texts and numbers of a nested document (not booleans); none if it cannot be read."""
-    if document is None:
-        return []
-    try:
-        root = json.loads(document)
-    except ValueError:
-        try:
-            import yaml
-        except ImportError:
-            return []
-        try:
-            root = yaml.safe_load(document)
-        except yaml.YAMLError:
-            return []
-    found, pending = set(), [root]
-    while pending:
-        value = pending.pop()
-        if isinstance(value, dict):
-            pending.extend(value.values())
-        elif isinstance(value, list):
-            pending.extend(value)
-        elif isinstance(value, (str, int, float)) and not isinstance(value, bool):
-            found.add(str(value))
+    level, found = [_parsed(document)] if document is not None else [], set()
+    while level:
+        found.update(str(v) for v in level if type(v) in (str, int, float))
+        inner = [v.values() if isinstance(v, dict) else v for v in level if isinstance(v, (dict, list))]
+        level = [*itertools.chain.from_iterable(inner)]
     return sorted(found)
 
 

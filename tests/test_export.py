@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from lograft import fixed
 from lograft.functions import text
 from lograft.operators import export, sessions, status
 from lograft.sources import rawcopy
@@ -27,9 +28,10 @@ def test_whole_export(spark, tmp_path):
     for row in digests.collect():
         data = (folder / row.path).read_bytes()
         assert hashlib.sha256(data).hexdigest() == row.sha256 and len(data) == row.size
+        assert row.records == (data.count(b"\n") if row.path.endswith(".json") else None)
     rows = read_lines(folder / "logs" / "of_device=a")
     assert len(rows) == 9 and rows == sorted(rows, key=lambda r: (r["timestamp"], r["id"]))
-    assert set(rows[0]) == {*export.EVENT_COLUMNS, "clean"} and rows[0]["level"] is None
+    assert set(rows[0]) == {*fixed.EXPORT_COLUMNS, "clean"} and rows[0]["level"] is None
     assert rows[0]["timestamp"] == "2024-06-01T00:00:00.000000Z"
     assert {r["device"] for r in read_lines(folder / "metadata" / "device_status")} == {"a", "b", "quiet"}
     config = next(p for p in (folder / "configs").rglob("part-*")).read_text(encoding="utf-8")
@@ -39,6 +41,21 @@ def test_whole_export(spark, tmp_path):
     assert {m["path"] for m in manifest if "path" in m} == {r.path for r in digests.collect()}
 
 
+def test_digests_of_files_of_any_kind(spark, tmp_path):
+    kinds = {"empty.json": b"", "a/ended.json": b"{}\n{}\n", "a/open.txt": b"x\n\r\ny", "b/only.json": b"\n", "b/odd.bin": bytes(range(256)) * 99, "_hidden.json": b"{}\n"}
+    for name, data in kinds.items():
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    got = {r.path: r for r in export.digest_tree(spark, str(tmp_path / "root")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert set(got) == set(kinds) - {"_hidden.json", "empty.json"}
+    for name, r in got.items():
+        assert (r.size, r.sha256) == (len(kinds[name]), hashlib.sha256(kinds[name]).hexdigest())
+        assert r.records == (kinds[name].count(b"\n") if name.endswith(".json") else None)
+
+
 def test_selection_and_bad_input(spark):
     log = story(spark)
     assert {r.device for r in export.event_rows(log, ["a"]).collect()} == {"a"}

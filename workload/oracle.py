@@ -509,6 +509,7 @@ FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00'""", EVENTS)
 define("export_sessions", """SELECT * FROM sess WHERE device IN ('dev-1', 'dev-2', 'dev-7')
   AND (ended_at IS NULL OR ended_at >= '2024-01-10') AND started_at < '2024-01-12 12:00:00'""", EVENTS, SESSIONS)
 define("export_status", "SELECT * FROM st WHERE device IN ('dev-2', 'dev-4', 'dev-5')", EVENTS, STATUS)
+define("export_digests", "SELECT device, count(*) AS records, true AS filled FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' GROUP BY 1", EVENTS)
 define("export_manifest_counts", "SELECT device, count(*) AS events FROM ev WHERE ts >= '2024-01-10' AND ts < '2024-01-12 12:00:00' GROUP BY 1", EVENTS)
 
 # --- stored log and streams ---

@@ -700,6 +700,18 @@ def export_snapshots(spark, sf):
     return rows.select("id", "device", "path", "content")
 
 
+@query
+def export_digests(spark, sf):
+    """Records by device in the files of a whole export, as the digests of its files count them."""
+    root = _folder(spark)
+    log = _events(spark, sf)
+    states = status.from_events(log)
+    digests = export.export(root, log, sessions.derive(log), states, derived.snapshots(spark, sf), start=RANGE[0], end=RANGE[1])
+    logs = digests.filter(F.startswith("path", F.lit("logs/of_device=")))
+    device = F.regexp_extract("path", "of_device=([^/]+)/", 1)
+    return logs.groupBy(device.alias("device")).agg(F.sum("records").alias("records"), (F.sum("size") > F.sum("records") * 100).alias("filled"))
+
+
 @query
 def export_manifest_counts(spark, sf):
     return export.event_counts(_events(spark, sf), start=RANGE[0], end=RANGE[1])
