@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Mapping
 
 import pandas as pd
@@ -32,6 +33,53 @@ def effective_settings(registry: DataFrame, defaults: Mapping[str, object] | Non
     return merged.select(*[setting(c) if c in SETTINGS else F.col(c) for c in merged.columns])
 
 
+#: An object with these keys only names where a value is kept; it replaces what stands below it as a whole.
+REFERENCE_KEYS = ("env", "file")
+
+
+def _default_leaves(value: object, path: tuple[str, ...] = ()) -> list[tuple[list[str], str]]:
+    if isinstance(value, Mapping) and value:
+        return [leaf for k, v in value.items() for leaf in _default_leaves(v, (*path, k))]
+    return [(list(path), json.dumps(value, ensure_ascii=False, separators=(",", ":")))]
+
+
+def document_leaves(documents: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, value): whatever in a JSON document is no object, is an empty one, or only refers to a value; values as JSON text.
+
+    One level is opened at a time, for all documents at once. A text that is no JSON counts as an empty object.
+    """
+    empty = F.parse_json(F.lit("{}"))
+    opened = documents.select(key, F.array().cast("array<string>").alias("path"), F.coalesce(F.try_parse_json(F.col(document)), empty).alias("value"))
+    found = []
+    while True:
+        entries = F.when(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT<")), F.try_variant_get("value", "$", "map<string,variant>"))
+        level = opened.withColumn("entries", entries)
+        keys = F.map_keys("entries")
+        inner = F.coalesce((F.size(keys) > 0) & ((F.size("path") == 0) | F.exists(keys, lambda k: ~k.isin(*REFERENCE_KEYS))), F.lit(False))
+        found.append(level.filter(~inner).select(key, "path", F.coalesce(F.to_json("value"), F.lit("null")).alias("value")))
+        below = level.filter(inner).select(key, "path", F.explode("entries").alias("name", "inner"))
+        opened = below.select(key, F.concat("path", F.array("name")).alias("path"), F.col("inner").alias("value"))
+        if opened.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+
+
+def nested_settings(documents: DataFrame, defaults: Mapping[str, object], key: str = "pos", document: str = "settings") -> DataFrame:
+    """(key, path, value): every document laid over the defaults. Objects merge key by key, all else replaces what stands at its place, also null.
+
+    An empty object changes no default object; a reference replaces a default as a whole. ``key`` names one document.
+    """
+    given = F.array(*[F.struct(F.array(*map(F.lit, p)).cast("array<string>").alias("path"), F.lit(v).alias("value")) for p, v in _default_leaves(defaults)])
+    own = document_leaves(documents, key, document).groupBy(key).agg(F.collect_list(F.struct("path", "value")).alias("own"))
+    under = lambda long, short: (F.size(long) > F.size(short)) & (F.slice(long, F.lit(1), F.size(short)) == short)
+    blank = F.lit("{}")
+    kept = F.filter(given, lambda d: ~F.exists("own", lambda o: (
+        (o["path"] == d["path"]) | under(o["path"], d["path"]) | (under(d["path"], o["path"]) & (o["value"] != blank)))
+        & ~((o["path"] == d["path"]) & (o["value"] == blank) & (d["value"] == blank))))
+    said = F.filter("own", lambda o: (o["value"] != blank) | ~F.exists(given, lambda d: under(d["path"], o["path"]) | (d["path"] == o["path"]) & (d["value"] == blank)))
+    merged = own.select(key, F.explode(F.concat(said, kept)).alias("leaf"))
+    return merged.select(key, F.array_join("leaf.path", ".").alias("path"), F.col("leaf.value").alias("value"))
+
+
 def resolve_backend(registry: DataFrame) -> DataFrame:
     """``auto`` means cli with a configuration file, else api; the target is address or alias."""
     named = F.when(F.col("backend").isin("cli", "api"), F.col("backend"))

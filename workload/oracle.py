@@ -470,6 +470,14 @@ define("known_secret_list", """SELECT value, CAST(length(value) AS BIGINT) AS le
 
 # --- fleet inventory ---
 define("effective_settings", "SELECT * FROM eff", REGISTRY)
+define("effective_settings_nested", """
+SELECT pos, unnest(['retry.initial_delay', 'retry.max_delay', 'retry.jitter', 'api.port', CASE WHEN pos % 6 = 0 THEN 'api.noise_psk' ELSE 'api.noise_psk.file' END,
+    'api.password', CASE WHEN pos % 8 = 0 THEN 'idle_timeout.seconds' ELSE 'idle_timeout' END, 'backend']) AS path,
+  unnest([CASE WHEN retry_initial_delay IS NULL THEN '5.0' ELSE CAST(CAST(retry_initial_delay AS BIGINT) AS VARCHAR) END, CAST(CAST(retry_max_delay AS BIGINT) AS VARCHAR),
+    '0.2', coalesce(CAST(api_port AS VARCHAR), '6053'), CASE WHEN pos % 6 = 0 THEN '{"env":"PSK_' || pos || '"}' ELSE '"/run/psk"' END, 'null',
+    CASE WHEN pos % 8 = 0 THEN CAST(pos AS VARCHAR) ELSE '30.0' END, coalesce('"' || backend || '"', '"auto"')]) AS value FROM reg
+""", REGISTRY)
+SQL["effective_settings_nested"] = "SELECT pos, path, value FROM (" + SQL["effective_settings_nested"] + ") WHERE value IS NOT NULL"
 define("backend_target", """SELECT pos, name, CASE WHEN backend IN ('cli', 'api') THEN backend WHEN config_file IS NOT NULL THEN 'cli' ELSE 'api' END AS backend,
   coalesce(address, alias || '.local') AS target FROM reg""", REGISTRY)
 VALID = "regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$')"

@@ -618,6 +618,22 @@ def effective_settings(spark, sf):
     return _settings(spark, sf)
 
 
+NESTED = {"retry": {"initial_delay": 5.0, "jitter": 0.2}, "api": {"port": 6053, "noise_psk": {"file": "/run/psk"}, "password": None},
+          "idle_timeout": 30.0, "backend": "auto"}
+
+
+@query
+def effective_settings_nested(spark, sf):
+    """Settings documents of devices, with objects that are empty, nested or only refer to a value, over default objects."""
+    r = derived.registry(spark, sf)
+    n = F.col("pos")
+    settings = F.struct(
+        F.struct(F.col("retry_initial_delay").alias("initial_delay"), F.col("retry_max_delay").alias("max_delay")).alias("retry"),
+        F.struct(F.col("api_port").alias("port"), F.when(n % 6 == 0, F.struct(F.format_string("PSK_%d", n).alias("env"))).alias("noise_psk")).alias("api"),
+        F.when(n % 8 == 0, F.struct(n.alias("seconds"))).alias("idle_timeout"), "backend")
+    return inventory.nested_settings(r.select("pos", F.to_json(settings).alias("settings")), NESTED)
+
+
 @query
 def backend_target(spark, sf):
     return inventory.resolve_backend(derived.registry(spark, sf)).select("pos", "name", "backend", "target")
