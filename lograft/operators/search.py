@@ -68,7 +68,11 @@ def high_water(events: DataFrame) -> DataFrame:
 
 
 def tail_view(events: DataFrame, size: int = fixed.PAGE_SIZE_DEFAULT, **filters) -> DataFrame:
-    """Newest rows shown oldest first, each with the cursor a live tail continues from."""
+    """Newest rows shown oldest first, each with the cursor a live tail continues from.
+
+    Rows and cursor are two scans of one version: a stored log is the list of files it had when it was read (``store.read``), so rows that are
+    appended in between are in neither and come with the tail.
+    """
     size = max(1, size)
     newest = newest_first(events.filter(log_filter(events, **filters)).select(*SEARCH_COLUMNS)).limit(size)
     return view(newest).withColumn("cursor", high_water(events).scalar()).orderBy("ts", "id")

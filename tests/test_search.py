@@ -2,6 +2,7 @@ import pytest
 
 from lograft.functions import text
 from lograft.operators import search
+from lograft.sources import store
 from models import event, frame, ids
 
 
@@ -49,3 +50,14 @@ def test_tail(log):
     shown = search.tail_view(log, 3, device="a").collect()
     assert [(r.id, r.cursor) for r in shown] == [(28, 56), (29, 56), (30, 56)]
     assert search.high_water(log.limit(0)).first()[0] == 0
+
+
+def test_tail_view_and_cursor_are_one_version(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = text.parse(frame(spark, [event(i, raw=f"line {i}") for i in range(1, 30)]))
+    store.append(log.filter("id < 11"), path)
+    view = search.tail_view(store.read(spark, path), 3)
+    store.append(log.filter("id > 10"), path)
+    assert [(r.id, r.cursor) for r in view.collect()] == [(i, 10) for i in (8, 9, 10)]
+    now = store.read(spark, path)
+    assert [(r.id, r.cursor) for r in search.tail_view(now, 2).collect()] == [(28, 29), (29, 29)] and ids(search.tail(now, 10, 5)) == [11, 12, 13, 14, 15]
