@@ -12,8 +12,10 @@ Classes come from a sketch of fixed size over all documents. Any function of the
 
 A key held by many sets is not expanded into pairs: first its two most common nodes, those with the fewest rare shingles, meet all others; among copies with
 edits that is the one nearest to the original. Links are verified on the whole sets and give groups, and only pairs of different groups under one
-key are looked at after that, as far as a bound that never errs lets them: shingles counted by ranges of their hash cannot agree more than range by
-range. The same bound, with more ranges, comes before whole sets are fetched. Equal sets are one node from the start.
+key are looked at after that, as far as two bounds that never err let them. A key stands at a place of the set's order, and a pair whose first
+shared shingle it is cannot share more than what follows, so every key names the largest partner it allows. And every set has one bit for each of
+BITS ranges of the hash, whether its shingles there are odd in number: a differing bit is a shingle that only one of two sets has, so linked sets
+differ in few bits. The bits decide inside the joins, before whole sets are fetched. Equal sets are one node from the start.
 
 Defined results: null text and text without words have the empty set, linked with nothing; with fewer than ``n`` words the whole
 sequence is the only shingle; rows with equal text are one node, also under one doc_id; the group of a row is the smallest doc_id in reach, nulls
@@ -23,9 +25,11 @@ left out; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import add
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
@@ -36,8 +40,8 @@ SLICES = 16
 #: Sketches that one task adds up.
 ADDED = 256
 FREQUENT = 4
-#: Ranges of the hash by which the shingles of a set are counted, and nodes whose documents are looked up by broadcast.
-RANGES, COARSE = 256, 32
+#: Ranges of the hash that have a parity bit, 64 to a number, and nodes whose documents are looked up by broadcast.
+BITS = 1024
 LOOKED_UP = 500_000
 COMBINED = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,15 +108,31 @@ def _nodes(sets: list[np.ndarray]):
     return pa.array(ids, mask=np.array([not len(s) for s in sets], bool))
 
 
-def _profile(own: np.ndarray) -> bytes:
-    """Counts by RANGES in a byte each, then by COARSE ranges in two bytes each; a full count means that or more."""
-    counts = np.bincount(((own >> np.uint64(24)) % np.uint64(RANGES)).astype("int64"), minlength=RANGES)
-    wide = counts.reshape(COARSE, -1).sum(axis=1)
-    return np.minimum(counts, 255).astype("uint8").tobytes() + np.minimum(wide, 65535).astype(">u2").tobytes()
+def _parities(sets: list[np.ndarray]):
+    """By set BITS // 64 numbers: a bit for each range of the hash, 1 if its shingles there are odd in number."""
+    import pyarrow as pa
+
+    per = np.array([len(s) for s in sets], "int64")
+    bit = (np.concatenate(sets) >> np.uint64(24)) % np.uint64(BITS) if len(sets) else np.zeros(0, "uint64")
+    odd = np.bincount(np.repeat(np.arange(len(sets)), per) * BITS + bit.astype("int64"), minlength=len(sets) * BITS).astype("uint8") & 1
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd).view("int64")), BITS // 64).cast(pa.list_(pa.int64()))
+
+
+def _differing(one: str, other: str) -> Column:
+    """Ranges whose parities differ; that many shingles at least are in one set only."""
+    bits = [F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(BITS // 64)]
+    return reduce(add, bits[1:], bits[0])
+
+
+def _fits(size: str, parity: str, o_size: str, o_parity: str, percent: int) -> Column:
+    """Sizes and parities allow the similarity."""
+    total = F.col(size) + F.col(o_size)
+    near = 100 * F.least(size, o_size) >= percent * F.greatest(size, o_size)
+    return near & ((100 + percent) * _differing(parity, o_parity) <= (100 - percent) * total)
 
 
 def _surveyed(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, node, size, profile in ``counts``) of all documents, and of each task the slices of its sketch."""
+    """Rows (doc_id, node, size, parity) of all documents, and of each task the slices of its sketch in ``counts``."""
 
     def run(batches):
         import pyarrow as pa
@@ -126,15 +146,16 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), _nodes(sets), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
-                 pa.array([_profile(s) for s in sets], pa.binary())], names=["doc_id", "node", "size", "slice", "task", "counts"])
+                 pa.nulls(k, pa.binary()), _parities(sets)], names=["doc_id", "node", "size", "slice", "task", "counts", "parity"])
         parts = [x.astype("<u4").tobytes() for x in np.split(counts, SLICES)]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()),
-             pa.array([task] * SLICES, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "node", "size", "slice", "task", "counts"])
+             pa.array([task] * SLICES, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(SLICES, pa.list_(pa.int64()))],
+            names=["doc_id", "node", "size", "slice", "task", "counts", "parity"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, node long, size long, slice int, task long, counts binary").checkpoint()
+        run, "doc_id long, node long, size long, slice int, task long, counts binary, parity array<long>").checkpoint()
 
 
 def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
@@ -160,7 +181,10 @@ def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, kind, node, rare): index keys of all sets, with the number of shingles of the lowest class. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set."""
+    """(key, node, rare, most, kind): index keys of all sets, with the number of shingles of the lowest class and the largest size of a partner.
+
+    kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set; keys of different kinds differ, but for 2 and 3.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -169,7 +193,7 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
         shingler = Shingler(n)
         for block in blocks(batches):
             sets = shingler.sets(block.column("text").to_pylist())
-            out, low = [], []
+            keys, kinds, places, low = [], [], [], []
             for own in sets:
                 x = len(own)
                 need = -(-percent * x // 100)
@@ -177,47 +201,33 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
                 level = shared.value[(own & np.uint64(WIDTH - 1)).astype("int64")]
                 low.append(int((level == 0).sum()))
                 order = np.argsort((level.astype("uint64") << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")[: prefix + 1]
-                tokens, often = own[order], level[order] >= FREQUENT
-                first = tokens[:prefix]
-                rare, common = first[~often[:prefix]], first[often[:prefix]]
-                wide = tokens[often]
+                tokens, rare = own[order], int((level[order[:prefix]] < FREQUENT).sum())
+                common, wide = tokens[rare:prefix], tokens[rare:]
                 dense = len(common) > COMBINED or need < 2
-                pairs = np.zeros(0, "uint64")
-                if len(common) and not dense:
-                    i, j = np.triu_indices(len(wide), 1)
-                    inside = i < len(common)
-                    pairs = _mixed(wide[i[inside]]) * _MIX + wide[j[inside]]
-                out.append((rare, pairs, common, dense))
-            sizes = np.array([[len(a), len(b), len(c)] for a, b, c, _ in out], "int64").reshape(-1, 3)
-            per = sizes.sum(axis=1)
-            at = np.repeat(np.arange(len(out)), per)
-            key = np.concatenate([x for a, b, c, _ in out for x in (a, b, c)]) if out else np.zeros(0, "uint64")
-            kind = np.repeat(np.tile(np.arange(3, dtype="int8"), len(out)), sizes.ravel())
-            kind[np.array([d for *_, d in out], bool)[at] & (kind == 2)] = 3
-            nodes = _nodes(sets).take(pa.array(at))
+                i, j = np.triu_indices(len(wide), 1) if len(common) and not dense else np.zeros((2, 0), "int64")
+                inside = i < len(common)
+                i, j = i[inside], j[inside]
+                keys += [tokens[:rare], _mixed(wide[i] + np.uint64(1)) * _MIX + wide[j], _mixed(common)]
+                kinds += [np.zeros(rare, "int8"), np.ones(len(i), "int8"), np.full(len(common), 3 if dense else 2, "int8")]
+                places += [np.arange(rare), rare + i, np.arange(rare, rare + len(common))]
+            per = np.array([len(k) for k in keys], "int64").reshape(-1, 3).sum(axis=1)
+            at = np.repeat(np.arange(len(sets)), per)
+            size = np.array([len(s) for s in sets], "int64")[at]
+            flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+            most = (100 + percent) * (size - flat(places, "int64")) // percent - size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype("int64")), pa.array(kind), nodes, pa.array(np.array(low, "int32")[at])], names=["key", "kind", "node", "rare"])
+                [pa.array(flat(keys, "uint64").view("int64")), _nodes(sets).take(pa.array(at)), pa.array(np.array(low, "int32")[at]),
+                 pa.array(most.astype("int32")), pa.array(flat(kinds, "int8"))], names=["key", "node", "rare", "most", "kind"])
 
-    return docs.select("text").mapInArrow(run, "key long, kind tinyint, node long, rare int")
+    return docs.select("text").mapInArrow(run, "key long, node long, rare int, most int, kind tinyint")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and profiles allow the similarity, with the document that stands for each."""
-    side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "smallest", "size", "profile")])
-    fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "a_smallest", "b_smallest", "a_size", "b_size", "a_profile", "b_profile")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "uint8").reshape(-1, RANGES) for i in (6, 7))
-            low = np.minimum(a, b)
-            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            may = ((100 + percent) * low.sum(axis=1, dtype="int64") >= percent * total) | (low == 255).any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "a_smallest", "b_smallest"]).filter(pa.array(may))
-
-    return sized.mapInArrow(run, "a long, b long, a_smallest long, b_smallest long")
+    """The pairs whose sizes and parities allow the similarity, with the document that stands for each."""
+    side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "smallest", "size", "parity")])
+    left = pairs.join(side("a"), "a").alias("l")
+    return left.join(side("b").alias("r"), (F.col("l.b") == F.col("r.b")) & _fits("a_size", "a_parity", "b_size", "b_parity", percent)).select(
+        "a", "l.b", "a_smallest", "b_smallest")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -260,45 +270,39 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     session.ship(spark)
     session.shared_dir(spark)
     surveyed = _surveyed(docs, n)
-    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size", F.substring("counts", 1, RANGES).alias("profile"), F.substring("counts", RANGES + 1, 2 * COARSE).alias("coarse"))
+    rows = surveyed.where(F.col("slice").isNull()).select("doc_id", "node", "size", "parity")
     classes = _classes(surveyed, max(docs.rdd.getNumPartitions(), 1))
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("profile").alias("profile"), F.first("coarse").alias("coarse")).checkpoint()
+        F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("parity").alias("parity")).checkpoint()
 
     # keys that two sets or more have, with their two most common nodes; of single frequent shingles dense ones
     path = f"{session.shared_dir(spark)}/keys-{uuid.uuid4().hex}"
     _keys(docs, n, percent, classes).where(F.col("node").isNotNull()).write.parquet(path)
-    keys = spark.read.parquet(path).select("key", F.least("kind", F.lit(2)).alias("kind"), "node", "rare", (F.col("kind") == 3).alias("dense"))
-    able = F.when((F.col("kind") < 2) | F.col("dense"), F.col("node"))
-    ends = keys.groupBy("key", "kind").agg(
-        F.min_by(able, F.when(able.isNotNull(), F.col("rare"))).alias("low"), F.min(able).alias("high"), F.min("node").alias("first"), F.max("node").alias("last")
-    ).where((F.col("first") != F.col("last")) & F.col("low").isNotNull()).drop("first", "last")
-    buckets = keys.drop("rare").join(ends, ["key", "kind"]).distinct().checkpoint()
+    keys = spark.read.parquet(path).select("key", "node", "rare", "most", (F.col("kind") != 2).alias("able"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key").checkpoint()
+    held = keys.join(shared, "key").distinct().checkpoint()
+    able = F.when(F.col("able"), F.col("node"))
+    ends = held.groupBy("key").agg(F.min_by(able, F.when(F.col("able"), F.col("rare"))).alias("low"), F.min(able).alias("high")).where("low IS NOT NULL")
+    buckets = held.drop("rare").join(ends, "key").checkpoint()
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair(F.col("node"), F.col("end"))).distinct().checkpoint()
     links = _links(stars, docs, nodes, n, percent)
     roots = components(links)
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key", "kind").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "kind")
-    open_rows = labelled.join(mixed, ["key", "kind"]).join(
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    open_rows = labelled.join(mixed, "key").join(
         roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low"))
-    coarse = [f"c{i}" for i in range(COARSE)]
-    counted = nodes.select("node", "size", *[F.conv(F.hex(F.substring("coarse", i * 2 + 1, 2)), 16, 10).cast("int").alias(c) for i, c in enumerate(coarse)])
-    open_rows = open_rows.join(counted, "node").checkpoint()
+    open_rows = open_rows.join(nodes.select("node", "size", "parity"), "node").checkpoint()
     # of every pair of two groups one is not in the group of the key's most common node
     some = open_rows.where(F.col("root") != F.col("low_root")).drop("low", "high", "low_root")
     central = (F.col("root") == F.col("low_root")).alias("o_central")
-    all_ = open_rows.select("key", "kind", central, *[F.col(c).alias(f"o_{c}") for c in ("node", "dense", "root", "size", *coarse)])
-    # the cheap tests first: sizes alone settle most pairs, and two outer nodes meet once
-    sized = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
+    all_ = open_rows.select("key", central, *[F.col(c).alias(f"o_{c}") for c in ("node", "able", "root", "size", "most", "parity")])
+    # two outer nodes meet once
     once = F.col("o_central") | (F.col("node") < F.col("o_node"))
-    agree = F.least(F.col("c0"), F.col("o_c0"))
-    for c in coarse[1:]:
-        agree = agree + F.least(F.col(c), F.col(f"o_{c}"))
-    rest = some.join(all_, ["key", "kind"]).where(
-        (F.col("root") != F.col("o_root")) & sized & once & ((F.col("kind") < 2) | F.col("dense") | F.col("o_dense"))
-        & (F.greatest(*[F.least(F.col(c), F.col(f"o_{c}")) for c in coarse]).eqNullSafe(65535) | ((100 + percent) * agree >= percent * (F.col("size") + F.col("o_size"))))
+    placed = (F.col("o_size") <= F.col("most")) & (F.col("size") <= F.col("o_most"))
+    rest = some.join(all_, ["key"]).where(
+        (F.col("root") != F.col("o_root")) & once & placed & (F.col("able") | F.col("o_able")) & _fits("size", "parity", "o_size", "o_parity", percent)
     ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
     if not rest.isEmpty():
         links = links.unionByName(_links(rest, docs, nodes, n, percent)).checkpoint()
