@@ -11,8 +11,8 @@ Two sets with the wanted similarity share a shingle within the first ``x - need
 Classes come from a sketch of fixed size over all documents. Any function of the hash gives a valid order, so its errors cost time, never a link.
 
 A key held by many sets is not expanded into pairs: first its two most common nodes, those with the fewest rare shingles, meet all others; among copies with
-edits that is the one nearest to the original. Links are verified on the whole sets and give groups, and only pairs of different groups under one
-key are looked at after that, as far as two bounds that never err let them. A key stands at a place of the set's order, and a pair whose first
+edits that is the one nearest to the original. Every set meets one of its centres, then those outside the group that this gave it. Links are verified
+on the whole sets, and only pairs of different groups under one key are looked at after that, as far as two bounds that never err let them. A key stands at a place of the set's order, and a pair whose first
 shared shingle it is cannot share more than what follows, so every key names the largest partner it allows. And every set has one bit for each of
 BITS ranges of the hash, whether its shingles there are odd in number: a differing bit is a shingle that only one of two sets has, so linked sets
 differ in few bits. The bits decide inside the joins, before whole sets are fetched. Equal sets are one node from the start.
@@ -223,16 +223,15 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and parities allow the similarity, with the document that stands for each."""
+    """The pairs whose sizes and parities allow the similarity, with the document that stands for each node."""
     side = lambda x: nodes.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in ("node", "smallest", "size", "parity")])
     left = pairs.join(side("a"), "a").alias("l")
     return left.join(side("b").alias("r"), (F.col("l.b") == F.col("r.b")) & _fits("a_size", "a_parity", "b_size", "b_parity", percent)).select(
-        "a", "l.b", "a_smallest", "b_smallest")
+        "l.b", *[c for c in pairs.columns if c != "b"], "a_smallest", "b_smallest")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    possible = _possible(pairs, nodes, percent).checkpoint()
+def _links(possible: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b, a_smallest, b_smallest), which are written somewhere."""
     chosen = possible.select(F.explode(F.array(
         *[F.struct(F.col(f"{x}_smallest").alias("smallest"), F.col(x).alias("node")) for x in "ab"])).alias("x")).select("x.*").distinct().checkpoint()
     if chosen.count() <= LOOKED_UP:
@@ -240,6 +239,13 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
     return _verified(possible.select("a", "b"), _sets(docs, chosen, n), percent).distinct().checkpoint()
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two nodes are in different groups."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -282,12 +288,22 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key").checkpoint()
     held = keys.join(shared, "key").distinct().checkpoint()
     able = F.when(F.col("able"), F.col("node"))
-    ends = held.groupBy("key").agg(F.min_by(able, F.when(F.col("able"), F.col("rare"))).alias("low"), F.min(able).alias("high")).where("low IS NOT NULL")
+    rank = F.when(F.col("able"), F.col("rare"))
+    ends = held.groupBy("key").agg(F.min_by(able, rank).alias("low"), F.min(rank).alias("rank"), F.min(able).alias("high")).where("low IS NOT NULL")
     buckets = held.drop("rare").join(ends, "key").checkpoint()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
+    # every node meets first the one of its centres with the fewest rare shingles, then those that are not in its group yet
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair(F.col("node"), F.col("end"))).distinct().checkpoint()
-    links = _links(stars, docs, nodes, n, percent)
+    centres = F.array(F.struct("rank", F.col("low").alias("end")), F.struct(F.lit(None).cast("int").alias("rank"), F.col("high").alias("end")))
+    met = buckets.select("node", F.explode(centres).alias("x")).select("node", "x.*").where("node <> end")
+    stars = met.select(*pair(F.col("node"), F.col("end")), "node", F.coalesce("rank", F.lit(2**31 - 1)).alias("rank")).groupBy("a", "b", "node").agg(F.min("rank").alias("rank"))
+    met_pairs = _possible(stars, nodes, percent).checkpoint()
+    best = met_pairs.groupBy("node").agg(F.min(F.struct("rank", "a", "b", "a_smallest", "b_smallest")).alias("x")).select("x.*").drop("rank").distinct().checkpoint()
+    links = _links(best, docs, n, percent)
+    later = _apart(met_pairs.drop("node", "rank").distinct().join(best, ["a", "b"], "left_anti"), components(links)).checkpoint()
+    links = links.unionByName(_links(later, docs, n, percent)).checkpoint()
     roots = components(links)
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
@@ -303,9 +319,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = (F.col("o_size") <= F.col("most")) & (F.col("size") <= F.col("o_most"))
     rest = some.join(all_, ["key"]).where(
         (F.col("root") != F.col("o_root")) & once & placed & (F.col("able") | F.col("o_able")) & _fits("size", "parity", "o_size", "o_parity", percent)
-    ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
+    ).select(*pair(F.col("node"), F.col("o_node"))).distinct().join(met_pairs, ["a", "b"], "left_anti")
+    rest = _possible(rest, nodes, percent).checkpoint()
     if not rest.isEmpty():
-        links = links.unionByName(_links(rest, docs, nodes, n, percent)).checkpoint()
+        links = links.unionByName(_links(rest, docs, n, percent)).checkpoint()
     final = components(links)
     reach = nodes.select("node", "smallest").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
     least = reach.groupBy("root").agg(F.min("smallest").alias("component_id"))
