@@ -1,8 +1,9 @@
 """Sessions, device status, gaps and reconnect delays kept up to date from a stream of events.
 
-Every fold has its state in Spark's state store, one value per session or device, so a micro-batch touches only the keys it has rows of. Rows are
-first reduced inside each task (one row per key and Arrow batch), so a device that sends a third of all rows shuffles little. What is kept is
-the same whatever the order in which rows arrive: counts, extremes by id, and the last lines of a session.
+Every fold has its state in Spark's state store. A call of a stateful function costs milliseconds, however little it does, so sessions and devices are
+dealt by hash to ``BUCKETS`` groups: a micro-batch makes one call for each bucket it has rows of, not one for each key, and what a bucket keeps is a
+list with one entry per session or device. Rows are first reduced inside each task (one row per key and Arrow batch), so a device that sends a third of
+all rows shuffles little. What is kept is the same whatever the order in which rows arrive: counts, extremes by id, and the last lines of a session.
 
 Times are timestamps with zone. ``late`` is the watermark in seconds: rows that arrive further behind the newest one may be dropped.
 """
@@ -24,6 +25,8 @@ from lograft.session import ship
 from lograft.streaming import state
 
 LATE = 3600
+#: Groups that keys are dealt to; a stream has to go on with the number it was started with.
+BUCKETS = 512
 #: Stands for a missing whole number, so that columns stay whole numbers in pandas.
 NONE = -(1 << 63)
 
@@ -56,6 +59,21 @@ def _reduced(rows: DataFrame, reduce, schema: str, late: int) -> DataFrame:
     return parts.withColumn("at", F.timestamp_micros("newest")).drop("newest").withWatermark("at", f"{int(late)} seconds")
 
 
+def _bucketed(rows: DataFrame, key: str, fold, out: str, entry: str, mode: str, timeout: str) -> DataFrame:
+    """``fold`` run per bucket of ``key``; the state of a bucket is a list of ``entry``, whose first field is the key."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(fold, out, f"kept array<struct<{entry}>>", mode, timeout)
+
+
+def _kept(held: GroupState) -> dict:
+    """Entries of a bucket by key, each without its key."""
+    return {entry[0]: tuple(entry[1:]) for entry in held.get[0]} if held.exists else {}
+
+
+def _tuples(pdf: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
+    return zip(*(pdf[c].tolist() for c in names))
+
+
 def _whole(values: pd.Series, index: pd.Index) -> pd.Series:
     return values.reindex(index, fill_value=NONE)
 
@@ -90,10 +108,12 @@ def _session_parts(stride: int):
         out["reason"] = last_bye.said.reindex(out.index).astype(object)
         out["lines"] = of(logs).size().reindex(out.index, fill_value=0)
         out["connected_id"], out["connected_us"] = _whole(proofs.id, out.index), _whole(proofs.us, out.index)
-        tails = of(of(logs).tail(stride))
+        tails = of(logs).tail(stride).sort_values("session_id", kind="stable")
+        ends = of(tails).size().cumsum()
+        spans = dict(zip(ends.index, map(slice, [0, *ends.tolist()], ends.tolist())))
         for name, column in (("tail_ids", "id"), ("tail_us", "us")):
-            lists = tails[column].agg(list).to_dict()
-            out[name] = [lists.get(s, []) for s in out.index]
+            values = tails[column].tolist()
+            out[name] = [values[spans[s]] if s in spans else [] for s in out.index]
         return out.reset_index()[["session_id", *[x.split()[0] for x in _SESSION.split(", ")], "newest"]]
 
     return reduce
@@ -110,31 +130,44 @@ def _merged_session(a: tuple, b: tuple, stride: int) -> tuple:
 
 
 def _session_fold(stride: int, late: int):
-    empty = (None, NONE, NONE, NONE, NONE, None, 0, NONE, NONE, [], [])
+    unseen = (None, NONE, NONE, NONE, NONE, None, 0, NONE, NONE, [], [])
+    names = ["session_id", *[x.split()[0] for x in _SESSION.split(", ")]]
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        before = held.get if held.exists else empty
-        now = tuple(before)
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                part = (r.device, *map(int, (r.first_us, r.start_us, r.end_us, r.bye_id)), r.reason, int(r.lines),
-                        int(r.connected_id), int(r.connected_us), list(r.tail_ids), list(r.tail_us))
-                now = _merged_session(now, part, stride)
-        held.update(now)
+    def shown(session: str, now: tuple, was_connected: int) -> tuple:
         device, first, start, end, _, reason, lines, cid, cat, ids, us = now
-        if end != NONE:  # kept for lines that come late, then forgotten
-            held.setTimeoutTimestamp(max(end // 1000 + late * 1000, held.getCurrentWatermarkMs() + 1))
         # the newest line whose number is a multiple of the stride counts, if it is not in front of the connecting one
         back, last = lines % stride, cat
         if cid != NONE and len(ids) > back and lines >= stride and ids[-1 - back] >= cid:
             last = us[-1 - back]
         show = lambda x: None if x == NONE else x
-        yield pd.DataFrame([(key[0], device, first if start == NONE else start, show(end), reason, lines, show(cid), show(cat), show(last),
-                             us[-1] if us else None, cid != NONE and before[7] == NONE)],
-                           columns=[x.split()[0] for x in _SESSION_OUT.split(", ")], dtype=object)
+        return (session, device, first if start == NONE else start, show(end), reason, lines, show(cid), show(cat), show(last),
+                us[-1] if us else None, cid != NONE and was_connected == NONE)
+
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        watermark, known, connected = held.getCurrentWatermarkMs(), _kept(held), {}
+        if not held.hasTimedOut:
+            for pdf in frames:
+                for session, device, first, start, end, bye, reason, lines, cid, cat, ids, us in _tuples(pdf, names):
+                    part = (device, int(first), int(start), int(end), int(bye), reason, int(lines), int(cid), int(cat), list(ids), list(us))
+                    before = known.get(session, (*unseen, NONE))
+                    connected.setdefault(session, before[7])
+                    known[session] = (*_merged_session(before[:-1], part, stride), before[-1])
+        for session in connected:
+            *now, until = known[session]
+            if now[3] != NONE:  # kept for lines that come late, then forgotten
+                until = max(now[3] // 1000 + late * 1000, watermark + 1)
+            known[session] = (*now, until)
+        left = {s: now for s, now in known.items() if now[-1] == NONE or now[-1] >= watermark}
+        if left:
+            held.update(([(s, *now) for s, now in left.items()],))
+            ended = [now[-1] for now in left.values() if now[-1] != NONE]
+            if ended:
+                held.setTimeoutTimestamp(min(ended))
+        elif held.exists:
+            held.remove()
+        if connected:
+            yield pd.DataFrame([shown(s, known[s][:-1], was) for s, was in connected.items()],
+                               columns=[x.split()[0] for x in _SESSION_OUT.split(", ")], dtype=object)
 
     return fold
 
@@ -146,8 +179,8 @@ def session_updates(events: DataFrame, late: int = LATE, stride: int = fixed.LAS
     Open sessions stay until they end.
     """
     parts = _reduced(_facts(events), _session_parts(stride), f"session_id string, {_SESSION}", late)
-    rows = parts.groupBy("session_id").applyInPandasWithState(
-        _session_fold(stride, late), _SESSION_OUT, _SESSION, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = _bucketed(parts, "session_id", _session_fold(stride, late), _SESSION_OUT, f"session_id string, {_SESSION}, until long", "update",
+                     GroupStateTimeout.EventTimeTimeout)
     at = lambda c, name: F.timestamp_micros(c).alias(name)
     return rows.select(
         "session_id", "device", at("started_us", "started_at"), at("ended_us", "ended_at"), "end_reason", "lines", "connected_id",
@@ -210,35 +243,39 @@ def _status_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.reset_index()[["device", *_STATUS_NAMES, "newest"]]
 
 
-def _status_fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+def _shown_status(device: str, now: dict) -> tuple:
+    step, bye, error = now["step"], now["bye_id"], now["error_id"]
+    by_reason = bye != NONE and (error == NONE or now["bye_session"] != now["error_session"] and bye > error)
+    shown = {"session_start": "connecting", "connected": "connected", None: "starting"}
+    condition = "stopped" if step == "disconnected" and now["reason"] == fixed.SHUTDOWN_REASON else shown.get(step, "backoff")
+    fault = (now["reason"], now["bye_us"]) if by_reason else (now["error"], now["error_us"])
+    show = lambda x: None if x == NONE else x
+    return (
+        device, now["address"], condition, now["step_session"] if step in ("session_start", "connected") else None, show(now["step_us"]),
+        fault[0], show(fault[1]), now["starts"], now["retry_at"] if step == "retry_scheduled" else None, show(now["line_us"]))
+
+
+def _status_fold(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
     kinds = dict(x.split() for x in _STATUS.split(", "))
-    now = dict(zip(_STATUS_NAMES, held.get if held.exists else [NONE if kinds[c] == "long" else None for c in _STATUS_NAMES]))
-    if not held.exists:
-        now["starts"] = 0
+    unseen = {c: NONE if kinds[c] == "long" else None for c in _STATUS_NAMES} | {"starts": 0}
+    known, changed = {device: dict(zip(_STATUS_NAMES, entry)) for device, entry in _kept(held).items()}, {}
     for pdf in frames:
         for r in pdf.to_dict("records"):
+            now = changed[r["device"]] = known.setdefault(r["device"], dict(unseen))
             for group in _BY_ID:
                 if r[group[0]] > now[group[0]]:
                     now |= {c: int(r[c]) if kinds[c] == "long" else r[c] for c in group}
             now["line_us"] = _later(now["line_us"], int(r["line_us"]))
             now["starts"] += int(r["starts"])
-    held.update(tuple(now[c] for c in _STATUS_NAMES))
-    step, bye, error = now["step"], now["bye_id"], now["error_id"]
-    by_reason = bye != NONE and (error == NONE or now["bye_session"] != now["error_session"] and bye > error)
-    shown = {"session_start": "connecting", "connected": "connected", None: "starting"}
-    condition = "stopped" if step == "disconnected" and now["reason"] == fixed.SHUTDOWN_REASON else shown.get(step, "backoff")
-    fault = (now["reason"], now["bye_us"]) if by_reason else (now["error"], now["error_us"])
-    show = lambda x: None if x == NONE else x
-    yield pd.DataFrame([(
-        key[0], now["address"], condition, now["step_session"] if step in ("session_start", "connected") else None, show(now["step_us"]),
-        fault[0], show(fault[1]), now["starts"], now["retry_at"] if step == "retry_scheduled" else None, show(now["line_us"]))],
-        columns=[x.split()[0] for x in _STATUS_OUT.split(", ")], dtype=object)
+    held.update(([(device, *(now[c] for c in _STATUS_NAMES)) for device, now in known.items()],))
+    yield pd.DataFrame([_shown_status(device, now) for device, now in changed.items()],
+                       columns=[x.split()[0] for x in _STATUS_OUT.split(", ")], dtype=object)
 
 
 def status_updates(events: DataFrame, late: int = LATE) -> DataFrame:
     """Device status as a stream of updates, with the columns of ``status.from_events`` and the time of the newest line."""
     parts = _reduced(_facts(events), _status_parts, f"device string, {_STATUS}", late)
-    rows = parts.groupBy("device").applyInPandasWithState(_status_fold, _STATUS_OUT, _STATUS, "update", GroupStateTimeout.NoTimeout)
+    rows = _bucketed(parts, "device", _status_fold, _STATUS_OUT, f"device string, {_STATUS}", "update", GroupStateTimeout.NoTimeout)
     at = lambda c, name: F.timestamp_micros(c).alias(name)
     return rows.select(
         "device", "address", "state", "session_id", at("updated_us", "updated_at"), "last_error", at("error_us", "last_error_at"),
@@ -253,7 +290,7 @@ def start_status(events: DataFrame, out: str, checkpoint: str, once: bool = Fals
 # --- gaps ---
 
 _POINT = "point string, first_id long, last_us long, start_id long, start_us long"
-_GAP_STATE = "points array<struct<point: string, first_id: long, last_us: long, start_id: long, start_us: long>>, floor_us long"
+_GAP_STATE = "device string, points array<struct<point: string, first_id: long, last_us: long, start_id: long, start_us: long>>, floor_us long"
 _GAP_OUT = "device string, session_id string, id long, previous_us long, us long"
 
 
@@ -268,30 +305,40 @@ def _gap_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.reset_index()
 
 
-def _gap_fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    points, floor = held.get if held.exists else ([], NONE)
-    known = {p[0]: list(p) for p in points}
-    if not held.hasTimedOut:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                p = known.setdefault(r.point, [r.point, int(r.first_id), NONE, NONE, NONE])
-                p[1], p[2] = min(p[1], int(r.first_id)), max(p[2], int(r.last_us))
-                if p[3] == NONE or r.start_id != NONE:
-                    p[3], p[4] = _earlier(p[3], int(r.start_id)), _earlier(p[4], int(r.start_us))
-    watermark, out = held.getCurrentWatermarkMs(), []
-    pending = sorted((p for p in known.values() if p[4] not in (NONE, -NONE - 1)), key=lambda p: p[1])
-    for p in pending:
-        if p[4] // 1000 >= watermark:
+def _settled(device: str, known: dict[str, list], floor: int, watermark: int, out: list[tuple]) -> int:
+    """Tell the starts of a device that the watermark has passed, and drop the points in front of the last of them; returns the new floor."""
+    told = -NONE - 1
+    points = sorted(known.values(), key=lambda p: p[1])
+    previous, at, last = floor, 0, None
+    for p in points:
+        if p[4] in (NONE, told) or p[4] // 1000 >= watermark:
             continue
         # all rows up to this start have arrived: earlier points are settled
-        for name in [n for n, q in known.items() if q[1] < p[1] and q[4] in (NONE, -NONE - 1)]:
-            floor = max(floor, known.pop(name)[2])
-        previous = max([floor, *(q[2] for q in known.values() if q[1] < p[1])])
+        while points[at][1] < p[1]:
+            previous, at = max(previous, points[at][2]), at + 1
         if previous != NONE:
-            out.append((key[0], p[0], p[3], previous, p[4]))
-        p[4] = -NONE - 1  # told; the point stays until a later start is settled
-    held.update(([tuple(p) for p in known.values()], floor))
-    waiting = [p[4] // 1000 for p in known.values() if p[4] not in (NONE, -NONE - 1)]
+            out.append((device, p[0], p[3], previous, p[4]))
+        p[4], last = told, p[1]  # the point stays until a later start is settled
+    for p in points[:at]:
+        if p[1] < last and p[4] in (NONE, told):
+            floor = max(floor, known.pop(p[0])[2])
+    return floor
+
+
+def _gap_fold(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    known = {device: ({p[0]: list(p) for p in points}, floor) for device, (points, floor) in _kept(held).items()}
+    if not held.hasTimedOut:
+        for pdf in frames:
+            for device, point, first, last, start_id, start in _tuples(pdf, ["device", *[x.split()[0] for x in _POINT.split(", ")]]):
+                points, _ = known.setdefault(device, ({}, NONE))
+                p = points.setdefault(point, [point, int(first), NONE, NONE, NONE])
+                p[1], p[2] = min(p[1], int(first)), max(p[2], int(last))
+                if p[3] == NONE or start_id != NONE:
+                    p[3], p[4] = _earlier(p[3], int(start_id)), _earlier(p[4], int(start))
+    watermark, out = held.getCurrentWatermarkMs(), []
+    left = [(device, points, _settled(device, points, floor, watermark, out)) for device, (points, floor) in known.items()]
+    held.update(([(device, [tuple(p) for p in points.values()], floor) for device, points, floor in left],))
+    waiting = [p[4] // 1000 for _, points, _ in left for p in points.values() if p[4] not in (NONE, -NONE - 1)]
     if waiting:
         held.setTimeoutTimestamp(max(min(waiting), watermark))
     if out:
@@ -304,7 +351,7 @@ def gap_rows(events: DataFrame, late: int = LATE) -> DataFrame:
     Until then rows of earlier sessions may still come. The state of a device is one entry for each session since the last settled start.
     """
     parts = _reduced(_facts(events), _gap_parts, f"device string, {_POINT}", late)
-    rows = parts.groupBy("device").applyInPandasWithState(_gap_fold, _GAP_OUT, _GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _bucketed(parts, "device", _gap_fold, _GAP_OUT, _GAP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     previous, ts = F.timestamp_micros("previous_us"), F.timestamp_micros("us")
     return rows.select(
         "device", "session_id", "id", previous.alias("previous"), ts.alias("ts"), times.exact_seconds(previous, ts).alias("gap_seconds"),
@@ -313,15 +360,15 @@ def gap_rows(events: DataFrame, late: int = LATE) -> DataFrame:
 
 # --- reconnect delays ---
 
-def _attempt_fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    attempt = held.get[0] if held.exists else 0
-    rows = pd.concat(list(frames)).sort_values("first_id")
+def _attempt_fold(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    known = {device: attempt for device, (attempt,) in _kept(held).items()}
+    rows = pd.concat(list(frames)).sort_values(["first_id", "session_id"])
     attempts = []
-    for healthy in rows.healthy.tolist():
-        attempt = 1 if healthy else attempt + 1
-        attempts.append(attempt)
-    held.update((attempt,))
-    yield rows.assign(device=key[0], attempt=attempts)[["device", "session_id", "first_id", "attempt"]]
+    for device, healthy in zip(rows.device.tolist(), rows.healthy.tolist()):
+        known[device] = 1 if healthy else known.get(device, 0) + 1
+        attempts.append(known[device])
+    held.update((list(known.items()),))
+    yield rows.assign(attempt=attempts)[["device", "session_id", "first_id", "attempt"]]
 
 
 def attempts(ended: DataFrame, reset_after: float = 60.0) -> DataFrame:
@@ -329,8 +376,8 @@ def attempts(ended: DataFrame, reset_after: float = 60.0) -> DataFrame:
     ship(ended.sparkSession)
     healthy = times.exact_seconds(F.col("started_at"), F.col("ended_at")) >= F.lit(float(reset_after)) if reset_after else F.lit(False)
     rows = ended.filter(F.col("ended_at").isNotNull()).select("device", "session_id", "first_id", healthy.alias("healthy"))
-    return rows.groupBy("device").applyInPandasWithState(
-        _attempt_fold, "device string, session_id string, first_id long, attempt long", "attempt long", "append", GroupStateTimeout.NoTimeout)
+    return _bucketed(rows, "device", _attempt_fold, "device string, session_id string, first_id long, attempt long", "device string, attempt long",
+                     "append", GroupStateTimeout.NoTimeout)
 
 
 def audit_retries(ended: DataFrame, out: str, checkpoint: str, once: bool = False, **retry) -> StreamingQuery:

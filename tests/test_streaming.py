@@ -194,3 +194,48 @@ def test_stored_log_prunes_days(spark, tmp_path):
     found = search.page(stored, start="2024-06-02T03:00:00Z", end="2024-06-02T05:00:00Z", level=None)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and ids(found) == [27, 28]
+
+
+def test_many_keys_share_a_bucket_of_state(spark, tmp_path, monkeypatch):
+    """Calls and state rows are bounded by the number of buckets, not of sessions or devices."""
+    monkeypatch.setattr(lifecycle, "BUCKETS", 3)
+    at = lambda i, n, k, kind, message="x": event(i, f"d{n}", kind, f"[00:00:00][I][x:1]: {i}", f"d{n}-{k}", message=message)
+    days = [[x for n in range(20) for x in (
+        at(1000 * k + 10 * n, n, k, "session_start"), *[at(1000 * k + 10 * n + j, n, k, "log") for j in (1, 2)],
+        *([at(1000 * k + 10 * n + 5, n, k, "disconnected", "device gone (2 lines this session)")] if n % 2 else []))] for k in range(4)]
+    whole, stream = arriving(spark, tmp_path, days)
+    query = lifecycle.start(stream, str(tmp_path / "sessions"), str(tmp_path / "at-1"), once=True, late=60)
+    finish(query)
+    assert 1 <= query.lastProgress.stateOperators[0].numRowsTotal <= 3
+    plain = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()))
+    current = lifecycle.current(spark, str(tmp_path / "sessions")).withColumnRenamed("lines", "line_count")
+    columns = ("session_id", "device", "started_at", "ended_at", "line_count")
+    assert plain(current.filter("ended_at IS NOT NULL"), *columns) == plain(sessions.derive(whole).filter("ended_at IS NOT NULL"), *columns)
+    assert current.count() == 80
+    query = lifecycle.start_status(stream, str(tmp_path / "status"), str(tmp_path / "at-2"), once=True, late=60)
+    finish(query)
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
+    want = status.from_events(whole)
+    key = lambda row: tuple(map(str, row))
+    got = lifecycle.latest(spark, str(tmp_path / "status"), "device").select(*want.columns)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    writer = lifecycle.gap_rows(stream, late=60).writeStream.format("parquet").option("path", str(tmp_path / "gaps"))
+    query = writer.option("checkpointLocation", str(tmp_path / "at-3")).trigger(availableNow=True).start()
+    finish(query)
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
+    newest = whole.agg(F.max("ts")).first()[0] - timedelta(seconds=60)
+    columns = ("device", "session_id", "id", "previous", "ts", "gap_seconds")
+    assert plain(spark.read.parquet(str(tmp_path / "gaps")), *columns) == plain(sessions.gaps(whole).filter(F.col("ts") < F.lit(newest)), *columns)
+
+
+def test_retry_attempts_share_a_bucket_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycle, "BUCKETS", 3)
+    rows = [(f"d{n}", f"d{n}-{k}", 100 * k + n, NOW, NOW + timedelta(seconds=40 if (n + k) % 5 == 0 else 1)) for n in range(20) for k in range(6)]
+    df = spark.createDataFrame(rows, "device string, session_id string, first_id long, started_at timestamp_ntz, ended_at timestamp_ntz")
+    schema = files_of(df.withColumn("id", F.col("first_id")), str(tmp_path / "in"), [150, 320])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = lifecycle.audit_retries(stream, str(tmp_path / "out"), str(tmp_path / "at"), once=True, reset_after=30)
+    finish(query)
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 3
+    plain = lambda d: sorted((r.session_id, r.attempt) for r in d.collect())
+    assert plain(spark.read.parquet(str(tmp_path / "out" / "audit"))) == plain(sessions.backoff_audit(df, reset_after=30))
