@@ -32,7 +32,8 @@ def _counted(spark: SparkSession, path: str, part: str) -> DataFrame | None:
     if not files.names(spark, f"{path}/{part}"):
         return None
     rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{part}")
-    kept = rows.join(_entries(spark, path), [_BATCH, _ATTEMPT], "left_semi")
+    # one entry a batch; a shuffle would bring a whole batch to one task
+    kept = rows.join(F.broadcast(_entries(spark, path)), [_BATCH, _ATTEMPT], "left_semi")
     return kept.drop(_BATCH, _ATTEMPT)
 
 
@@ -62,7 +63,9 @@ def append(rows: DataFrame, path: str, batch: str, file: str | None = None) -> b
     attempt = f"a{uuid.uuid4().hex}"
     here = f"{_BATCH}={batch}/{_ATTEMPT}={attempt}"
     if file is not None:
-        rows = rows.join(known_files(spark, path).select(F.col("file").alias(file)), file, "left_anti").select(*rows.columns)
+        # only names meet in a shuffle, as a file may hold a large part of the rows; those that come again are few enough to be sent to the rows
+        again = rows.select(file).distinct().join(known_files(spark, path).select(F.col("file").alias(file)), file, "left_semi")
+        rows = rows.join(F.broadcast(again), file, "left_anti").select(*rows.columns)
     rows.write.parquet(f"{path}/data/{here}")
     if file is not None:
         written = spark.read.schema(rows.schema).parquet(f"{path}/data/{here}")

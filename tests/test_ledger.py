@@ -52,3 +52,16 @@ def test_files_count_once_under_any_batch(spark, tmp_path):
     assert ledger.append(rows(spark, [(3, "y"), (4, "z"), (5, "z")]), path, "b1", "file")
     assert ids(spark, path) == [1, 2, 3, 4, 5]
     assert sorted(map(tuple, ledger.known_files(spark, path).collect())) == [("x", 2), ("y", 1), ("z", 2)]
+
+
+def test_a_batch_is_not_brought_to_one_task(spark, tmp_path):
+    """Batches and files are few and hold many rows, so rows are not shuffled by them."""
+    path, before = str(tmp_path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ledger.append(rows(spark, [(1, "x"), (2, "y")]), path, "b0", "file")
+        assert ledger.append(rows(spark, [(2, "y"), (3, "z"), (4, None)]), path, "b1", "file")
+        plan = ledger.read(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and ids(spark, path) == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
