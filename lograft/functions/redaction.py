@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,15 +242,21 @@ def redact_device_documents(
 def redact_document(
     text: Column, extra_keys: Sequence[str] = (), patterns: Sequence[str] = (), secrets: Iterable[str] = ()
 ) -> Column:
-    """Redact documents row by row (no shuffle); bad user patterns fail here, not in a task."""
+    """Redact documents row by row (no shuffle); bad user patterns fail here, not in a task.
+
+    A plain UDF takes a hundred rows at a time. An Arrow batch is ten thousand, whatever they weigh, and every worker would hold such a batch of
+    documents several times over.
+    """
     for pattern in (*extra_keys, *patterns):
         re.compile(pattern)
     extra_keys, patterns, secrets = tuple(extra_keys), tuple(patterns), tuple(secrets)
     ship(SparkSession.active())
 
-    @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        one = document_redactor(extra_keys, patterns, secrets)
-        return texts.map(one, na_action="ignore")
+    made: list[Callable[[str], str]] = []
+
+    def redact(content: str | None) -> str | None:
+        if not made:  # once for each worker
+            made.append(document_redactor(extra_keys, patterns, secrets))
+        return None if content is None else made[0](content)
 
-    return redact(text)
+    return F.udf(redact, "string", useArrow=False)(text)
