@@ -128,10 +128,13 @@ def _with_device_secrets(
     marked: DataFrame, columns: Sequence[str], shown: Column, order: str, line: str, extra_keys: Sequence[str], patterns: Sequence[str],
     secrets: Iterable[str], device_secrets: DataFrame, device: str,
 ) -> DataFrame:
-    """Lists of both kinds count as one, longest first, so shared secrets go to every device that has lines."""
+    """Lists of both kinds count as one, longest first, so shared secrets go to every device that has lines.
+
+    A line travels as the one text that is left of it, not also as it was.
+    """
     plain = F.col("_gone").isNull() & redaction.is_plain(F.col(line), extra_keys)
     inline = F.when(plain, redaction.redact_patterns(redaction.redact_urls(F.col(line)), patterns))
-    rows = marked.select(*columns, inline.alias("_inline"), F.when(~F.coalesce(plain, F.lit(False)), shown).alias("_shown"))
+    rows = marked.select(*[c for c in columns if c != line], inline.alias("_inline"), F.when(~F.coalesce(plain, F.lit(False)), shown).alias("_shown"))
     shared = tuple(secrets)
     scrubbed = lists.with_values(
         rows, "_inline", device_secrets, device, order, lambda values: redaction.Scrubber((*shared, *values)))

@@ -19,11 +19,11 @@ def with_values(
 
     A key is cut into chunks of ``order`` (unique longs), and its values are repeated for the chunks there are, so they meet their rows in as many
     tasks as a hot key needs. Values stand in front of the rows of their chunk: each task builds a chunk's helper once and then streams the rows.
-    Null texts stay null; a key without values still goes through ``make``.
+    Null texts stay null; a key without values still goes through ``make``. ``column`` travels once, not also inside the row.
     """
     ship(rows.sparkSession)
-    names = rows.columns
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    others = {c: f"c{i}" for i, c in enumerate(rows.columns) if c != column}
+    row = F.struct(*[F.col(f"`{c}`").alias(place) for c, place in others.items()])
     dealt = rows.select(
         F.col(key).alias("key"), F.shiftright(F.col(order), bits).alias("chunk"), F.lit(1).alias("part"), F.col(column).alias("text"), row.alias("row"))
     chunks = dealt.select("key", "chunk").distinct()
@@ -52,4 +52,4 @@ def with_values(
                 yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(kept)), pa.array(out, pa.string())], names=["row", "text"])
 
     made = sorted_.mapInArrow(run, f"row {dealt.schema['row'].dataType.simpleString()}, text string")
-    return made.select(*[F.col("text").alias(c) if c == column else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+    return made.select(*[F.col("text").alias(c) if c == column else F.col("row")[others[c]].alias(c) for c in rows.columns])

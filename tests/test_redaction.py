@@ -140,3 +140,20 @@ def test_documents_with_the_secrets_of_their_device(spark):
     secrets = spark.createDataFrame([("a", "aaaa-1"), ("b", "bbbb-2")], "device string, value string")
     got = {r.id: r.content for r in redaction.redact_device_documents(docs, secrets).collect()}
     assert got == {1: "x [REDACTED] bbbb-2\n", 2: "x aaaa-1 [REDACTED]\n", 3: None}
+
+
+def test_documents_reach_python_in_small_batches(spark):
+    df = spark.createDataFrame([(1, "password: x\nshown"), (2, None)], "id long, text string")
+    made = df.select("id", redaction.redact_document(F.col("text")).alias("text"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert {r.id: r.text for r in made.collect()} == {1: "password: [REDACTED]\nshown", 2: None}
+
+
+def test_a_text_travels_once_beside_its_values(spark):
+    df = spark.createDataFrame([(1, "a", "one"), (2, "b", None)], "id long, device string, line string")
+    values = spark.createDataFrame([("a", "one")], "device string, value string")
+    made = lists.with_values(df, "line", values, "device", "id", lambda held: lambda text: f"{text}:{len(held)}")
+    row = made._jdf.queryExecution().analyzed().toString().split(" AS row#")[0].rsplit("struct(", 1)[1]
+    assert "device#" in row and "line#" not in row
+    assert made.columns == df.columns and sorted(map(tuple, made.collect())) == [(1, "a", "one:1"), (2, "b", None)]
