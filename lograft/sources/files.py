@@ -10,6 +10,19 @@ def _at(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system knows it; None if it is on a file system of another kind."""
+    files, target = _at(spark, path)
+    where = files.makeQualified(target).toUri()
+    return where.getPath() if where.getScheme() == "file" else None
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and its folder."""
+    files, target = _at(spark, path)
+    files.create(target, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, target = _at(spark, path)
     files.delete(target, True)

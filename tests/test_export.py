@@ -56,6 +56,37 @@ def test_digests_of_files_of_any_kind(spark, tmp_path):
         assert r.records == (kinds[name].count(b"\n") if name.endswith(".json") else None)
 
 
+def test_many_small_devices_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "ROWS_PER_FILE", 3)
+    log = text.parse(frame(spark, [event(n, f"d-{n % 40}.x" if n % 5 else "hot", raw=f"line é {n}") for n in range(200)]))
+    states = status.from_events(log)
+    stored = table(spark, [(1, "a", "ssid: x\n"), (2, "hot", "ssid: y")])
+    root = tmp_path / "export"
+    got = export.export(str(root), log, sessions.derive(log), states, stored).collect()
+    shown = {str(p.relative_to(root)) for p in root.rglob("part-*") if not p.name.endswith(".crc")}
+    assert {r.path for r in got} == {p for p in shown if not p.startswith("manifest/") and (root / p).stat().st_size}
+    for row in got:
+        data = (root / row.path).read_bytes()
+        assert (hashlib.sha256(data).hexdigest(), len(data)) == (row.sha256, row.size)
+        assert row.records == (data.count(b"\n") if row.path.endswith(".json") else None)
+    parts = {r.path.rsplit("/part-", 1)[1][:5] for r in got if r.path.startswith("logs/")}
+    assert len(parts) > 1
+    hot = read_lines(root / "logs" / "of_device=hot")
+    assert [r["id"] for r in hot] == list(range(0, 200, 5))
+    # the same lines and files as Spark's own writers make, which file systems of other kinds get
+    plain = tmp_path / "plain"
+    with monkeypatch.context() as other:
+        other.setattr(export.files, "mounted", lambda *_: None)
+        export.export(str(plain), log, sessions.derive(log), states, stored).collect()
+    for folder in ("logs", "configs"):
+        assert {p.name for p in (root / folder).iterdir()} - {"._SUCCESS.crc"} == {p.name for p in (plain / folder).iterdir()} - {"._SUCCESS.crc"}
+        for own in (p for p in (root / folder).iterdir() if p.is_dir()):
+            joined = [b"".join(p.read_bytes() for p in sorted(at.rglob("part-*")) if not p.name.endswith(".crc")) for at in (own, plain / folder / own.name)]
+            assert joined[0] == joined[1]
+    told = [[m for m in read_lines(at / "manifest") if "device" in m] for at in (root, plain)]
+    assert told[0] == told[1]
+
+
 def test_selection_and_bad_input(spark):
     log = story(spark)
     assert {r.device for r in export.event_rows(log, ["a"]).collect()} == {"a"}
