@@ -25,6 +25,7 @@ left out; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from functools import reduce
 from operator import add
 
@@ -237,16 +238,30 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
         *[F.struct(F.col(f"{x}_smallest").alias("smallest"), F.col(x).alias("node")) for x in "ab"])).alias("x")).select("x.*").distinct().checkpoint()
     if chosen.count() <= LOOKED_UP:
         chosen = F.broadcast(chosen)
-    return _verified(possible.select("a", "b"), _sets(docs, chosen, n), percent).distinct().checkpoint()
+    return _verified(possible.select("a", "b"), _packed(docs, chosen, n), n, percent).distinct().checkpoint()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(right, "b").join(left, "a").where(near).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; a compressed text travels for a set, being a fraction of its hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingler = Shingler(n)
+        unpacked = lambda data: shingler.sets([zlib.decompress(data).decode("utf-8", "surrogatepass")])[0]
+        for batch in batches:
+            near, last, left = [], None, None
+            for a, one, other in zip(batch.column("a").to_pylist(), batch.column("one"), batch.column("other")):
+                if a != last:  # rows of one node come together
+                    last, left = a, unpacked(one.as_py())
+                right = unpacked(other.as_py())
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                near.append(100 * both >= percent * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("one"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("other"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,24 +332,22 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the chosen nodes, from the text of one document each."""
+def _packed(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(node, packed) of the chosen nodes, the compressed text of one document each."""
 
     def run(batches):
         import pyarrow as pa
 
         shingler = Shingler(n)
         for block in blocks(batches):
-            sets = shingler.sets(block.column("text").to_pylist())
-            offsets = np.append(0, np.cumsum([len(s) for s in sets]))
-            flat = np.concatenate(sets).astype("int64") if sets else np.zeros(0, "int64")
+            texts = block.column("text").to_pylist()
+            packed = [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 6) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [_nodes(sets), block.column("node"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["own", "node", "shingles"])
+                [_nodes(shingler.sets(texts)), block.column("node"), pa.array(packed, pa.binary())], names=["own", "node", "packed"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id")
-    found = picked.select("text", "node").mapInArrow(run, "own long, node long, shingles array<long>")
+    found = picked.select("text", "node").mapInArrow(run, "own long, node long, packed binary")
     # a doc_id may stand for several texts, and for one several times
     return found.where(F.col("own") == F.col("node")).drop("own")
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -442,3 +443,20 @@ def test_pipeline_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, SF).count() >= 1
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_join_verifies_whole_sets_from_texts_that_travel_small(spark):
+    words = [f"wörd{i % 37}" for i in range(900)]
+    texts = {i: " ".join([f"{i}-{w}-{j}" if j < i * 9 else f"{w}-{j}" for j, w in enumerate(words)]) for i in range(12)}
+    shingler = ngram_join.Shingler(3)
+    sets = {i: shingler.sets([t])[0] for i, t in texts.items()}
+    node = dict(zip(texts, ngram_join._nodes(list(sets.values())).to_pylist()))
+    chosen = spark.createDataFrame([(i, node[i]) for i in texts], "smallest long, node long")
+    packed = ngram_join._packed(documents(spark, [*texts.items(), (3, "another text of one doc_id")]), chosen, 3).cache()
+    assert sorted(r["node"] for r in packed.collect()) == sorted(node.values())
+    assert all(len(r["packed"]) < 8 * 898 / 2 for r in packed.collect())
+    pairs = [(node[i], node[j]) for i in texts for j in texts if i < j]
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in texts for j in texts if i < j}
+    near = {(node[i], node[j]) for (i, j), n in both.items() if 100 * n >= 90 * (len(sets[i]) + len(sets[j]) - n)}
+    got = ngram_join._verified(spark.createDataFrame(pairs, "a long, b long"), packed, 3, 90).collect()
+    assert {(r["a"], r["b"]) for r in got} == near and len(got) == len(near) and 0 < len(near) < len(pairs)
