@@ -37,8 +37,8 @@ from lograft import session
 from lograft.llm.common import blocks, by_place
 
 WIDTH = 1 << 20
-SLICES = 16
-#: Sketches that one task adds up.
+#: Parts of a sketch, and sketches that one task adds up: of one part 16 MB at most before compression.
+SLICES = 64
 ADDED = 256
 FREQUENT = 4
 #: Ranges of the hash that have a parity bit, 64 to a number, and nodes whose documents are looked up by broadcast.
@@ -148,7 +148,7 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), _nodes(sets), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()),
                  pa.nulls(k, pa.binary()), _parities(sets)], names=["doc_id", "node", "size", "slice", "task", "counts", "parity"])
-        parts = [x.astype("<u4").tobytes() for x in np.split(counts, SLICES)]
+        parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(counts, SLICES)]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()),
@@ -159,6 +159,14 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
         run, "doc_id long, node long, size long, slice int, task long, counts binary, parity array<long>").checkpoint()
 
 
+def _summed(parts) -> bytes:
+    """The sum of one slice of several sketches, one unpacked at a time."""
+    total = np.zeros(WIDTH // SLICES, "int64")
+    for part in parts:
+        total += np.frombuffer(zlib.decompress(part), "<u4")
+    return zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)
+
+
 def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
     """Class of frequency by bucket; sketches are added in a tree, ADDED at a time."""
     rows = surveyed.where(F.col("slice").isNotNull()).select("slice", "task", "counts")
@@ -166,15 +174,14 @@ def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
     def added(key, frame):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(x, "<u4").astype("int64") for x in frame["counts"]], axis=0)
-        return pd.DataFrame({"slice": [key[0]], "task": [key[1]], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        return pd.DataFrame({"slice": [key[0]], "task": [key[1]], "counts": [_summed(frame["counts"])]})
 
     while True:
         rows = rows.groupBy("slice", F.floor(F.col("task") / ADDED).alias("task")).applyInPandas(added, "slice int, task long, counts binary")
         tasks = -(-tasks // ADDED)
         if tasks <= 1:
             break
-    parts = {r["slice"]: np.frombuffer(r["counts"], "<u4") for r in rows.collect()}
+    parts = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), "<u4") for r in rows.collect()}
     counts = np.concatenate([parts[i] for i in range(SLICES)]).astype("float64") if parts else np.zeros(WIDTH)
     mean = counts.mean()
     excess = np.maximum(counts - mean, 1e-9) / (np.sqrt(mean) + 1)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,6 +114,19 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(twice).collect()) == [1, 2]
 
 
+def test_sketches_are_added_in_little_memory(spark):
+    """One slice of as many sketches as a task adds takes 16 MB at most, and the sum is right."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 50)) for i in range(60)]
+    surveyed = ngram_join._surveyed(documents(spark, rows).repartition(7), 3)
+    slices = surveyed.where(F.col("slice").isNotNull()).collect()
+    assert max(len(zlib.decompress(r["counts"])) for r in slices) * ngram_join.ADDED <= 1 << 24
+    found = np.concatenate([np.frombuffer(zlib.decompress(ngram_join._summed([r["counts"] for r in slices if r["slice"] == k])), "<u4")
+                            for k in range(ngram_join.SLICES)])
+    sets = np.concatenate(ngram_join.Shingler(3).sets([t for _, t in rows]))
+    assert (found == np.bincount((sets % np.uint64(ngram_join.WIDTH)).astype("int64"), minlength=ngram_join.WIDTH)).all()
+
+
 # --- passages ---
 
 
