@@ -13,7 +13,9 @@ Classes come from a sketch of fixed size over all documents. Any function of the
 A key held by many sets is not expanded into pairs: first its two most common nodes, those with the fewest rare shingles, meet all others; among copies with
 edits that is the one nearest to the original. Links are verified on the whole sets and give groups, and only pairs of different groups under one
 key are looked at after that, as far as two bounds that never err let them. A key stands at a place of the set's order, and a pair whose first
-shared shingle it is cannot share more than what follows, so every key names the largest partner it allows. And every set has one bit for each of
+shared shingle it is cannot share more than what follows, so every key names the largest partner it allows. A key also holds a class of sizes: a set
+is listed under its own class and those above it up to that of the largest partner, so of two linked sets the smaller one is listed under the class
+of the larger one, while sets of far sizes do not meet, however many there are. And every set has one bit for each of
 BITS ranges of the hash, whether its shingles there are odd in number: a differing bit is a shingle that only one of two sets has, so linked sets
 differ in few bits. The bits decide inside the joins, before whole sets are fetched. Equal sets are one node from the start.
 
@@ -44,6 +46,8 @@ FREQUENT = 4
 #: Ranges of the hash that have a parity bit, 64 to a number, and nodes whose documents are looked up by broadcast.
 BITS = 1024
 LOOKED_UP = 500_000
+#: Least ratio between the bounds of two size classes.
+RATIO = 1.25
 COMBINED = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -188,12 +192,19 @@ def _classes(surveyed: DataFrame, tasks: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(excess)) + 1, 0, 60).astype("uint8")
 
 
+def _bounds(percent: int) -> np.ndarray:
+    """First sizes of the classes of sizes; numbers of 32 bits at most."""
+    step = max(RATIO, 100 / percent)
+    return np.unique(np.floor(step ** np.arange(int(32 / np.log2(step)))).astype("int64"))
+
+
 def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(key, node, rare, most, kind): index keys of all sets, with the number of shingles of the lowest class and the largest size of a partner.
+    """(key, node, rare, size, most, kind): index keys of all sets, with the number of shingles of the lowest class, of all, and the largest size of a partner.
 
-    kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set; keys of different kinds differ, but for 2 and 3.
+    A key stands for shingles and a class of sizes, from the set's own to that of the largest partner. kind: 0 rare shingle, 1 pair of frequent ones, 2 frequent shingle, 3 that of a dense set; keys of different kinds differ, but for 2 and 3.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classes)
+    bounds = _bounds(percent)
 
     def run(batches):
         import pyarrow as pa
@@ -223,11 +234,32 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
             size = np.array([len(s) for s in sets], "int64")[at]
             flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
             most = (100 + percent) * (size - flat(places, "int64")) // percent - size
+            own = np.searchsorted(bounds, size, side="right")
+            listed = 1 + np.maximum(np.searchsorted(bounds, most, side="right") - own, 0)
+            row = np.repeat(np.arange(len(at)), listed)
+            above = np.arange(len(row)) - np.repeat(np.cumsum(listed) - listed, listed)
+            key = _mixed(flat(keys, "uint64")[row] + (own[row] + above).astype("uint64") * _MIX)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat(keys, "uint64").view("int64")), _nodes(sets).take(pa.array(at)), pa.array(np.array(low, "int32")[at]),
-                 pa.array(most.astype("int32")), pa.array(flat(kinds, "int8"))], names=["key", "node", "rare", "most", "kind"])
+                [pa.array(key.view("int64")), _nodes(sets).take(pa.array(at[row])), pa.array(np.array(low, "int32")[at[row]]),
+                 pa.array(size[row].astype("int32")), pa.array(most[row].astype("int32")), pa.array(flat(kinds, "int8")[row])],
+                names=["key", "node", "rare", "size", "most", "kind"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, rare int, size int, most int, kind tinyint")
+
 
-    return docs.select("text").mapInArrow(run, "key long, node long, rare int, most int, kind tinyint")
+def _buckets(keys: DataFrame) -> DataFrame:
+    """(key, node, size, most, able, low, high): the rows of keys that may link two nodes, with the key's two most common nodes.
+
+    Both uses of ``keys`` take all columns, so that one shuffle serves them.
+    """
+    dealt, able = keys.repartition("key"), F.when(F.col("able"), F.col("node"))
+    ends = dealt.groupBy("key").agg(
+        F.min_by(able, F.when(F.col("able"), F.col("rare"))).alias("low"), F.min(able).alias("high"),
+        F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"), F.min("size").alias("least"),
+        F.max("size").alias("largest"), F.min_by("most", "size").alias("most_of_least"), F.max_by("most", "size").alias("most_of_largest"))
+    # two rows have to allow each other's size
+    ends = ends.where("low IS NOT NULL AND first <> last AND (n > 2 OR largest <= most_of_least AND least <= most_of_largest)")
+    return dealt.join(ends.select("key", "low", "high"), "key").distinct().drop("rare")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +277,16 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
         *[F.struct(F.col(f"{x}_smallest").alias("smallest"), F.col(x).alias("node")) for x in "ab"])).alias("x")).select("x.*").distinct().checkpoint()
     if chosen.count() <= LOOKED_UP:
         chosen = F.broadcast(chosen)
-    return _verified(possible.select("a", "b"), _packed(docs, chosen, n), n, percent).distinct().checkpoint()
+    return _verified(_turned(possible.select("a", "b")), _packed(docs, chosen, n), n, percent).distinct().checkpoint()
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    """The pairs with the node of more pairs as ``a``: the text of ``b`` travels once for each pair."""
+    many = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    known = pairs.join(many.select(F.col("x").alias("a"), F.col("n").alias("n_a")), "a").join(
+        many.select(F.col("x").alias("b"), F.col("n").alias("n_b")), "b")
+    more = F.col("n_a") >= F.col("n_b")
+    return known.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -297,15 +338,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.first("size").alias("size"), F.first("parity").alias("parity")).checkpoint()
 
-    # keys that two sets or more have, with their two most common nodes; of single frequent shingles dense ones
+    # keys of two sets or more, with their two most common nodes; of single frequent shingles dense ones. Counting and joining share one shuffle
     path = f"{session.shared_dir(spark)}/keys-{uuid.uuid4().hex}"
     _keys(docs, n, percent, classes).where(F.col("node").isNotNull()).write.parquet(path)
-    keys = spark.read.parquet(path).select("key", "node", "rare", "most", (F.col("kind") != 2).alias("able"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key").checkpoint()
-    held = keys.join(shared, "key").distinct().checkpoint()
-    able = F.when(F.col("able"), F.col("node"))
-    ends = held.groupBy("key").agg(F.min_by(able, F.when(F.col("able"), F.col("rare"))).alias("low"), F.min(able).alias("high")).where("low IS NOT NULL")
-    buckets = held.drop("rare").join(ends, "key").checkpoint()
+    buckets = _buckets(spark.read.parquet(path).select("key", "node", "rare", "size", "most", (F.col("kind") != 2).alias("able"))).checkpoint()
     # the key table is not read again
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -314,13 +350,15 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = buckets.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end").select(*pair(F.col("node"), F.col("end"))).distinct().checkpoint()
     links = _links(stars, docs, nodes, n, percent)
     roots = components(links)
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    open_rows = labelled.join(mixed, "key").join(
-        roots.select(F.col("node").alias("low"), F.col("root").alias("low_root")), "low", "left").withColumn("low_root", F.coalesce("low_root", "low"))
-    open_rows = open_rows.join(nodes.select("node", "size", "parity"), "node").checkpoint()
+    labelled = buckets.drop("high").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("key")
+    mixed = labelled.groupBy("key").agg(
+        F.min("root").alias("r"), F.max("root").alias("s"), F.max(F.when(F.col("node") == F.col("low"), F.col("root"))).alias("low_root"),
+        F.min("size").alias("least"), F.max("most").alias("largest"), F.max("able").alias("any")).where("r <> s AND any").drop("r", "s", "any")
+    # both uses of labelled rows take all columns, so that one shuffle serves them
+    open_rows = labelled.join(mixed, "key").where("node = low OR size <= largest AND least <= most").drop("low", "least", "largest")
+    open_rows = open_rows.join(nodes.select("node", "parity"), "node").checkpoint()
     # of every pair of two groups one is not in the group of the key's most common node
-    some = open_rows.where(F.col("root") != F.col("low_root")).drop("low", "high", "low_root")
+    some = open_rows.where(F.col("root") != F.col("low_root")).drop("low_root")
     central = (F.col("root") == F.col("low_root")).alias("o_central")
     all_ = open_rows.select("key", central, *[F.col(c).alias(f"o_{c}") for c in ("node", "able", "root", "size", "most", "parity")])
     # two outer nodes meet once

@@ -114,6 +114,28 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(twice).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("n,percent", [(1, 90), (1, 80), (2, 50)])
+def test_links_of_all_sizes(spark, n, percent):
+    """Of every size a set and the largest one it is linked with, and another that is one word too long."""
+    texts = []
+    for size in range(1, 130):
+        words = [f"{size}x{k}" for k in range(100 * size // percent + n)]
+        texts += [" ".join(words[: size + n - 1]), " ".join(words[:-1])]
+        texts += [" ".join(f"y{w}" for w in words[: size + n - 1]), " ".join(f"y{w}" for w in words)]
+    rows = list(enumerate(texts))
+    got = Counter(tuple(r) for r in ngram_join.groups(documents(spark, rows).repartition(3), n, percent).collect())
+    assert got == groups_by_hand(rows, n, percent)
+
+
+def test_far_sizes_do_not_meet(spark):
+    """Texts that share their rarest shingles: only those whose sizes allow a link stay in the index."""
+    texts = [" ".join(f"w{k}" for k in range(size + 2)) for size in (40, 80, 160, 320, 640, 660)]
+    classes = np.zeros(ngram_join.WIDTH, "uint8")
+    keys = ngram_join._keys(documents(spark, enumerate(texts)), 3, 90, classes).withColumn("able", F.col("kind") != 2).drop("kind")
+    held = {r["size"] for r in ngram_join._buckets(keys).collect()}
+    assert held == {640, 660}
+
+
 def test_sketches_are_added_in_little_memory(spark):
     """One slice of as many sketches as a task adds takes 16 MB at most, and the sum is right."""
     rng = random.Random(6)
