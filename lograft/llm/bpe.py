@@ -12,18 +12,20 @@ tables need nothing. Long texts are encoded word by word.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from lograft import session
-from lograft.llm.common import blocks
+from lograft.llm.common import blocks, tidy
 
 #: Stands for the mark of a word's end while a word is matched; no byte maps to it.
 END = "\ue000"
-CACHE_WORDS = 500_000
-CACHE_PAIRS = 1_000_000
+#: Bytes that a task may keep of units between white space and their ids, and pairs of tokens that a worker keeps.
+CACHE_BYTES = 128 << 20
+CACHE_PAIRS = 150_000
 
 
 def byte_letters() -> str:
@@ -33,6 +35,40 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in kept else chr(next(spare)) for b in range(256))
 
 
+class Recent:
+    """What was met lately, in at most ``limit`` bytes. What is asked for moves to the young half; once that is full, the old half goes."""
+
+    #: Bytes of an entry beside letters and value.
+    ENTRY = 180
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        """``key`` is not in the young half. Its letters count two bytes each."""
+        cost = self.ENTRY + 2 * len(key) + len(value)
+        if cost > self.half:
+            return
+        if self.size + cost > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += cost
+
+
 class Vocabulary:
     """Tables of one vocabulary: matcher, next shorter token, undone merges, offsets of the token texts."""
 
@@ -117,9 +153,9 @@ class Vocabulary:
     def word(self, mapped: str) -> list[int]:
         """Ids of one word given in byte letters."""
         text = mapped + END if self.mark else mapped
-        size, fits = len(text), self.fits
+        size, fits, lengths = len(text), self.fits, self.lengths
         greedy = [k for _, k in self.matcher.iter_long(text)]
-        if sum(self.lengths[k] for k in greedy) == size and all(fits(a, b) for a, b in zip(greedy, greedy[1:], strict=False)):
+        if sum([lengths[k] for k in greedy]) == size and all(map(fits, greedy, greedy[1:])):
             return [self.ids[k] for k in greedy]
         longest = lambda at: next((k for end, k in self.matcher.iter_long(text, at) if end - self.lengths[k] + 1 == at), -1)
         dead, out, at, token = bytearray(size + 1), [], 0, longest(0)
@@ -170,13 +206,11 @@ class Encoder:
         # letters on whose class or lower case engines may differ: there the library's own splitting is asked
         self.unsure = regex.compile(r"[^\x00-\u052f]|[\x1c-\x1fΣ]").search
         self.library = Tokenizer.from_str(source)
-        self.known: dict[str, bytes] = {}
-        self.known_units: dict[str, bytes] = {}
+        self.known = Recent(CACHE_BYTES)
 
     def _ids(self, mapped: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.vocabulary.word(mapped), dtype="<u4").tobytes()
+        ids = self.vocabulary.word(mapped)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         if self.unsure(text):
@@ -184,27 +218,34 @@ class Encoder:
             return b"".join(self._ids(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
         # white space parts words in any case, so what stands between it is looked up first
         units = unicodedata.normalize("NFC", text).lower().split()
-        known = self.known_units
-        out = [known.get(u) for u in units]
+        known = self.known
+        out = list(map(known.young.get, units))
         if None in out:
-            if len(known) > CACHE_WORDS:
-                known.clear()
             for i, u in enumerate(units):
                 if out[i] is None:
                     ids = known.get(u)
                     if ids is None:
-                        ids = known[u] = b"".join(map(self._word, self.split(u)))
+                        words = self.split(u)
+                        ids = self._word(u) if words == [u] else b"".join(map(self._part, words))
+                        known.put(u, ids)
                     out[i] = ids
         return b"".join(out)
 
-    def _word(self, word: str) -> bytes:
+    def _part(self, word: str) -> bytes:
+        """Ids of a unit's word. It is looked up as a unit if it would be one word there too."""
+        if self.split(word) != [word]:
+            return self._word(word)
         ids = self.known.get(word)
         if ids is None:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            ids = self.known[word] = self._ids(word.encode().decode("latin-1").translate(self.vocabulary.letters))
+            ids = self._word(word)
+            self.known.put(word, ids)
         return ids
 
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalnum():  # these letters stand for themselves
+            return self._ids(word)
+        return self._ids(word.encode().decode("latin-1").translate(self.vocabulary.letters))
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -221,6 +262,22 @@ def _encoder(source: str) -> Encoder:
     return Encoder(source)
 
 
+def _rows(batches, encoder: Encoder, kept: int, names: list[str]):
+    """Arrow batches with the first ``kept`` columns, ids and decoded texts. The encoder forgets units at the end, as its worker stays."""
+    import numpy as np
+    import pyarrow as pa
+
+    try:
+        for block in blocks(batches):
+            ids = [encoder.encode(t) for t in block.column("text").to_pylist()]
+            decoded = [encoder.vocabulary.decode(np.frombuffer(x, dtype="<u4").astype("int64")) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*[block.column(f"k{i}") for i in range(kept)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                 pa.array(decoded, pa.string())], names=names)
+    finally:
+        encoder.known.clear()
+
+
 def encode(docs: DataFrame, source: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``n_tokens``, ``ids`` (packed) and ``decoded`` of every text. ``source``: a vocabulary file's content."""
     from pyspark.sql import types as T
@@ -231,17 +288,7 @@ def encode(docs: DataFrame, source: str, keep: tuple[str, ...] = ("doc_id",)) ->
     schema = T.StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        encoder = _encoder(shared.value)
-        for block in blocks(batches):
-            ids = [encoder.encode(t) for t in block.column("text").to_pylist()]
-            decoded = [encoder.vocabulary.decode(np.frombuffer(x, dtype="<u4").astype("int64")) for x in ids]
-            kept = [block.column(f"k{i}") for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                names=schema.names)
+        yield from _rows(batches, _encoder(shared.value), len(keep), schema.names)
 
     given = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("text"))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
-from lograft.llm.common import blocks
+from lograft.llm.common import blocks, tidy
 
 K1, B = 1.2, 0.75
 FOUND, OVERLAP = 0.6, 0.6
@@ -245,7 +245,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     [block.column("doc_id").take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kind, strict=True)]],
                     names=schema.names)
 
-        out = out.unionByName(given.mapInArrow(run, schema))
+        out = out.unionByName(given.mapInArrow(tidy(run), schema))
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in schema.names[2:]])
 
 
@@ -266,5 +266,5 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                     clean = pa.array([not shared.value.leaks(t) for t in block.column(at).to_pylist()])
                     yield block.filter(clean).rename_columns(batch.schema.names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft import session
-from lograft.llm.common import blocks, by_place
+from lograft.llm.common import blocks, by_place, tidy
 
 WIDTH = 1 << 20
 #: Parts of a sketch, and sketches that one task adds up: of one part 16 MB at most before compression.
@@ -160,7 +160,7 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             names=["doc_id", "node", "size", "slice", "task", "counts", "parity"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, node long, size long, slice int, task long, counts binary, parity array<long>").checkpoint()
+        tidy(run), "doc_id long, node long, size long, slice int, task long, counts binary, parity array<long>").checkpoint()
 
 
 def _summed(parts) -> bytes:
@@ -244,7 +244,7 @@ def _keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFra
                  pa.array(size[row].astype("int32")), pa.array(most[row].astype("int32")), pa.array(flat(kinds, "int8")[row])],
                 names=["key", "node", "rare", "size", "most", "kind"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, rare int, size int, most int, kind tinyint")
+    return docs.select("text").mapInArrow(tidy(run), "key long, node long, rare int, size int, most int, kind tinyint")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("one"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("other"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "one", "other").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def _packed(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id")
-    found = picked.select("text", "node").mapInArrow(run, "own long, node long, packed binary")
+    found = picked.select("text", "node").mapInArrow(tidy(run), "own long, node long, packed binary")
     # a doc_id may stand for several texts, and for one several times
     return found.where(F.col("own") == F.col("node")).drop("own")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lograft import session
-from lograft.llm.common import blocks
+from lograft.llm.common import blocks, tidy
 
 UNIT_WORDS, LINE_WORDS, LINE_LETTERS, UNIT_SIGNS = 6, 4, 20, 12
 RUN_WORDS = 25
@@ -204,7 +204,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     shape = T.StructType().add("digest", "binary").add("doc_id", kind).add("_row", "long").add("unit", "integer")
-    occurrences = keyed.select(F.col(f"c{id_at}").alias("doc_id"), "_row", F.col(f"c{places}").alias("text")).mapInArrow(hashed, shape)
+    occurrences = keyed.select(F.col(f"c{id_at}").alias("doc_id"), "_row", F.col(f"c{places}").alias("text")).mapInArrow(tidy(hashed), shape)
     winners = occurrences.groupBy("digest").agg(F.min(F.struct("doc_id", "_row", "unit")).alias("first")).select("first.*")
     kept = winners.groupBy("doc_id", "_row").agg(F.collect_list("unit").alias("_kept")).withColumnsRenamed({"doc_id": "_id", "_row": "_own"})
     joined = keyed.join(kept, F.col(f"c{id_at}").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_own")), "left").drop("_id", "_own", "_row")
@@ -230,4 +230,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 [*columns, pa.array(counts, pa.int32()), pa.array([len(x) for x in removed], pa.int32()), pa.array(removed, arrow)],
                 names=out.fieldNames())
 
-    return joined.mapInArrow(cut, out)
+    return joined.mapInArrow(tidy(cut), out)

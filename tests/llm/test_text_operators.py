@@ -99,6 +99,68 @@ def test_bpe_goes_back(words_file):
     assert own.word("abcd") == [4, 5] and own.word("abc") == [7] and own.word("bcd") == [6] and own.word("bcab") == [1, 2, 4]
 
 
+def _held(known):
+    return sum(180 + 2 * len(k) + len(v) for half in (known.young, known.old) for k, v in half.items())
+
+
+def test_bpe_keeps_a_bounded_number_of_bytes(words_file, monkeypatch):
+    """Neither many units nor long ones fill a worker, and ids do not depend on what is kept."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    encoder, library, rng = bpe.Encoder(words_file), Tokenizer.from_str(words_file), random.Random(8)
+    for k in range(150):
+        text = " ".join("".join(rng.choice("aeinst'l,.-9é") for _ in range(rng.randrange(1, 9))) for _ in range(40)) + " the dog's they'll, the"
+        text += " " + "ab" * 30_000 if k % 50 == 0 else ""
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert _held(encoder.known) <= 20_000
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_bpe_forgets_units_with_the_task(words_file, whole):
+    """A worker that waits holds no units, also if not all rows were asked for."""
+    import pyarrow as pa
+
+    encoder = bpe.Encoder(words_file)
+    batch = pa.RecordBatch.from_pydict({"k0": [1, 2], "text": ["some words of a text", None]})
+    rows = bpe._rows([batch, batch], encoder, 1, ["doc_id", "n_tokens", "ids", "decoded"])
+    assert next(rows).column("doc_id").to_pylist() == [1, 2] and encoder.known.young
+    if whole:
+        assert [x.num_rows for x in rows] == [2]
+    else:
+        rows.close()
+    assert not encoder.known.young and not encoder.known.old
+
+
+def test_tidy_gives_memory_back():
+    """Many small pieces that a task frees do not stay with its process."""
+    import subprocess
+    import sys
+
+    program = """
+import re
+from pathlib import Path
+from lograft.llm.common import tidy
+import pyarrow
+
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+def run(batches):
+    for size in batches:
+        pieces = [bytearray(size) for _ in range(60_000)]
+        last = bytearray(size)
+        yield len(pieces)
+        del pieces
+        left.append(last)
+
+left, before = [], held()
+assert list(tidy(run)([1000, 1200])) == [60_000, 60_000]
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=100, check=True).stdout
+    assert int(out) < 30
+
+
 def test_bpe_query_digests(spark):
     rows = QUERIES["op2_bpe_encoding_and_decoding"](spark, SF).collect()
     assert len(rows) == 200 and all(len(r["ids_sha256"]) == 64 for r in rows)
