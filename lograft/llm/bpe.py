@@ -23,8 +23,9 @@ from lograft.llm.common import blocks, tidy
 
 #: Stands for the mark of a word's end while a word is matched; no byte maps to it.
 END = "\ue000"
-#: Bytes that a task may keep of units between white space and their ids, and pairs of tokens that a worker keeps.
+#: Bytes that a task may keep of units between white space and their ids, those of them that its worker keeps afterwards, and pairs of tokens.
 CACHE_BYTES = 128 << 20
+KEPT_BYTES = 48 << 20
 CACHE_PAIRS = 150_000
 
 
@@ -42,14 +43,22 @@ class Recent:
     ENTRY = 180
 
     def __init__(self, limit: int):
-        self.half = limit // 2
-        self.clear()
-
-    def clear(self) -> None:
-        self.size = 0
+        self.half, self.size = limit // 2, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def shrink(self, limit: int) -> None:
+        """Only the first ``limit`` bytes of the young half stay: what is frequent is met early."""
+        met, self.young, self.old, self.size = self.young, {}, {}, 0
+        for key, value in met.items():
+            if self.size + self.cost(key, value) > limit:
+                break
+            self.put(key, value)
+
+    def cost(self, key: str, value: bytes) -> int:
+        """Letters count two bytes each."""
+        return self.ENTRY + 2 * len(key) + len(value)
+
     def get(self, key: str) -> bytes | None:
         value = self.young.get(key)
         if value is None:
@@ -59,8 +68,8 @@ class Recent:
         return value
 
     def put(self, key: str, value: bytes) -> None:
-        """``key`` is not in the young half. Its letters count two bytes each."""
-        cost = self.ENTRY + 2 * len(key) + len(value)
+        """``key`` is not in the young half."""
+        cost = self.cost(key, value)
         if cost > self.half:
             return
         if self.size + cost > self.half:
@@ -263,7 +272,7 @@ def _encoder(source: str) -> Encoder:
 
 
 def _rows(batches, encoder: Encoder, kept: int, names: list[str]):
-    """Arrow batches with the first ``kept`` columns, ids and decoded texts. The encoder forgets units at the end, as its worker stays."""
+    """Arrow batches with the first ``kept`` columns, ids and decoded texts. The encoder forgets most units at the end, as its worker stays."""
     import numpy as np
     import pyarrow as pa
 
@@ -275,7 +284,7 @@ def _rows(batches, encoder: Encoder, kept: int, names: list[str]):
                 [*[block.column(f"k{i}") for i in range(kept)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                  pa.array(decoded, pa.string())], names=names)
     finally:
-        encoder.known.clear()
+        encoder.known.shrink(KEPT_BYTES)
 
 
 def encode(docs: DataFrame, source: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -117,10 +117,11 @@ def test_bpe_keeps_a_bounded_number_of_bytes(words_file, monkeypatch):
 
 
 @pytest.mark.parametrize("whole", [True, False])
-def test_bpe_forgets_units_with_the_task(words_file, whole):
-    """A worker that waits holds no units, also if not all rows were asked for."""
+def test_bpe_forgets_units_with_the_task(words_file, whole, monkeypatch):
+    """A worker that waits holds few units, also if not all rows were asked for."""
     import pyarrow as pa
 
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
     encoder = bpe.Encoder(words_file)
     batch = pa.RecordBatch.from_pydict({"k0": [1, 2], "text": ["some words of a text", None]})
     rows = bpe._rows([batch, batch], encoder, 1, ["doc_id", "n_tokens", "ids", "decoded"])
@@ -129,7 +130,7 @@ def test_bpe_forgets_units_with_the_task(words_file, whole):
         assert [x.num_rows for x in rows] == [2]
     else:
         rows.close()
-    assert not encoder.known.young and not encoder.known.old
+    assert list(encoder.known.young) == ["some", "words"] and not encoder.known.old and _held(encoder.known) == encoder.known.size
 
 
 def test_tidy_gives_memory_back():
